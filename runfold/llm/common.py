@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runfold.session import ship
+
 #: ASCII white space that ends a word: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +51,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     how large it is.
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runfold.llm import minhash, mixing, packing, quality_cnn, sample, toxicity
+from runfold.llm import audio, minhash, mixing, packing, perplexity, quality_cnn, sample, sharding, toxicity, url_filter, warc
+from runfold.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,5 +55,40 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_quality_classifier, op6_toxicity, op8_mixing, op9_minhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 24, 8)
+
+
+def op3_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_ngram_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_minimax_sharding,
+        op3_link_graph_url_filter,
+        op4_ngram_perplexity_rules,
+        op5_quality_classifier,
+        op6_toxicity,
+        op7_telephony_audio,
+        op8_mixing,
+        op9_minhash_near_dedup,
+        op10_warc_capture_index,
+    )
+}
+#: Oracle SQL for those that DuckDB SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {"op3_link_graph_url_filter": url_filter.oracle(), "op10_warc_capture_index": warc.ORACLE}
