@@ -167,6 +167,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "claimed_before_not_before": (("tasks", "deliveries"), f"SELECT task_id, {at('t.available_at', 'available_at')}, {at('d.available_at', 'not_before')} FROM tasks t JOIN deliveries d USING (task_id) WHERE t.status = 'PENDING' AND d.published_at IS NULL AND d.available_at > t.available_at"),
     "unresolved_unknown": (("effects",), "SELECT effect_key, effect_class FROM effects WHERE status = 'UNKNOWN' AND effect_class IN ('NONE', 'UNRECONCILABLE')"),
     "dispatch_latency": (("log",), "SELECT date_diff('second', a, b) AS seconds, count(*) AS steps FROM (SELECT min(created_at) FILTER (event_type = 'TASK_CREATED') AS a, min(created_at) FILTER (event_type = 'TASK_CLAIMED') AS b FROM log GROUP BY run_id, step_id) WHERE b >= a GROUP BY 1"),
+    "stream_open_waits": (("waits",), "SELECT run_id, step_id, kind FROM waits"),
+    "stream_signal_dedup": (("signals",), "SELECT run_id, count(DISTINCT signal_id) AS signals FROM signals GROUP BY 1"),
+    "replay_decision": ((), "SELECT concat('C', conv_id) AS run_id, CASE WHEN n < 2 THEN 'CALL_TOOL' ELSE 'COMPLETE' END AS kind, CASE WHEN n < 2 THEN concat('S', n + 1) END AS step_id, NULL::VARCHAR AS error FROM (SELECT conv_id, count(*) FILTER (role = 'assistant') AS n FROM conversations GROUP BY 1)"),
 }
 
 

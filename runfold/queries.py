@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runfold.functions import envelope as E
 from runfold.functions import scalars as S
 from runfold.operators import audit, folds, relations, writes
+from runfold.operators import replay as replay_
 from runfold.plans import lifecycle
-from runfold.sources.journal import NOW_EVENTS, Journal, minutes, now
+from runfold.session import ship
+from runfold.sources.journal import NOW_EVENTS, STREAM_TYPES, Journal, by_name, minutes, now
+from runfold.streaming import journal_streams as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -525,3 +530,54 @@ def unresolved_unknown(j: Journal) -> DataFrame:
 @query
 def dispatch_latency(j: Journal) -> DataFrame:
     return audit.latency(j.log, "TASK_CREATED", "TASK_CLAIMED").groupBy("seconds").agg(F.count(F.lit(1)).alias("steps"))
+
+
+def scratch(j: Journal, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset."""
+    at_ = j.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runfold-")
+    return f"{at_.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stream_open_waits(j: Journal) -> DataFrame:
+    """The open waits that the streaming fold ends with; the same rows as the batch fold."""
+    ship(j.spark)
+    raw = streams.stream_parquet(j.spark, j.sf_dir, "events.parquet")
+    kind = by_name(F.col("event_type"), STREAM_TYPES, "OTHER")
+    # events come in order of time in the files, and their id is the order inside a run
+    log = raw.select(F.concat(F.lit("U"), "user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("event_type"), F.concat(F.lit("S"), F.col("event_id") % 3).alias("step_id"), "ts", "value")
+    until = F.when(F.col("event_type") == "TIMER_SET", F.unix_millis((F.col("ts") + minutes(F.col("value"))).cast("timestamp")))
+    out = scratch(j, "waits")
+    streams.relay(streams.durable_waits(log, until, timers=False), out, scratch(j, "progress")).awaitTermination()
+    rows = j.spark.read.schema(streams.WAIT_OUT).parquet(out)
+    last = folds.last_by(rows, ["run_id"], F.col("seq"), {"action": F.col("action"), "step_id": F.col("step_id"), "kind": F.col("kind")})
+    return last.where("action = 'OPEN'").select("run_id", "step_id", "kind")
+
+
+@query
+def stream_signal_dedup(j: Journal) -> DataFrame:
+    """How many distinct signals each run has stored, by the streaming sink."""
+    raw = streams.stream_parquet(j.spark, j.sf_dir, "events.parquet")
+    signals = raw.select(F.concat(F.lit("U"), "user_id").alias("run_id"), F.concat(F.lit("G"), F.col("event_id") % 5000).alias("signal_id"))
+    out = scratch(j, "signals")
+    streams.relay(streams.distinct_signals(signals), out, scratch(j, "progress")).awaitTermination()
+    return j.spark.read.schema("run_id string, signal_id string").parquet(out).groupBy("run_id").agg(F.count(F.lit(1)).alias("signals"))
+
+
+def two_answers(ctx: replay_.Context) -> str:
+    """The body replayed over conversations: two calls, then done."""
+    first = ctx.call("answer", n=1)
+    return f"{first}/{ctx.call('answer', n=2)}"
+
+
+@query
+def replay_decision(j: Journal) -> DataFrame:
+    """Next decision of a body over each conversation: its assistant turns are the answers of calls, in order."""
+    ship(j.spark)
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = j.table("conversations").where("role = 'assistant'").select("conv_id", "turn", nth.alias("n"), F.length("text").alias("size"))
+    head = j.table("conversations").select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit("RUN_STARTED").alias("event_type"), F.lit(None).cast("string").alias("step_id"), F.lit(None).cast("string").alias("body"))
+    made = turns.select("conv_id", (F.col("turn") * 2).alias("seq"), F.lit("TASK_CREATED").alias("event_type"), F.concat(F.lit("S"), "n").alias("step_id"), F.format_string('{"task_type": "answer", "payload": {"n": %d}}', "n").alias("body"))
+    done = turns.select("conv_id", (F.col("turn") * 2 + 1).alias("seq"), F.lit("TASK_COMPLETED").alias("event_type"), F.concat(F.lit("S"), "n").alias("step_id"), F.format_string('{"result": %d}', "size").alias("body"))
+    log = head.unionByName(made).unionByName(done).withColumn("run_id", F.concat(F.lit("C"), "conv_id")).withColumn("created_at", now(NOW_EVENTS))
+    return replay_.replay(log, two_answers).select("run_id", "kind", "step_id", "error")
