@@ -107,15 +107,26 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, se
     at_cut = rows.where(F.col("__band") == F.col("cut_band")).withColumn("__through", F.col("before") + F.sum("size").over(nth.rowsBetween(Window.unboundedPreceding, 0)))
     at_cut = at_cut.withColumn("__more", F.col("__through") - F.col("size") / 2.0 <= F.col("due")).drop("__through")
     others = rows.where(F.col("__band").isNull() | (F.col("__band") != F.col("cut_band"))).withColumn("__more", F.col("__certain") | F.coalesce(F.col("__band") < F.col("cut_band"), F.lit(False)))
+    decided = common.materialize(others.unionByName(at_cut).drop("cut_band", "before"), "decided")
+    decided = fit_last(decided)
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("__more").cast("long")).otherwise(F.lit(0).cast("long"))
-    return others.unionByName(at_cut).withColumn("copies", copies).select("doc_id", "source", "key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return decided.withColumn("copies", copies).select("doc_id", "source", "key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """documents as rows (doc_id, source, size, key): size in words, null text 0."""
-    text = common.text_or_empty("text")
-    size = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(text.cast("binary")).alias("key"))
+def fit_last(rows: DataFrame) -> DataFrame:
+    """Change the choice of one drawn document of a source where this brings its words nearer to what is due.
+
+    A source of few documents can miss its target by half its largest document; of the changes that
+    are best, the document first in order is taken.
+    """
+    drawn = rows.where("__band is not null")
+    gaps = common.materialize(drawn.groupBy("source", "due").agg(F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0)).alias("words")).select("source", (F.col("due") - F.col("words")).alias("gap")), "gaps")
+    change = F.when(F.col("__more"), -F.col("size")).otherwise(F.col("size"))
+    miss = F.abs(F.col("gap") - change)
+    best = with_source(drawn, gaps).where(miss < F.abs("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("__q").alias("q"), F.col("doc_id").alias("id"), F.col("key").alias("k"))).alias("best"))
+    every = common.materialize(rows.select("source").distinct().join(best.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "best"), "best")
+    flip = F.col("best").isNotNull() & (F.col("__q") == F.col("best.q")) & F.col("doc_id").eqNullSafe(F.col("best.id")) & F.col("key").eqNullSafe(F.col("best.k"))
+    return with_source(rows, every).withColumn("__more", F.when(F.coalesce(flip, F.lit(False)), ~F.col("__more")).otherwise(F.col("__more")))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, seed: int = 17) -> DataFrame:
@@ -124,3 +135,10 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: i
     Null ids, sources (a source of its own, last) and texts (size 0) are allowed. An empty table gives no rows.
     """
     return mix(common.materialize(sized(docs), "sized"), weights, most, seed)
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """documents as rows (doc_id, source, size, key): size in words, null text 0."""
+    text = common.text_or_empty("text")
+    size = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(text.cast("binary")).alias("key"))
