@@ -117,72 +117,73 @@ def solve(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Pack counts[length] pieces of each length into sequences of ``capacity``.
 
     1. Exact complements: from the longest length down, the gap that a piece leaves is looked
-       up among single lengths, then pair sums, then triple sums of lengths still available;
-       a combination is used as often as its counts allow, which exhausts one of its lengths.
+       up among the single lengths still available; then, for what is left, among the pair
+       sums, then the triple sums. A combination is used as often as its counts allow, which
+       exhausts one of its lengths.
     2. What no combination completes goes best-fit decreasing: into the open sequences with
        the smallest gap that holds it, else into new ones.
 
+    Pairs and triples waste nothing but use up small pieces, which are dear where most pieces
+    are large: so the search goes up to singles, to pairs and to triples, and of the three
+    packings the one with the fewest sequences holds, the deepest of equals.
+
     Works on counts only, so its cost depends on ``capacity`` and not on the pieces.
     """
+    return min((packed(counts, capacity, depth) for depth in (3, 2, 1)), key=lambda patterns: sum(p.repeats for p in patterns))
+
+
+def packed(counts: dict[int, int], capacity: int, depth: int) -> list[Pattern]:
+    """`solve` with combinations of at most ``depth`` pieces to a gap."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     done: list[Pattern] = []
-    residual: list[tuple[int, int]] = []
-    for length in range(capacity, 0, -1):
-        if not left[length]:
-            continue
-        gap = capacity - length
-        if gap == 0:
-            done.append(Pattern([(length, 1)], int(left[length])))
-            left[length] = 0
-            continue
-        while left[length] and (parts := complement(left, length, gap)):
-            need: dict[int, int] = defaultdict(int)
-            for part in (length, *parts):
-                need[part] += 1
-            n = min(int(left[k]) // m for k, m in need.items())
-            done.append(Pattern(sorted(need.items(), reverse=True), n))
-            for k, m in need.items():
-                left[k] -= n * m
-        if left[length]:
-            residual.append((length, int(left[length])))
-            left[length] = 0
-    return done + best_fit(residual, capacity)
-
-
-def complement(left: np.ndarray, length: int, gap: int) -> tuple[int, ...] | None:
-    """Available lengths, one to three of them, that sum to ``gap``; with ``length`` itself in use once."""
+    for parts in range(depth + 1):
+        for length in range(capacity, 0, -1):
+            while left[length] and (found := complement(left, length, capacity - length, parts)) is not None:
+                need: dict[int, int] = defaultdict(int)
+                for part in (length, *found):
+                    need[part] += 1
+                n = min(int(left[k]) // m for k, m in need.items())
+                done.append(Pattern(sorted(need.items(), reverse=True), n))
+                for k, m in need.items():
+                    left[k] -= n * m
+    return done + best_fit([(length, int(left[length])) for length in range(capacity, 0, -1) if left[length]], capacity)
+
+
+def complement(left: np.ndarray, length: int, gap: int, parts: int) -> tuple[int, ...] | None:
+    """``parts`` available lengths that sum to ``gap``, with ``length`` itself in use once; None where there are none."""
+    if parts == 0 or gap == 0:
+        return () if parts == gap == 0 else None
     free = left[: gap + 1].copy()
     if length <= gap:
         free[length] -= 1
-    if free[gap] > 0:
-        return (gap,)
-    # index by sum: position i holds length i, so a pair sums to gap where i and gap - i are both free
+    if parts == 1:
+        return (gap,) if free[gap] > 0 else None
+    if parts == 2:
+        return pair_of(free, gap)
+    for large in np.flatnonzero(free > 0)[::-1]:
+        if large * 3 < gap:
+            break
+        if large < gap - 1:
+            rest = free[: gap - large + 1].copy()
+            if large < len(rest):
+                rest[large] -= 1
+            if found := pair_of(rest, int(gap - large)):
+                return (int(large), *found)
+    return None
+
+
+def pair_of(free: np.ndarray, gap: int) -> tuple[int, int] | None:
+    """Two available lengths that sum to ``gap``, the most unequal: in the index by length, where i and gap - i are both free."""
     pair = (free > 0) & (free[::-1] > 0)
     pair[0] = pair[-1] = False
     if gap % 2 == 0 and free[gap // 2] < 2:
         pair[gap // 2] = False
-    if pair.any():
-        large = int(np.flatnonzero(pair)[-1])
-        return (large, gap - large)
-    open_ = np.flatnonzero(free > 0)
-    for large in open_[::-1]:
-        large = int(large)
-        if large * 3 < gap or large >= gap:
-            continue
-        rest = gap - large
-        some = free[: rest + 1].copy()
-        if large <= rest:
-            some[large] -= 1
-        pair = (some > 0) & (some[::-1] > 0)
-        pair[0] = pair[-1] = False
-        if rest % 2 == 0 and some[rest // 2] < 2:
-            pair[rest // 2] = False
-        if pair.any():
-            second = int(np.flatnonzero(pair)[-1])
-            return (large, second, rest - second)
-    return None
+    if not pair.any():
+        return None
+    large = int(np.flatnonzero(pair)[-1])
+    return large, gap - large
 
 
 def best_fit(pieces: list[tuple[int, int]], capacity: int) -> list[Pattern]:
