@@ -87,7 +87,7 @@ def exhausted(attempt: Column, most: Column) -> Column:
 def key_expired(created: Column, now: Column, ttl_seconds: Column) -> Column:
     """Strictly later than the time to live; none where that is 0 or less."""
     age = F.timestamp_diff("MICROSECOND", created, now)
-    return (ttl_seconds > 0) & (age > ttl_seconds * 1_000_000)
+    return (ttl_seconds > 0) & (age > ttl_seconds.cast("long") * 1_000_000)
 
 
 def has_consequence(effect_class: Column) -> Column:
