@@ -142,3 +142,31 @@ def sized(docs: DataFrame) -> DataFrame:
     text = common.text_or_empty("text")
     size = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(text.cast("binary")).alias("key"))
+
+
+def oracle(weights: tuple[float, ...] = WEIGHTS, most: int = 3, seed: int = 17) -> str:
+    """`mix_documents` in DuckDB SQL over the view ``documents``."""
+    order = "source IS NULL, source"
+    same = "IS NOT DISTINCT FROM"
+    weight = f"[{', '.join(f'{float(w)}::DOUBLE' for w in weights)}]"
+    return f"""
+WITH s AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::BIGINT AS size, md5(coalesce(text, '')) AS key FROM documents),
+t0 AS (SELECT *, {float(most)}::DOUBLE * source_size AS lim FROM (SELECT source, source_size, {weight}[(row_number() OVER (ORDER BY {order}) - 1) % {len(weights)} + 1] AS weight FROM (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY 1))),
+t1 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER b, 0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0::DOUBLE)) AS level FROM t0 WINDOW b AS (ORDER BY lim / weight, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t2 AS (SELECT source, source_size, least(lim, coalesce(l * weight, lim)) AS target FROM t1, (SELECT arg_min(level, lim / weight) AS l FROM t1 WHERE level * weight <= lim)),
+t3 AS (SELECT *, greatest(0::DOUBLE, target - base * source_size) AS due FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE)::BIGINT ELSE 0 END AS base FROM t2)),
+z AS (SELECT *, size::DOUBLE * size * n AS sq FROM (SELECT source, size, count(*) AS n FROM s WHERE size > 0 GROUP BY ALL)),
+z1 AS (SELECT z.source, size, n, (due - (sum(size * n) OVER l - size * n)) / (sum(sq) OVER (PARTITION BY z.source) - (sum(sq) OVER l - sq)) AS theta FROM z JOIN t3 ON z.source {same} t3.source WINDOW l AS (PARTITION BY z.source ORDER BY size DESC)),
+fit AS (SELECT source, max(size) FILTER (theta * size < 1) AS largest, arg_max(theta, size) FILTER (theta * size < 1) AS theta, sum(size * n) FILTER (theta * size >= 1) AS sure FROM z1 GROUP BY 1),
+t AS (SELECT t3.source, source_size, target, base, coalesce(largest, 0) AS largest, coalesce(theta, 0::DOUBLE) AS theta, due - coalesce(sure, 0) AS due FROM t3 LEFT JOIN fit ON t3.source {same} fit.source),
+c AS (SELECT s.doc_id, s.source, s.size, s.key, t.* EXCLUDE (source), theta * size AS chance, ((('0x' || substr(md5(concat_ws('|', '{seed}', coalesce(doc_id::VARCHAR, ''), key)), 1, 12))::BIGINT)::DOUBLE + 0.5::DOUBLE) / {float(1 << 48)}::DOUBLE AS u FROM s JOIN t ON s.source {same} t.source),
+q AS (SELECT *, CASE WHEN drawn THEN o / (1::DOUBLE + o) END AS q, NOT drawn AND size > largest AND base < {most} AND due > -0.5::DOUBLE AS certain FROM (SELECT *, size > 0 AND size <= largest AND chance > 0 AND chance < 1 AS drawn, CASE WHEN size > 0 AND size <= largest AND chance > 0 AND chance < 1 THEN (u / (1::DOUBLE - u)) / (chance / (1::DOUBLE - chance)) END AS o FROM c)),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(q * {BANDS})) AS through_band, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, key ROWS UNBOUNDED PRECEDING) AS through FROM q WHERE drawn),
+cut AS (SELECT source, min(floor(q * {BANDS})) FILTER (through_band >= due) AS band FROM p GROUP BY 1),
+d AS (SELECT p.*, CASE WHEN floor(q * {BANDS}) < coalesce(band, {BANDS + 1}) THEN true WHEN floor(q * {BANDS}) = band THEN through - size / 2.0::DOUBLE <= due ELSE false END AS more FROM p JOIN cut ON p.source {same} cut.source),
+g AS (SELECT source, any_value(due) - sum(CASE WHEN more THEN size ELSE 0 END) AS gap FROM d GROUP BY 1),
+m AS (SELECT d.*, gap, abs(gap - CASE WHEN more THEN -size ELSE size END) AS miss FROM d JOIN g ON d.source {same} g.source),
+b AS (SELECT source, q, doc_id, key FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, q, doc_id NULLS FIRST, key) AS n FROM m WHERE miss < abs(gap)) WHERE n = 1),
+f AS (SELECT d.doc_id, d.source, d.key, d.size, d.source_size, d.target, d.base, CASE WHEN b.q IS NULL THEN more ELSE NOT more END AS more FROM d LEFT JOIN b ON d.source {same} b.source AND d.q = b.q AND d.doc_id {same} b.doc_id AND d.key = b.key
+  UNION ALL SELECT doc_id, source, key, size, source_size, target, base, certain FROM q WHERE NOT drawn)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN base + more::BIGINT ELSE 0 END * size AS taken, source, CASE WHEN size > 0 THEN base + more::BIGINT ELSE 0 END AS copies FROM f"""

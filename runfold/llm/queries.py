@@ -91,4 +91,4 @@ QUERIES = {
     )
 }
 #: Oracle SQL for those that DuckDB SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op3_link_graph_url_filter": url_filter.oracle(), "op10_warc_capture_index": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_link_graph_url_filter": url_filter.oracle(), "op8_mixing": mixing.oracle(), "op10_warc_capture_index": warc.ORACLE}
