@@ -203,3 +203,21 @@ def unix_nanos(at: Column) -> Column:
 def from_nanos(n: Column) -> Column:
     """An instant from unix nanoseconds, to the microsecond; 0 is unset."""
     return F.when(n != 0, F.timestamp_micros(F.floor(n / 1000)))
+
+
+def decision_error(kind: Column, tool: Column, wake_at: Column, signal: Column, n_calls: Column, policy: Column) -> Column:
+    """Why a decision is refused, by its kind; null where it is not."""
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    return (
+        F.when(kind == "CALL_TOOL", F.when(empty(tool), "no tool"))
+        .when(kind == "CALL_TOOL_PARALLEL", policy_error(policy, F.coalesce(n_calls, F.lit(0))))
+        .when(kind == "SLEEP", F.when(wake_at.isNull(), "no instant"))
+        .when(kind == "WAIT_FOR_SIGNAL", F.when(empty(signal), "no signal"))
+        .when(kind.isin("COMPLETE", "FAIL", "CANCEL"), F.lit(None).cast("string"))
+        .otherwise("unknown kind")
+    )
+
+
+def effect_status_from_log(created: Column, last: Column) -> Column:
+    """What the log alone tells of an effect: it does not record the step from pending to running."""
+    return F.when(last.isNotNull(), last).when(created, "PENDING_OR_RUNNING")

@@ -93,3 +93,28 @@ def resolve_effects(effects: DataFrame, commands: DataFrame) -> DataFrame:
         .otherwise("OK")
     )
     return joined.withColumn("outcome", outcome).withColumn("new_status", F.when(F.col("outcome") == "OK", F.col("verdict"))).drop("status")
+
+
+def release_runs(runs: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Runs with those that a stored signal reached (run_id) unparked; the version stays."""
+    reached = arrivals.select("run_id").distinct().withColumn("__reached", F.lit(True))
+    return runs.join(reached, "run_id", "left").withColumn("available_at", F.when(F.col("__reached").isNull(), F.col("available_at"))).drop("__reached")
+
+
+def update_effects(effects: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
+    """Transition effects by updates (effect_key and ``columns``): a null keeps what was there."""
+    fresh = updates.select("effect_key", *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = effects.join(fresh, "effect_key", "left")
+    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in effects.columns])
+
+
+def complete_tasks(tasks: DataFrame, leases: DataFrame, reports: DataFrame) -> DataFrame:
+    """Reports of results (task_id, token): STALE under another token, CONFLICT when the task does not run, else OK."""
+    joined = reports.join(tasks.select("task_id", "status"), "task_id", "left").join(leases.select("task_id", "fencing_token"), "task_id", "left")
+    outcome = (
+        F.when(F.col("status").isNull(), "NOT_FOUND")
+        .when(F.col("fencing_token").isNull() | (F.col("fencing_token") != F.col("token")), "STALE")
+        .when(F.col("status") != "RUNNING", "CONFLICT")
+        .otherwise("OK")
+    )
+    return joined.withColumn("outcome", outcome).drop("status", "fencing_token")

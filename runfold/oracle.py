@@ -167,6 +167,21 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "claimed_before_not_before": (("tasks", "deliveries"), f"SELECT task_id, {at('t.available_at', 'available_at')}, {at('d.available_at', 'not_before')} FROM tasks t JOIN deliveries d USING (task_id) WHERE t.status = 'PENDING' AND d.published_at IS NULL AND d.available_at > t.available_at"),
     "unresolved_unknown": (("effects",), "SELECT effect_key, effect_class FROM effects WHERE status = 'UNKNOWN' AND effect_class IN ('NONE', 'UNRECONCILABLE')"),
     "dispatch_latency": (("log",), "SELECT date_diff('second', a, b) AS seconds, count(*) AS steps FROM (SELECT min(created_at) FILTER (event_type = 'TASK_CREATED') AS a, min(created_at) FILTER (event_type = 'TASK_CLAIMED') AS b FROM log GROUP BY run_id, step_id) WHERE b >= a GROUP BY 1"),
+    "run_latency": (("log",), "SELECT date_sub('second', a, b) // 60 AS minutes, count(*) AS runs FROM (SELECT min(created_at) FILTER (event_type = 'RUN_STARTED') AS a, min(created_at) FILTER (event_type = 'RUN_COMPLETED') AS b FROM log GROUP BY run_id) WHERE b >= a GROUP BY 1"),
+    "decision_validity": ((), f"SELECT event_id, kind, CASE kind WHEN 'CALL_TOOL' THEN CASE WHEN event_id % 4 = 0 THEN 'no tool' END WHEN 'CALL_TOOL_PARALLEL' THEN {policy_error('p', 'event_id % 4')} WHEN 'SLEEP' THEN CASE WHEN event_id % 5 = 2 THEN 'no instant' END WHEN 'WAIT_FOR_SIGNAL' THEN CASE WHEN event_id % 7 = 3 THEN 'no signal' END WHEN 'COMPLETE' THEN NULL ELSE 'unknown kind' END AS error FROM (SELECT event_id, ['CALL_TOOL', 'CALL_TOOL_PARALLEL', 'SLEEP', 'WAIT_FOR_SIGNAL', 'COMPLETE', 'COMPENSATE'][event_id % 6 + 1] AS kind, CASE WHEN event_id % 9 = 1 THEN 'SOME' ELSE 'QUORUM(2)' END AS p FROM events)"),
+    "descriptor_validity": ((), "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'no name' WHEN p_partkey % 3 = 2 THEN 'unspecified class' WHEN p_partkey % 3 = 0 AND p_size % 2 <> 0 THEN 'no reconciler' END AS error FROM part"),
+    "provider_resolution": (("lines",), "SELECT CASE WHEN l_partkey % 5 = 0 OR l_quantity::BIGINT % 3 = 2 THEN 'STILL_UNKNOWN' WHEN l_quantity::BIGINT % 3 = 0 THEN 'COMMITTED' ELSE 'NOT_EXECUTED' END AS resolution, CASE WHEN l_suppkey % 3 = 0 THEN 'STILL_UNKNOWN' WHEN l_suppkey % 2 = 0 THEN 'COMMITTED' ELSE 'NOT_EXECUTED' END AS hook, count(*) AS effects FROM lines GROUP BY ALL"),
+    "suspension_predicates": (("decisions",), "SELECT run_id, kind IN ('SLEEP', 'WAIT_FOR_SIGNAL') AS suspends, kind = 'WAIT_FOR_SIGNAL' AS indefinite FROM decisions"),
+    "run_release": (("runs",), "SELECT available_at IS NULL OR run_id IN (SELECT concat('R', l_orderkey) FROM lineitem WHERE l_partkey % 10 = 0) AS ready, version, count(*) AS runs FROM runs WHERE status = 'RUNNING' GROUP BY ALL"),
+    "run_finish": (("decisions",), "SELECT run_id, s AS status, concat('RUN_', s) AS event, kind = 'FAIL' AS keeps_reason FROM (SELECT *, CASE kind WHEN 'COMPLETE' THEN 'COMPLETED' WHEN 'FAIL' THEN 'FAILED' WHEN 'CANCEL' THEN 'CANCELLED' END AS s FROM decisions) WHERE s IS NOT NULL"),
+    "task_complete": (("lines",), "SELECT CASE WHEN l_returnflag <> 'N' OR l_linestatus <> 'F' OR l_partkey % 3 = 0 THEN 'STALE' ELSE 'OK' END AS outcome, count(*) AS reports FROM lines GROUP BY 1"),
+    "effect_update": (("effects",), "SELECT CASE WHEN effect_class <> 'NONE' AND answer = 'COMMITTED' THEN 'COMMITTED' ELSE status END AS status, answer, count(*) AS effects FROM effects GROUP BY ALL"),
+    "effect_status_from_log": (("effects",), "SELECT CASE WHEN status IN ('PENDING', 'RUNNING') THEN 'PENDING_OR_RUNNING' ELSE status END AS status, count(*) AS effects FROM effects GROUP BY 1"),
+    "heartbeat_sessions": ((), f"SELECT worker_id, {at('min(ts)', 'first')}, {at('max(ts) + INTERVAL 6 HOUR', 'free_at')}, count(*) AS beats FROM (SELECT *, sum(new) OVER (PARTITION BY worker_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT concat('W', user_id) AS worker_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY worker_id, n"),
+    "retention": ((), f"SELECT event_type, count(*) AS kept FROM events WHERE ts > {NE} - INTERVAL 1 DAY AND ts <= {NE} GROUP BY 1"),
+    "canonical_json": ((), "SELECT event_id, concat('{\"a\":{\"k\":', props::JSON ->> 'k', '},\"z\":1.0}') AS canonical FROM events"),
+    "sequential_ids": (("stream",), "SELECT run_id, seq, concat(run_id, '-', row_number() OVER (PARTITION BY run_id ORDER BY seq)) AS new_id FROM stream WHERE event_type = 'TIMER_SET'"),
+    "null_normalised": ((), "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN props END AS payload, CASE WHEN event_id % 3 = 1 THEN props ELSE '{}' END AS body FROM events"),
     "stream_open_waits": (("waits",), "SELECT run_id, step_id, kind FROM waits"),
     "stream_signal_dedup": (("signals",), "SELECT run_id, count(DISTINCT signal_id) AS signals FROM signals GROUP BY 1"),
     "replay_decision": ((), "SELECT concat('C', conv_id) AS run_id, CASE WHEN n < 2 THEN 'CALL_TOOL' ELSE 'COMPLETE' END AS kind, CASE WHEN n < 2 THEN concat('S', n + 1) END AS step_id, NULL::VARCHAR AS error FROM (SELECT conv_id, count(*) FILTER (role = 'assistant') AS n FROM conversations GROUP BY 1)"),

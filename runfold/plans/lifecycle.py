@@ -114,3 +114,10 @@ def wait_text(waits: DataFrame, now: Column) -> DataFrame:
     late, left = F.timestamp_diff("SECOND", F.col("until"), now), F.timestamp_diff("SECOND", now, F.col("until"))
     text = F.when(S.is_indefinite(F.col("until")), F.concat(at, F.lit(", with no scheduled wake-up"))).when(F.col("until") <= now, F.concat(until, F.lit(" (due "), S.duration_text(late), F.lit(" ago)"))).otherwise(F.concat(until, F.lit(" (in "), S.duration_text(left), F.lit(")")))
     return waits.select("run_id", text.alias("description"))
+
+
+def finish_plan(decisions: DataFrame) -> DataFrame:
+    """Runs that a decision ends: status, event, and whether the reason stays on the run (a cancel's is in its event alone)."""
+    ends = F.create_map(*[F.lit(x) for pair in (("COMPLETE", "COMPLETED"), ("FAIL", "FAILED"), ("CANCEL", "CANCELLED")) for x in pair])
+    ended = decisions.withColumn("status", F.try_element_at(ends, "kind")).where("status is not null")
+    return ended.select("run_id", "status", F.concat(F.lit("RUN_"), "status").alias("event"), (F.col("kind") == "FAIL").alias("keeps_reason"))

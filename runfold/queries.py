@@ -532,6 +532,107 @@ def dispatch_latency(j: Journal) -> DataFrame:
     return audit.latency(j.log, "TASK_CREATED", "TASK_CLAIMED").groupBy("seconds").agg(F.count(F.lit(1)).alias("steps"))
 
 
+@query
+def run_latency(j: Journal) -> DataFrame:
+    """Minutes from a run's start to its end."""
+    ends = j.log.where(F.col("event_type").isin("RUN_STARTED", "RUN_COMPLETED")).withColumn("step_id", F.lit("run"))
+    return audit.latency(ends, "RUN_STARTED", "RUN_COMPLETED").groupBy(F.floor(F.col("seconds") / 60).alias("minutes")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query
+def decision_validity(j: Journal) -> DataFrame:
+    e = j.table("events")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("CALL_TOOL", "CALL_TOOL_PARALLEL", "SLEEP", "WAIT_FOR_SIGNAL", "COMPLETE", "COMPENSATE")]), (F.col("event_id") % 6 + 1).cast("int"))
+    tool, wake = F.when(F.col("event_id") % 4 == 0, "").otherwise("lookup"), F.when(F.col("event_id") % 5 != 2, F.col("ts"))
+    signal, n = F.when(F.col("event_id") % 7 != 3, "go"), F.col("event_id") % 4
+    error = S.decision_error(kind, tool, wake, signal, n, F.when(F.col("event_id") % 9 == 1, "SOME").otherwise("QUORUM(2)"))
+    return e.select("event_id", kind.alias("kind"), error.alias("error"))
+
+
+@query
+def descriptor_validity(j: Journal) -> DataFrame:
+    p = j.table("part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, "").otherwise(F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, "QUERYABLE").when(F.col("p_partkey") % 3 == 1, "NONE").alias("effect_class"), (F.col("p_size") % 2 == 0).alias("reconcilable"))
+    return p.select("p_partkey", S.descriptor_error(F.col("name"), F.col("effect_class"), F.col("reconcilable")).alias("error"))
+
+
+@query
+def provider_resolution(j: Journal) -> DataFrame:
+    raw = F.when(F.col("l_partkey") % 5 == 0, "GARBLED").otherwise(F.col("answer"))
+    e = j.effects.join(j.lines.select("task_id", "l_partkey", "l_suppkey"), "task_id")
+    hook = S.hook_resolution(F.col("l_suppkey") % 3 != 0, F.when(F.col("l_suppkey") % 2 == 0, "ref"))
+    return e.groupBy(S.resolution(raw).alias("resolution"), hook.alias("hook")).agg(F.count(F.lit(1)).alias("effects"))
+
+
+@query
+def suspension_predicates(j: Journal) -> DataFrame:
+    d = decisions(j)
+    until = F.when(F.col("kind") == "WAIT_FOR_SIGNAL", now(S.INDEFINITE)).otherwise(now())
+    return d.select("run_id", S.is_suspension(F.col("kind")).alias("suspends"), S.is_indefinite(until).alias("indefinite"))
+
+
+@query
+def run_release(j: Journal) -> DataFrame:
+    arrivals = j.lines.where("l_partkey % 10 = 0").select("run_id")
+    return writes.release_runs(j.runs, arrivals).where("status = 'RUNNING'").groupBy(F.col("available_at").isNull().alias("ready"), "version").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query
+def run_finish(j: Journal) -> DataFrame:
+    return lifecycle.finish_plan(decisions(j))
+
+
+@query
+def task_complete(j: Journal) -> DataFrame:
+    reports = j.lines.select("task_id", (F.col("l_linenumber") + F.when(F.col("l_partkey") % 3 == 0, 2).otherwise(1)).cast("long").alias("token"))
+    return writes.complete_tasks(j.tasks, j.leases, reports).groupBy("outcome").agg(F.count(F.lit(1)).alias("reports"))
+
+
+@query
+def effect_update(j: Journal) -> DataFrame:
+    updates = j.effects.where("effect_class <> 'NONE'").select("effect_key", F.when(F.col("answer") == "COMMITTED", "COMMITTED").alias("status"), F.lit(None).cast("string").alias("answer"))
+    return writes.update_effects(j.effects, updates, ["status", "answer"]).groupBy("status", "answer").agg(F.count(F.lit(1)).alias("effects"))
+
+
+@query
+def effect_status_from_log(j: Journal) -> DataFrame:
+    last = F.when(F.col("status").isin("COMMITTED", "FAILED", "UNKNOWN"), F.col("status"))
+    return j.effects.groupBy(S.effect_status_from_log(F.lit(True), last).alias("status")).agg(F.count(F.lit(1)).alias("effects"))
+
+
+@query
+def heartbeat_sessions(j: Journal) -> DataFrame:
+    """Spans in which a user's events follow one another within six hours."""
+    beats = j.table("events").select(F.concat(F.lit("W"), "user_id").alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.heartbeat_sessions(beats, "6 hours").select("worker_id", at("first"), at("free_at"), "beats")
+
+
+@query
+def retention(j: Journal) -> DataFrame:
+    """Deliveries younger than the stream keeps them."""
+    kept = j.table("events").where(F.col("ts") > now(NOW_EVENTS) - F.make_dt_interval(F.lit(1))).where(F.col("ts") <= now(NOW_EVENTS))
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query
+def canonical_json(j: Journal) -> DataFrame:
+    ship(j.spark)
+    rows = j.table("events").select("event_id", F.concat(F.lit('{"z": 1.0, "a": '), "props", F.lit("}")).alias("j"))
+    return rows.select("event_id", replay_.canonical_json("j").alias("canonical"))
+
+
+@query
+def sequential_ids(j: Journal) -> DataFrame:
+    """Ids of new events in each run's order."""
+    n = F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))
+    return j.stream.where("event_type = 'TIMER_SET'").select("run_id", "seq", F.concat("run_id", F.lit("-"), n).alias("new_id"))
+
+
+@query
+def null_normalised(j: Journal) -> DataFrame:
+    raw = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.col("props"))
+    return j.table("events").select("event_id", E.or_null(raw).alias("payload"), E.or_empty_object(raw).alias("body"))
+
+
 def scratch(j: Journal, name: str) -> str:
     """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset."""
     at_ = j.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runfold-")
