@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,10 +164,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def inside_blocks(members: DataFrame, buckets: DataFrame, k: int, percent: int) -> DataFrame:
+def inside_blocks(members: DataFrame, buckets: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
     """Step 4: links between different components of a bucket.
 
-    members: (bucket, rep, component, minima, text); buckets: (bucket, main, n_main, n_rest),
+    members: (bucket, band, rep, component, minima, text); buckets: (bucket, main, n_main, n_rest),
     its largest component and how many classes it has and how many others. Blocks of
     the others meet one another and the main component's blocks; the latter do not meet each other.
     """
@@ -179,41 +178,87 @@ def inside_blocks(members: DataFrame, buckets: DataFrame, k: int, percent: int)
     # blocks of the others count from 1, the main component's from -1 down
     placed = placed.withColumn("block", F.when(F.col("__main"), -1 - F.col("block")).otherwise(1 + F.col("block")))
     meets = F.when(F.col("__main"), numbers("n_rest", 1)).otherwise(F.concat(numbers("n_rest", 1), numbers("n_main", -1)))
-    dealt = placed.select("bucket", "rep", "component", "minima", "text", "block", F.explode(meets).alias("other")).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack([np.frombuffer(x, np.uint16) for x in group["minima"]])
-        comp, reps, block = group["component"].to_numpy(), group["rep"].to_numpy(), group["block"].to_numpy()
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        head = {c: c for c in comp}
-
-        def root(c: int) -> int:
-            while head[c] != c:
-                c = head[c]
-            return c
-
-        sets: dict[int, np.ndarray] = {}
-        text = group["text"].tolist()
-
-        def of(n: int) -> np.ndarray:
-            if n not in sets:
-                sets[n] = shingle_set(text[n], k)
-            return sets[n]
-
-        # at four standard deviations below the threshold
-        p = percent / 100
-        low = p - 4 * (p * (1 - p) / m.shape[1]) ** 0.5
-        links = []
-        for x in np.flatnonzero(block == i):
-            same = (m[x] == m).mean(axis=1)
-            ys = np.flatnonzero((same >= low) & (block == j) & (comp != comp[x]))
-            for y in ys[np.argsort(-same[ys], kind="stable")]:
-                if (i < j or y > x) and root(comp[x]) != root(comp[y]) and alike(of(x), of(y), percent):
-                    head[root(comp[y])] = root(comp[x])
-                    links.append((reps[x], reps[y]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    dealt = placed.select("bucket", "band", "rep", "component", "minima", "text", "block", F.explode(meets).alias("other"))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "rep", "component", "block", "minima", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for rows in runs_of(batches, ("bucket", "i", "j")):
+            found += block_links(rows, k, percent, bands)
+            if len(found) >= 10_000:
+                yield pairs_batch(found)
+                found = []
+        yield pairs_batch(found)
+
+    # dealt by block as well: a hot bucket's blocks go to many tasks
+    keys = ("bucket", "i", "j")
+    return dealt.repartition(common.shuffle_parts(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
+
+def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Rows of sorted batches in runs of equal keys, also where a run goes on in the next batch."""
+    run: list[dict] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            for row in batch.slice(at, 1024).to_pylist():
+                if run and any(row[k] != run[0][k] for k in keys):
+                    yield run
+                    run = []
+                run.append(row)
+    if run:
+        yield run
+
+
+def block_links(rows: list[dict], k: int, percent: int, bands: int) -> list[tuple[int, int]]:
+    """Links between the components of two blocks of a bucket, no more than connect them.
+
+    A pair that shares several bands is compared in the first one's bucket alone: both its
+    classes are there, and with them in different components that bucket is open too.
+    """
+    m = np.stack([np.frombuffer(r["minima"], np.uint16) for r in rows])
+    comp, block = [r["component"] for r in rows], np.array([r["block"] for r in rows])
+    i, j, band = rows[0]["i"], rows[0]["j"], rows[0]["band"]
+    names = {c: n for n, c in enumerate(dict.fromkeys(comp))}
+    label = np.array([names[c] for c in comp])
+    head = list(range(len(names)))
+
+    def root(c: int) -> int:
+        while head[c] != c:
+            c = head[c]
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+
+    def of(n: int) -> np.ndarray:
+        if n not in sets:
+            sets[n] = shingle_set(rows[n]["text"] or "", k)
+        return sets[n]
+
+    # at four standard deviations below the threshold
+    p = percent / 100
+    low = p - 4 * (p * (1 - p) / m.shape[1]) ** 0.5
+    links = []
+    for x in np.flatnonzero(block == i):
+        other = (block == j) & (label != label[x])
+        if i == j:
+            other[: x + 1] = False
+        ys = np.flatnonzero(other)
+        if not len(ys):
+            continue
+        equal = m[x] == m[ys]
+        same = equal.mean(axis=1)
+        first = equal.reshape(len(ys), bands, -1).all(axis=2).argmax(axis=1)
+        good = (same >= low) & (first == band)
+        ys, same = ys[good], same[good]
+        for y in ys[np.argsort(-same, kind="stable")]:
+            if root(label[x]) != root(label[y]) and alike(of(x), of(y), percent):
+                head[root(label[y])] = root(label[x])
+                links.append((rows[x]["rep"], rows[y]["rep"]))
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -228,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = common.materialize(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     banded = signed.where("digest is not null").select("digest", F.col("doc_id").alias("rep"), "bands", "minima").join(classes, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
     banded = common.materialize(banded.select("rep", "bands", "minima"), "banded")
-    buckets = banded.select("rep", F.explode("bands").alias("bucket"))
+    buckets = banded.select("rep", F.posexplode("bands").alias("band", "bucket"))
     centres = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket"), F.col("rep"))).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
     centres = common.materialize(centres.select("bucket", F.col("c.rep").alias("centre")), "centres")
     shared = common.materialize(buckets.join(centres, "bucket"), "shared")
@@ -240,12 +285,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     texts = common.materialize(picked(docs).join(F.broadcast(active) if few else active, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "active_texts")
     links = common.materialize(confirm(first, texts, k, percent), "confirmed")
     found = common.materialize(components(links), "components")
-    labelled = shared.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    labelled = shared.select("bucket", "band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = common.materialize(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"))
     open_ = common.materialize(sizes.where("n > m.n").select("bucket", F.col("m.component").alias("main"), F.col("m.n").alias("n_main"), (F.col("n") - F.col("m.n")).alias("n_rest")), "open")
     members = labelled.join(open_.select("bucket"), "bucket").join(banded.select("rep", "minima"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    rest = common.materialize(inside_blocks(members, open_, k, percent), "rest")
+    rest = common.materialize(inside_blocks(members, open_, k, percent, bands), "rest")
     if not rest.isEmpty():
         found = common.materialize(components(links.unionByName(rest)), "components")
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
