@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(sf_dir):
@@ -14,7 +15,7 @@ def connect(sf_dir):
 
 
 def value(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return None
     if isinstance(v, float) and v.is_integer():
         return int(v)
