@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm import common
+from runfold.session import ship
 
 BANDS, ROWS = 32, 5
 #: Classes in a block of step 4.
@@ -269,6 +270,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     doc_id count as one document. A row with a null doc_id takes its copies' component and is
     kept only where it has none. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     signed = common.materialize(signatures(docs, k, bands, rows), "signed")
     classes = common.materialize(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     banded = signed.where("digest is not null").select("digest", F.col("doc_id").alias("rep"), "bands", "minima").join(classes, ["digest", "rep"]).dropDuplicates(["digest", "rep"])

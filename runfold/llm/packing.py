@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm import common
+from runfold.session import ship
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The separator id that ends each document.
@@ -102,6 +103,7 @@ def cut_texts(docs: DataFrame, path: str, capacity: int, id_column: str = "doc_i
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
 
+    ship(docs.sparkSession)
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return picked.mapInArrow(cut, PIECES)
 
@@ -232,6 +234,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     materialized table.
     """
     spark = pieces.sparkSession
+    ship(spark)
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     table = slots(solve(counts, capacity))
     big = max(counts.values(), default=0) + 1

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from runfold.llm import common
 from runfold.llm.minhash import word_hashes
+from runfold.session import ship
 
 CLASSES = 64
 SHARE = 0.02
@@ -219,6 +220,7 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, s
     A null text has no words and fails the base rules. A null lang, and a lang with less than
     ``share`` of the documents, use the pooled model. Repeated rows are judged alike.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     langs = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total = langs.agg(F.sum("n")).first()[0] or 0

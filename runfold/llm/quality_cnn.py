@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm import sample
+from runfold.session import ship
 
 WIDTH, STRIDE, FILTERS = 8, 4, 16
 #: Filter places in a chunk.
@@ -133,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
 
 def flag(docs: DataFrame, network: Network, out: str) -> DataFrame:
     """All columns and rows of ``docs`` with the score added as ``out``; nothing is shuffled."""
+    ship(docs.sparkSession)
     score_text = scorer(network)
     return docs.withColumn(out, score_text(F.col("text").cast("string")))
 

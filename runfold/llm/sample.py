@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm import common
+from runfold.session import ship
 
 
 def crc_bucket(n: int) -> Column:
@@ -20,6 +21,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per
     hash, so that the choice depends on nothing but the ids. Labels other than 0 and 1 are
     left out; of several labels of an id the largest holds.
     """
+    ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(learn)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     present = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm import common, sample
+from runfold.session import ship
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 #: Fixed word lists.
@@ -232,4 +233,5 @@ def scorer(grammar: Grammar):
 
 def flag(docs: DataFrame, grammar: Grammar, out: str) -> DataFrame:
     """All rows and columns of ``docs`` with the score of ``text`` added as ``out``; nothing is shuffled."""
+    ship(docs.sparkSession)
     return docs.withColumn(out, scorer(grammar)(F.col("text").cast("string")))

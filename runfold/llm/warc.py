@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm import common
+from runfold.session import ship
 
 BLOCK_LINES = 256
 #: Payloads of fewer bytes are never revisits.
@@ -260,6 +261,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     is a response. Rows with a null page_id are archived and found again under their url.
     """
     spark = pages.sparkSession
+    ship(spark)
     folder = uri(common.scratch_path(spark, "warc"))
     captures = write_archives(with_revisits(pages), folder)
     index = write_index(captures, folder)
