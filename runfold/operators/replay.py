@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runfold.session import ship
+
 DECISIONS = "run_id string, kind string, step_id string, detail string, error string"
 LOG = ("run_id", "seq", "event_type", "step_id", "body", "created_at")
 
@@ -158,6 +160,7 @@ def replay(log: DataFrame, body: Callable[[Context], Any]) -> DataFrame:
         events = [{"event_type": t, "step_id": s, "body": json.loads(b) if b else {}, "created_at": c} for t, s, b, c in zip(group["event_type"], group["step_id"], group["body"], group["created_at"], strict=True)]
         return pd.DataFrame([decide(group["run_id"].iloc[0], events, body)], columns=[x.split()[0] for x in DECISIONS.split(", ")])
 
+    ship(log.sparkSession)
     return log.select(*LOG).groupBy("run_id").applyInPandas(one, DECISIONS)
 
 

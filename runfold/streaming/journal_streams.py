@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runfold.functions import envelope
 from runfold.operators.folds import CLOSERS, OPENERS
+from runfold.session import ship
 
 INDEFINITE_MS = 253402300799000
 WAIT_STATE = "step_id string, kind string, until_ms long, opened long, seq long, signals string"
@@ -80,6 +81,7 @@ def durable_waits(events: DataFrame, until_ms: Column, timers: bool = True) -> D
         shown = after or (None, None, None, None)
         yield pd.DataFrame([(key[0], rows[-1][0], "OPEN" if after else "CLOSED", shown[0], shown[1], shown[2])], columns=names)
 
+    ship(events.sparkSession)
     keyed = events.select("run_id", "seq", "event_type", "step_id", until_ms.cast("long").alias("until_ms"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout
     return keyed.groupBy("run_id").applyInPandasWithState(step, WAIT_OUT, WAIT_STATE, "append", timeout)
