@@ -1,50 +1,64 @@
 """Quality rules: counts of words and repeats, and bands of n-gram perplexity.
 
-The language model is a modified Kneser-Ney trigram model over characters folded to 64
-classes. Spark counts the trigrams of every whole document; tasks add up what they read before
-anything is shuffled. A language with at least ``SHARE`` of the documents has its own model,
-the others share one, so there are at most ``1 / SHARE + 1`` models of at most 64 ** 3 entries:
-a bound that no input exceeds. A model is held as arrays sorted by the n-gram's hash (its
-classes packed, free of collisions) and searched by bisection.
+The language model is modified Kneser-Ney over words: bigrams, over a base that spells a word by
+a modified Kneser-Ney trigram model of characters. Spark counts both in every whole document. The
+word model grows with the input and is never in one place:
+
+1. Tasks count contexts and character trigrams; Spark adds them up. Characters are folded to 64
+   classes, so a language's base has at most 64 ** 3 entries, and it alone is sent to every task. A
+   language with at least ``SHARE`` of the documents has its own model, the others share one.
+2. Tasks pack the distinct bigrams of many documents, with the documents each is in, into one block for
+   each bucket of contexts, and Spark deals the blocks by bucket. The number of buckets grows with the input.
+3. A bucket adds its blocks up into one array of sorted bigram hashes with their counts. What the
+   model needs of a context is there, so each bigram is scored in place, and all that leaves
+   the bucket is a sum for each document.
+
+A context with more than a bucket's share (at most as many as there are buckets) is split over several by the
+hash of the next word: its total is known from step 1, and the weight that it leaves to the base
+is taken in each part for the whole. Discounts come from each bucket's own counts.
 
 A document is rejected where its perplexity lies outside its language's band: as many
 interquartile ranges below and above the median as ``LOWER`` and ``UPPER`` say, taken over all
-documents of the language that pass the base rules. The upper side is wide, as sound
-documents with passages in another language or with tables of numbers lie far above the median.
+documents of the language that pass the base rules. The lower side is the wider, as sound documents with
+many copies lie far below the median: a bigram that is in many copies is no surprise.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm import common
-from runfold.llm.minhash import word_hashes
+from runfold.llm.minhash import runs_of, word_hashes
 from runfold.session import ship
 
 CLASSES = 64
 SHARE = 0.02
-LOWER, UPPER = 8.0, 30.0
+LOWER, UPPER = 8.0, 4.0
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 #: The model of the languages without one of their own.
 POOL = ""
+#: Bytes of text for each bucket of contexts, and the least number of buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 16
+#: Characters of text, and documents, whose bigrams are packed together.
+CHUNK_CHARS, CHUNK_DOCS = 6_000_000, 50_000
 
 
 def fold_table() -> np.ndarray:
-    """Class of each code point below 0x250; those beyond share the last class but one."""
+    """Class of each code point below 0x250, without regard to A-Z or a-z; those beyond share the last class but one."""
     table = np.full(0x250, 63, np.uint8)
     for cp in range(0x250):
         c = chr(cp)
-        if "a" <= c <= "z":
-            table[cp] = 9 + cp - 97
-        elif "A" <= c <= "Z":
-            table[cp] = 35 + cp - 65
+        if c.isascii() and c.isalpha():
+            table[cp] = 9 + ord(c.lower()) - 97
         elif c == "\n":
             table[cp] = 2
         elif c in SPACES:
@@ -77,26 +91,43 @@ def trigrams(text: str) -> np.ndarray:
     return (x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:]
 
 
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """(model, key, n): how often each trigram is in the texts of each model; docs: (model, text)."""
+def contexts_of(words: np.ndarray, model: str) -> np.ndarray:
+    """The hash of the context of each of a document's words: the word before it, in its language; the first has the start."""
+    before = np.concatenate((np.zeros(1, np.uint64), words[:-1]))
+    return common.mix64(before ^ np.uint64(zlib.crc32(model.encode()) << 20 | 1))
+
+
+def count_ngrams(docs: DataFrame) -> DataFrame:
+    """(model, word, key, n): how often each character trigram, and each context of a word, is in the texts of each model; docs: (model, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             models = batch.column("model").to_pylist()
-            parts: dict[str, list[np.ndarray]] = {}
+            parts: dict[str, tuple[list[np.ndarray], list[np.ndarray]]] = {}
             for model, text in zip(models, common.texts(batch), strict=True):
                 if text:
-                    parts.setdefault(model, []).append(trigrams(text))
-            for model, keys in parts.items():
-                for at in range(0, len(keys), 256):
-                    n = np.bincount(np.concatenate(keys[at : at + 256]), minlength=CLASSES**3)
+                    chars, contexts = parts.setdefault(model, ([], []))
+                    chars.append(trigrams(text))
+                    if len(words := word_hashes(text)):
+                        contexts.append(contexts_of(words, model))
+            for model, (chars, contexts) in parts.items():
+                for at in range(0, len(chars), 256):
+                    n = np.bincount(np.concatenate(chars[at : at + 256]), minlength=CLASSES**3)
                     sums[model] = sums[model] + n if model in sums else n
+                if contexts:
+                    yield counted(model, True, *np.unique(np.concatenate(contexts), return_counts=True))
         for model, n in sums.items():
             key = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"model": pa.array([model] * len(key), pa.string()), "key": pa.array(key.astype(np.int32)), "n": pa.array(n[key].astype(np.int64))})
+            yield counted(model, False, key, n[key])
+
+    keys = ["model", "word", "key"]
+    return docs.select("model", "text").mapInArrow(count, "model string, word boolean, key long, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
+
 
-    return docs.select("model", "text").mapInArrow(count, "model string, key int, n long").groupBy("model", "key").agg(F.sum("n").alias("n"))
+def counted(model: str, word: bool, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    size = len(key)
+    return pa.RecordBatch.from_pydict({"model": pa.array([model] * size, pa.string()), "word": pa.array([word] * size, pa.bool_()), "key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
 @dataclass
@@ -127,8 +158,12 @@ class Model:
             out[miss] = back + shorter
         return out
 
-    def perplexity(self, text: str) -> float | None:
-        return float(np.exp(-self.logp(trigrams(text)).mean())) if text else None
+    def spelling(self, words: list[str]) -> np.ndarray:
+        """Log-probability of the spelling of each word and of the space that ends it, after a comma and a space."""
+        sizes = np.array([len(w) + 1 for w in words])  # the space is the word's, the comma and the space after it are not
+        begins = 2 + np.cumsum(sizes + 2) - (sizes + 2)
+        logp = self.logp(trigrams(", " + " , ".join(words) + " , "))
+        return np.add.reduceat(logp, np.column_stack((begins, begins + sizes)).ravel())[::2]
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -165,9 +200,9 @@ def fit(keys: np.ndarray, counts: np.ndarray) -> Model:
     return Model(keys, np.log(p3).astype(f), ctx, np.log(left3[ctx]).astype(f), bi, np.log(p2).astype(f), np.log(left2).astype(f), np.log(uni).astype(f))
 
 
-def models_of(docs: DataFrame) -> dict[str, Model]:
-    """One model for each value of ``model`` in docs (model, text)."""
-    rows = count_trigrams(docs).toPandas()  # at most (1 / SHARE + 1) * 64 ** 3 rows, see above
+def models_of(counts: DataFrame) -> dict[str, Model]:
+    """The spelling model of each value of ``model`` in `count_ngrams`' rows."""
+    rows = counts.where("not word").select("model", "key", "n").toPandas()  # at most (1 / SHARE + 1) * 64 ** 3 rows, see above
     found = {}
     for model, part in rows.groupby("model"):
         part = part.sort_values("key")
@@ -175,6 +210,131 @@ def models_of(docs: DataFrame) -> dict[str, Model]:
     return found
 
 
+@dataclass
+class Heavy:
+    """Contexts of more than a bucket's share: their sorted hashes, totals, and over how many buckets each is split."""
+
+    keys: np.ndarray
+    totals: np.ndarray
+    parts: np.ndarray
+
+
+def heavy_contexts(counts: DataFrame, buckets: int) -> Heavy:
+    contexts = counts.where("word")
+    total = contexts.agg(F.sum("n")).first()[0] or 0
+    rows = contexts.where(F.col("n") * buckets > total).select("key", "n").collect()  # fewer than ``buckets``
+    keys, n = np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(keys)
+    return Heavy(keys[order], n[order], np.minimum(-(-n[order] * buckets // max(total, 1)), buckets))
+
+
+def bigram_blocks(docs: DataFrame, models: dict[str, Model], buckets: int, heavy: Heavy) -> DataFrame:
+    """Step 2: rows (bucket, block); docs: (row_key, model, text)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: list[tuple[int, str, str]] = []
+        chars = 0
+        for batch in common.small_batches(batches):
+            for row in zip(batch.column("row_key").to_pylist(), batch.column("model").to_pylist(), common.texts(batch), strict=True):
+                chunk.append(row)
+                chars += len(row[2])
+                if chars >= CHUNK_CHARS or len(chunk) >= CHUNK_DOCS:
+                    yield packed(chunk)
+                    chunk, chars = [], 0
+        yield packed(chunk)
+
+    def packed(chunk: list[tuple[int, str, str]]) -> pa.RecordBatch:
+        parts = [block for model in {r[1] for r in chunk} for block in chunk_blocks([r for r in chunk if r[1] == model], models.get(model), buckets, heavy)]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int64()), "block": pa.array([x for _, x in parts], pa.binary())})
+
+    return docs.select("row_key", "model", "text").mapInArrow(pack, "bucket long, block binary")
+
+
+#: The arrays of a block: per bigram its hash, its base's log-probability, its place in Heavy (or -1) and number of documents; per bigram and document the document's place and the count; the documents.
+BLOCK = (np.uint64, np.float32, np.int32, np.uint32, np.uint32, np.uint32, np.int64)
+
+
+def chunk_blocks(rows: list[tuple[int, str, str]], model: Model | None, buckets: int, heavy: Heavy) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block) of documents (row_key, model, text) of one model."""
+    hashes, contexts, spelled = [], [], []
+    for _, name, text in rows:
+        hashes.append(word_hashes(text))
+        if len(hashes[-1]):
+            contexts.append(contexts_of(hashes[-1], name))
+            spelled += text.encode().lower().split()
+    if not contexts:
+        return
+    doc = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
+    words, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    base = model.spelling([spelled[i].decode() for i in first])
+    context, low = np.concatenate(contexts), words[which] >> np.uint64(32)
+    bucket = ((context & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    place = np.full(len(context), -1)
+    if len(heavy.keys):
+        at = np.minimum(np.searchsorted(heavy.keys, context), len(heavy.keys) - 1)
+        hit = heavy.keys[at] == context
+        place[hit] = at[hit]
+        bucket[hit] = (bucket[hit] + low[hit].astype(np.int64) % heavy.parts[at[hit]]) % buckets
+    key = (context >> np.uint64(32) << np.uint64(32)) | low
+    order = np.lexsort((doc, key, bucket))
+    key, doc, bucket, which, place = key[order], doc[order], bucket[order], which[order], place[order]
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1]))))
+    count = np.diff(np.append(new, len(key)))
+    key, doc, bucket, which, place = key[new], doc[new], bucket[new], which[new], place[new]
+    ids = np.array([r[0] for r in rows], np.int64)
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        k = key[a:b]
+        head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        here, local = np.unique(doc[a:b], return_inverse=True)
+        arrays = (k[head], base[which[a:b][head]], place[a:b][head], np.diff(np.append(head, b - a)), local, count[a:b], ids[here])
+        data = [x.astype(t).tobytes() for x, t in zip(arrays, BLOCK, strict=True)]
+        sizes = np.array([len(x) for x in data], np.int64).tobytes()
+        yield int(bucket[a]), zstandard.compress(sizes + b"".join(data), 1)
+
+
+def unpacked(block: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(block)
+    ends = 8 * len(BLOCK) + np.cumsum(np.frombuffer(data, np.int64, len(BLOCK)))
+    begins = np.append(8 * len(BLOCK), ends[:-1])
+    return [np.frombuffer(data[a:b], t) for a, b, t in zip(begins, ends, BLOCK, strict=True)]
+
+
+def bucket_scores(blocks: list[bytes], heavy: Heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Step 3 for a bucket: documents, the sums of their words' log-probabilities, and how many words these are."""
+    key, base, place, docs_of, doc, count, ids = ([*x] for x in zip(*map(unpacked, blocks), strict=True))
+    shift = np.cumsum([0, *(len(x) for x in ids[:-1])])
+    doc = np.concatenate([d + s for d, s in zip(doc, shift, strict=True)])
+    key, base, place, docs_of, count, ids = map(np.concatenate, (key, base, place, docs_of, count, ids))
+    begin = np.cumsum(docs_of, dtype=np.int64) - docs_of
+    bigram, at = np.unique(key, return_inverse=True)
+    n = np.bincount(at, np.add.reduceat(count, begin)).astype(np.int64)
+    d = discounts(n)[np.minimum(n, 3)]
+    context, of = np.unique(bigram >> np.uint64(32), return_inverse=True)
+    total, left = np.bincount(of, n), np.bincount(of, d)
+    split = np.full(len(context), -1)
+    np.maximum.at(split, of[at], place)
+    hot = np.flatnonzero(split >= 0)
+    total[hot] = np.maximum(heavy.totals[split[hot]], total[hot])
+    left[hot] = np.minimum(left[hot] * heavy.parts[split[hot]], total[hot])
+    logp = np.log((n - d)[at] / total[of[at]] + (left / total)[of[at]] * np.exp(np.maximum(base, -80.0).astype(np.float64)))
+    each, sums = np.repeat(logp, docs_of) * count, np.zeros(len(ids))
+    return ids, sums + np.bincount(doc, each, len(ids)), np.bincount(doc, count, len(ids)).astype(np.int64)
+
+
+def word_scores(blocks: DataFrame, heavy: Heavy) -> DataFrame:
+    """(row_key, logp): the mean log-probability of a word in each document. Repeated rows leave the mean as it is."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, ("bucket",)):
+            ids, sums, n = bucket_scores([r["block"] for r in rows], heavy)
+            yield pa.RecordBatch.from_pydict({"row_key": pa.array(ids), "total": pa.array(sums), "words": pa.array(n)})
+
+    dealt = blocks.repartition(common.shuffle_parts(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
+    sums = dealt.mapInArrow(score, "row_key long, total double, words long").groupBy("row_key").agg(F.sum("total").alias("total"), F.sum("words").alias("words"))
+    return sums.select("row_key", (F.col("total") / F.col("words")).alias("logp"))
+
+
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     words = word_hashes(text, lower=False)
@@ -194,39 +354,44 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), covered
 
 
-MEASURED = "doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
+MEASURED = "row_key long, doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
-def measure(docs: DataFrame, models: dict[str, Model], least_words: int = 50, most_repeat: int = 50) -> DataFrame:
-    """Base counts and the log of the perplexity of each row of docs (doc_id, model, text)."""
-    types = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "long": pa.int64()}
+def measure(docs: DataFrame, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
+    """Base counts of each row of docs (row_key, doc_id, model, text)."""
+    types = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
     schema = pa.schema([(n, types[t]) for n, t in (x.split() for x in MEASURED.split(", "))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
             rows = []
-            for doc_id, model, text in zip(batch.column("doc_id").to_pylist(), batch.column("model").to_pylist(), common.texts(batch), strict=True):
+            for row_key, doc_id, model, text in zip(*(batch.column(c).to_pylist() for c in ("row_key", "doc_id", "model")), common.texts(batch), strict=True):
                 n = base_counts(text)
-                ppl = models[model].perplexity(text) if model in models else None
-                rows.append((doc_id, model, *n, n[0] < least_words or 100 * n[4] > most_repeat * n[0], None if ppl is None else float(np.log(ppl))))
+                rows.append((row_key, doc_id, model, *n, n[0] < least_words or 100 * n[4] > most_repeat * n[0]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "model", "text").mapInArrow(apply, MEASURED)
+    return docs.select("row_key", "doc_id", "model", "text").mapInArrow(apply, MEASURED)
 
 
-def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, share: float = SHARE) -> DataFrame:
-    """Base counts, base_failed, kept, perplexity and its band for each row of ``docs`` (doc_id, text, lang).
+def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, share: float = SHARE, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
+    """Base counts, base_failed, kept, perplexity (of a character) and its band for each row of ``docs`` (doc_id, text, lang).
 
-    A null text has no words and fails the base rules. A null lang, and a lang with less than
-    ``share`` of the documents, use the pooled model. Repeated rows are judged alike.
+    A null text has no words and fails the base rules; texts without a word have no perplexity. A
+    null lang, and a lang with less than ``share`` of the documents, use the pooled model. Repeated
+    rows are judged alike. Rows are joined with their scores by a 64-bit hash of id and text.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = langs.agg(F.sum("n")).first()[0] or 0
-    own = [r.lang for r in langs.where(F.col("lang").isNotNull() & (F.col("lang") != POOL) & (F.col("n") >= share * total)).collect()]  # at most 1 / share
-    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOL)))
-    measured = common.materialize(measure(docs, models_of(docs)), "measured")
+    langs = common.materialize(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "langs")
+    total, size = langs.agg(F.sum("n"), F.sum("bytes")).first()
+    own = [r.lang for r in langs.where(F.col("lang").isNotNull() & (F.col("lang") != POOL) & (F.col("n") >= share * (total or 0))).collect()]  # at most 1 / share
+    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOL))).withColumn("row_key", F.xxhash64("doc_id", "model", "text"))
+    counts = common.materialize(count_ngrams(docs), "counts")
+    buckets = max(least_buckets, -(-(size or 0) // bucket_bytes))
+    heavy = heavy_contexts(counts, buckets)
+    scores = common.materialize(word_scores(bigram_blocks(docs, models_of(counts), buckets, heavy), heavy), "scores")
+    log_ppl = F.round(-F.col("logp") * F.col("n_words") / (F.col("word_chars") + F.col("n_words")), 9)
+    measured = common.materialize(measure(docs).join(scores, "row_key", "left").withColumn("log_ppl", log_ppl).drop("row_key", "logp"), "measured")
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
     quart = measured.where(~F.col("base_failed")).groupBy("model").agg(q.alias("q")).where("q is not null")
     width = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.03))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 from array import array
@@ -256,6 +257,68 @@ def test_kneser_ney_by_hand():
     assert np.allclose(np.exp(model.logp(probe)), [prob(3, int(k)) for k in probe], rtol=1e-4)
 
 
+NOT_HEAVY = perplexity.Heavy(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def word_model():
+    r = random.Random(6)
+    names = ["the", "cat", "a", "dog", "Sat", "über", "ran", "x1"]
+    texts = [" ".join(r.choices(names, [40, 5, 5, 5, 3, 2, 2, 1], k=r.randint(1, 40))) for _ in range(60)]
+    tri = collections.Counter(k for t in texts for k in perplexity.trigrams(t).tolist())
+    return texts, perplexity.fit(np.array(sorted(tri)), np.array([tri[k] for k in sorted(tri)]))
+
+
+def test_word_bigrams_by_hand():
+    """The sum of each document's log-probabilities as the formula has it, over dictionaries, with any cut into chunks."""
+    texts, model = word_model()
+    lists = [["", *t.lower().split()] for t in texts]
+    bi = collections.Counter(p for w in lists for p in zip(w[:-1], w[1:], strict=True))
+    d = perplexity.discounts(np.array(list(bi.values())))
+    total, left = collections.Counter(), collections.Counter()
+    for (a, _), n in bi.items():
+        total[a] += n
+        left[a] += d[min(n, 3)]
+    spell = {b: math.exp(model.spelling([b])[0]) for _, b in bi}
+    want = [sum(math.log((bi[p] - d[min(bi[p], 3)] + left[p[0]] * spell[p[1]]) / total[p[0]]) for p in zip(w[:-1], w[1:], strict=True)) for w in lists]
+    rows = [(i, "en", t) for i, t in enumerate(texts)]
+    for step in (7, 60):
+        blocks = [b for at in range(0, 60, step) for _, b in perplexity.chunk_blocks(rows[at : at + step], model, 1, NOT_HEAVY)]
+        ids, sums, n = perplexity.bucket_scores(blocks, NOT_HEAVY)
+        got = collections.Counter()
+        for i, s in zip(ids.tolist(), sums, strict=True):
+            got[i] += s
+        assert np.allclose([got[i] for i in range(60)], want, rtol=1e-4)
+        assert n.sum() == sum(len(w) - 1 for w in lists)
+
+
+def test_heavy_context_is_split():
+    """A heavy context's words go to several buckets, with the context's whole total; no word is lost."""
+    texts, model = word_model()
+    rows = [(i, "en", t) for i, t in enumerate(texts)]
+    contexts = collections.Counter(c for t in texts for c in perplexity.contexts_of(word_hashes_of(t), "en").tolist())
+    buckets, total = 8, sum(contexts.values())
+    hot = sorted(c for c, n in contexts.items() if n * buckets > total)
+    assert hot
+    heavy = perplexity.Heavy(np.array(hot, np.uint64), np.array([contexts[c] for c in hot]), np.array([-(-contexts[c] * buckets // total) for c in hot]))
+    of = collections.defaultdict(list)
+    for bucket, block in perplexity.chunk_blocks(rows, model, buckets, heavy):
+        of[bucket].append(block)
+    places = collections.defaultdict(set)
+    words = 0
+    for bucket, blocks in of.items():
+        for block in blocks:
+            for place in set(perplexity.unpacked(block)[2].tolist()) - {-1}:
+                places[place].add(bucket)
+        _, sums, n = perplexity.bucket_scores(blocks, heavy)
+        words += n.sum()
+        assert (sums < 0).all()
+    assert words == total and max(map(len, places.values())) > 1
+
+
+def word_hashes_of(text):
+    return minhash.word_hashes(text)
+
+
 def test_quality_rules(spark):
     docs = corpus()
     got = rows_of(perplexity.quality_rules(frame(spark, docs)))
@@ -271,6 +334,11 @@ def test_quality_rules(spark):
     many = [(i, prose(random.Random(i), 200), "en", "a", 1) for i in range(80)]
     kept = {g["doc_id"]: g["kept"] for g in rows_of(perplexity.quality_rules(frame(spark, many + noise)))}
     assert not kept[9000] and all(v for k, v in kept.items() if k != 9000)
+    cut = {g["doc_id"]: g for g in rows_of(perplexity.quality_rules(frame(spark, many + noise), bucket_bytes=2000))}
+    assert len(cut) == 81 and not cut[9000]["kept"] and all(g["perplexity"] > 1 for g in cut.values())
+    # a row twice, and rows that share an id, are judged like others
+    again = rows_of(perplexity.quality_rules(frame(spark, [*many, *many[:5], (0, None, None, None, 0), (None, "a b " * 60, None, None, 0)])))
+    assert len(again) == 87 and len({(g["doc_id"], g["n_words"], g["perplexity"]) for g in again}) == 82
     assert perplexity.quality_rules(frame(spark, [])).count() == 0
 
 
