@@ -4,14 +4,14 @@ The language model is modified Kneser-Ney over words: bigrams, over a base that
 a modified Kneser-Ney trigram model of characters. Spark counts both in every whole document. The
 word model grows with the input and is never in one place:
 
-1. Tasks count contexts and character trigrams; Spark adds them up. Characters are folded to 64
+1. Tasks count character trigrams and frequent contexts; Spark adds them up. Characters are folded to 64
    classes, so a language's base has at most 64 ** 3 entries, and it alone is sent to every task. A
    language with at least ``SHARE`` of the documents has its own model, the others share one.
 2. Tasks pack the distinct bigrams of many documents, with the documents each is in, into one block for
    each bucket of contexts, and Spark deals the blocks by bucket. The number of buckets grows with the input.
 3. A bucket adds its blocks up into one array of sorted bigram hashes with their counts. What the
    model needs of a context is there, so each bigram is scored in place, and all that leaves
-   the bucket is a sum for each document.
+   the bucket is a sum for each document. A hash has 52 bits besides those of the bucket.
 
 A context with more than a bucket's share (at most as many as there are buckets) is split over several by the
 hash of the next word: its total is known from step 1, and the weight that it leaves to the base
@@ -49,7 +49,7 @@ POOL = ""
 #: Bytes of text for each bucket of contexts, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 16
 #: Characters of text, and documents, whose bigrams are packed together.
-CHUNK_CHARS, CHUNK_DOCS = 6_000_000, 50_000
+CHUNK_CHARS, CHUNK_DOCS = 3_000_000, 50_000
 
 
 def fold_table() -> np.ndarray:
@@ -97,37 +97,51 @@ def contexts_of(words: np.ndarray, model: str) -> np.ndarray:
     return common.mix64(before ^ np.uint64(zlib.crc32(model.encode()) << 20 | 1))
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(model, word, key, n): how often each character trigram, and each context of a word, is in the texts of each model; docs: (model, text)."""
+def count_trigrams(docs: DataFrame) -> DataFrame:
+    """(model, key, n): how often each character trigram is in the texts of each model; docs: (model, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             models = batch.column("model").to_pylist()
-            parts: dict[str, tuple[list[np.ndarray], list[np.ndarray]]] = {}
+            parts: dict[str, list[np.ndarray]] = {}
             for model, text in zip(models, common.texts(batch), strict=True):
                 if text:
-                    chars, contexts = parts.setdefault(model, ([], []))
-                    chars.append(trigrams(text))
-                    if len(words := word_hashes(text)):
-                        contexts.append(contexts_of(words, model))
-            for model, (chars, contexts) in parts.items():
-                for at in range(0, len(chars), 256):
-                    n = np.bincount(np.concatenate(chars[at : at + 256]), minlength=CLASSES**3)
+                    parts.setdefault(model, []).append(trigrams(text))
+            for model, keys in parts.items():
+                for at in range(0, len(keys), 256):
+                    n = np.bincount(np.concatenate(keys[at : at + 256]), minlength=CLASSES**3)
                     sums[model] = sums[model] + n if model in sums else n
-                if contexts:
-                    yield counted(model, True, *np.unique(np.concatenate(contexts), return_counts=True))
         for model, n in sums.items():
             key = np.flatnonzero(n)
-            yield counted(model, False, key, n[key])
+            yield pa.RecordBatch.from_pydict({"model": pa.array([model] * len(key), pa.string()), "key": pa.array(key.astype(np.int32)), "n": pa.array(n[key].astype(np.int64))})
 
-    keys = ["model", "word", "key"]
-    return docs.select("model", "text").mapInArrow(count, "model string, word boolean, key long, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
+    return docs.select("model", "text").mapInArrow(count, "model string, key int, n long").groupBy("model", "key").agg(F.sum("n").alias("n"))
 
 
-def counted(model: str, word: bool, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    size = len(key)
-    return pa.RecordBatch.from_pydict({"model": pa.array([model] * size, pa.string()), "word": pa.array([word] * size, pa.bool_()), "key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+def context_counts(docs: DataFrame, shares: int, among: np.ndarray | None = None) -> DataFrame:
+    """(key, n) of contexts in docs (model, text): the totals of those in ``among`` (sorted), else of the frequent ones.
+
+    Of each batch the frequent contexts, with more than one in ``shares`` of its words, are counted. The row
+    with a null key counts all words.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models = batch.column("model").to_pylist()
+            found = [contexts_of(h, model) for model, h in zip(models, map(word_hashes, common.texts(batch)), strict=True) if len(h)]
+            if found:
+                every = np.concatenate(found)
+                if among is None:
+                    key, n = np.unique(every, return_counts=True)
+                    key, n = key[n * shares > len(every)], n[n * shares > len(every)]
+                else:
+                    at = np.minimum(np.searchsorted(among, every), len(among) - 1)
+                    n = np.bincount(at[among[at] == every], minlength=len(among))
+                    key = among
+                yield pa.RecordBatch.from_pydict({"key": pa.array([*key.view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n.tolist(), len(every)], pa.int64())})
+
+    return docs.select("model", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -200,9 +214,9 @@ def fit(keys: np.ndarray, counts: np.ndarray) -> Model:
     return Model(keys, np.log(p3).astype(f), ctx, np.log(left3[ctx]).astype(f), bi, np.log(p2).astype(f), np.log(left2).astype(f), np.log(uni).astype(f))
 
 
-def models_of(counts: DataFrame) -> dict[str, Model]:
-    """The spelling model of each value of ``model`` in `count_ngrams`' rows."""
-    rows = counts.where("not word").select("model", "key", "n").toPandas()  # at most (1 / SHARE + 1) * 64 ** 3 rows, see above
+def models_of(docs: DataFrame) -> dict[str, Model]:
+    """The spelling model of each value of ``model`` in docs (model, text)."""
+    rows = count_trigrams(docs).toPandas()  # at most (1 / SHARE + 1) * 64 ** 3 rows, see above
     found = {}
     for model, part in rows.groupby("model"):
         part = part.sort_values("key")
@@ -219,13 +233,20 @@ class Heavy:
     parts: np.ndarray
 
 
-def heavy_contexts(counts: DataFrame, buckets: int) -> Heavy:
-    contexts = counts.where("word")
-    total = contexts.agg(F.sum("n")).first()[0] or 0
-    rows = contexts.where(F.col("n") * buckets > total).select("key", "n").collect()  # fewer than ``buckets``
-    keys, n = np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(keys)
-    return Heavy(keys[order], n[order], np.minimum(-(-n[order] * buckets // max(total, 1)), buckets))
+def heavy_contexts(docs: DataFrame, buckets: int) -> Heavy:
+    """The contexts with more than a bucket's share of the words of docs (model, text): fewer than ``buckets``."""
+    # a batch leaves out at most a quarter of a bucket's share, so of a heavy context three quarters are counted here
+    frequent = common.materialize(context_counts(docs, 4 * buckets), "frequent")
+    words = frequent.where("key is null").agg(F.sum("n")).first()[0] or 0
+    likely = frequent.where("key is not null").where(F.col("n") * (4 * buckets) > 3 * words).select("key").collect()  # at most 4 / 3 * buckets
+    keys = np.sort(np.array([r.key for r in likely], np.int64).view(np.uint64))
+    if not len(keys):
+        return Heavy(keys, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    rows = context_counts(docs, buckets, keys).collect()
+    total = next(r.n for r in rows if r.key is None)
+    hot = sorted((r.key % (1 << 64), r.n) for r in rows if r.key is not None and r.n * buckets > total)
+    n = np.array([x[1] for x in hot], np.int64)
+    return Heavy(np.array([x[0] for x in hot], np.uint64), n, np.minimum(-(-n * buckets // total), buckets))
 
 
 def bigram_blocks(docs: DataFrame, models: dict[str, Model], buckets: int, heavy: Heavy) -> DataFrame:
@@ -250,8 +271,12 @@ def bigram_blocks(docs: DataFrame, models: dict[str, Model], buckets: int, heavy
     return docs.select("row_key", "model", "text").mapInArrow(pack, "bucket long, block binary")
 
 
-#: The arrays of a block: per bigram its hash, its base's log-probability, its place in Heavy (or -1) and number of documents; per bigram and document the document's place and the count; the documents.
-BLOCK = (np.uint64, np.float32, np.int32, np.uint32, np.uint32, np.uint32, np.int64)
+#: A bigram's hash in a bucket: so many bits each of its context and its word, besides the bucket's own.
+BITS = np.uint64(26)
+#: Log-probabilities of spellings are rounded to this.
+STEP = 0.25
+#: The arrays of a block: per bigram the difference of its hash from the one before, its base's log-probability in steps, its place in Heavy plus 1, and its number of documents; per bigram and document the document's place and the count; the documents.
+BLOCK = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint32, np.uint32, np.int64)
 
 
 def chunk_blocks(rows: list[tuple[int, str, str]], model: Model | None, buckets: int, heavy: Heavy) -> Iterator[tuple[int, bytes]]:
@@ -266,38 +291,46 @@ def chunk_blocks(rows: list[tuple[int, str, str]], model: Model | None, buckets:
         return
     doc = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
     words, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    base = model.spelling([spelled[i].decode() for i in first])
-    context, low = np.concatenate(contexts), words[which] >> np.uint64(32)
+    base = np.minimum(-model.spelling([spelled[i].decode() for i in first]) / STEP, 255).round().astype(np.uint8)
+    spelled.clear()
+    context, low = np.concatenate(contexts), (words >> (np.uint64(64) - BITS))[which]
     bucket = ((context & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-    place = np.full(len(context), -1)
+    place = np.zeros(len(context), np.uint32)
     if len(heavy.keys):
         at = np.minimum(np.searchsorted(heavy.keys, context), len(heavy.keys) - 1)
-        hit = heavy.keys[at] == context
-        place[hit] = at[hit]
+        hit = np.flatnonzero(heavy.keys[at] == context)
+        place[hit] = at[hit] + 1
         bucket[hit] = (bucket[hit] + low[hit].astype(np.int64) % heavy.parts[at[hit]]) % buckets
-    key = (context >> np.uint64(32) << np.uint64(32)) | low
-    order = np.lexsort((doc, key, bucket))
-    key, doc, bucket, which, place = key[order], doc[order], bucket[order], which[order], place[order]
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1]))))
+    key = (context >> (np.uint64(64) - BITS) << BITS) | low
+    # stable: the documents of a bigram stay in order
+    order = np.lexsort((key, bucket.astype(np.uint16) if buckets < 1 << 16 else bucket))
+    key, doc, bucket = key[order], doc[order], bucket[order]
+    other = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
+    new = np.flatnonzero(other | np.concatenate(([True], doc[1:] != doc[:-1])))
     count = np.diff(np.append(new, len(key)))
-    key, doc, bucket, which, place = key[new], doc[new], bucket[new], which[new], place[new]
+    key, doc, bucket, order, other = key[new], doc[new], bucket[new], order[new], other[new]
+    base, place = base[which[order]], place[order]
     ids = np.array([r[0] for r in rows], np.int64)
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        k = key[a:b]
-        head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        head = np.flatnonzero(other[a:b])
         here, local = np.unique(doc[a:b], return_inverse=True)
-        arrays = (k[head], base[which[a:b][head]], place[a:b][head], np.diff(np.append(head, b - a)), local, count[a:b], ids[here])
-        data = [x.astype(t).tobytes() for x, t in zip(arrays, BLOCK, strict=True)]
-        sizes = np.array([len(x) for x in data], np.int64).tobytes()
-        yield int(bucket[a]), zstandard.compress(sizes + b"".join(data), 1)
+        arrays = (np.diff(key[a:b][head], prepend=np.uint64(0)), base[a:b][head], place[a:b][head], np.diff(np.append(head, b - a)), local, count[a:b], ids[here])
+        yield int(bucket[a]), packed_arrays(arrays)
+
+
+def packed_arrays(arrays: tuple[np.ndarray, ...]) -> bytes:
+    """The arrays compressed, each byte of their numbers by itself."""
+    data = [np.ascontiguousarray(x.astype(t).view(np.uint8).reshape(len(x), -1).T).tobytes() for x, t in zip(arrays, BLOCK, strict=True)]
+    return zstandard.compress(np.array([len(x) for x in data], np.int64).tobytes() + b"".join(data), 1)
 
 
 def unpacked(block: bytes) -> list[np.ndarray]:
     data = zstandard.decompress(block)
     ends = 8 * len(BLOCK) + np.cumsum(np.frombuffer(data, np.int64, len(BLOCK)))
     begins = np.append(8 * len(BLOCK), ends[:-1])
-    return [np.frombuffer(data[a:b], t) for a, b, t in zip(begins, ends, BLOCK, strict=True)]
+    arrays = [np.ascontiguousarray(np.frombuffer(data[a:b], np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for a, b, t in zip(begins, ends, BLOCK, strict=True)]
+    return [np.cumsum(arrays[0], dtype=np.uint64), *arrays[1:]]
 
 
 def bucket_scores(blocks: list[bytes], heavy: Heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,14 +343,15 @@ def bucket_scores(blocks: list[bytes], heavy: Heavy) -> tuple[np.ndarray, np.nda
     bigram, at = np.unique(key, return_inverse=True)
     n = np.bincount(at, np.add.reduceat(count, begin)).astype(np.int64)
     d = discounts(n)[np.minimum(n, 3)]
-    context, of = np.unique(bigram >> np.uint64(32), return_inverse=True)
+    context, of = np.unique(bigram >> BITS, return_inverse=True)
     total, left = np.bincount(of, n), np.bincount(of, d)
     split = np.full(len(context), -1)
-    np.maximum.at(split, of[at], place)
+    some = np.flatnonzero(place)
+    np.maximum.at(split, of[at[some]], place[some].astype(np.int64) - 1)
     hot = np.flatnonzero(split >= 0)
     total[hot] = np.maximum(heavy.totals[split[hot]], total[hot])
     left[hot] = np.minimum(left[hot] * heavy.parts[split[hot]], total[hot])
-    logp = np.log((n - d)[at] / total[of[at]] + (left / total)[of[at]] * np.exp(np.maximum(base, -80.0).astype(np.float64)))
+    logp = np.log((n - d)[at] / total[of[at]] + (left / total)[of[at]] * np.exp(-STEP * base))
     each, sums = np.repeat(logp, docs_of) * count, np.zeros(len(ids))
     return ids, sums + np.bincount(doc, each, len(ids)), np.bincount(doc, count, len(ids)).astype(np.int64)
 
@@ -386,10 +420,9 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, s
     total, size = langs.agg(F.sum("n"), F.sum("bytes")).first()
     own = [r.lang for r in langs.where(F.col("lang").isNotNull() & (F.col("lang") != POOL) & (F.col("n") >= share * (total or 0))).collect()]  # at most 1 / share
     docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOL))).withColumn("row_key", F.xxhash64("doc_id", "model", "text"))
-    counts = common.materialize(count_ngrams(docs), "counts")
     buckets = max(least_buckets, -(-(size or 0) // bucket_bytes))
-    heavy = heavy_contexts(counts, buckets)
-    scores = common.materialize(word_scores(bigram_blocks(docs, models_of(counts), buckets, heavy), heavy), "scores")
+    heavy = heavy_contexts(docs, buckets)
+    scores = common.materialize(word_scores(bigram_blocks(docs, models_of(docs), buckets, heavy), heavy), "scores")
     log_ppl = F.round(-F.col("logp") * F.col("n_words") / (F.col("word_chars") + F.col("n_words")), 9)
     measured = common.materialize(measure(docs).join(scores, "row_key", "left").withColumn("log_ppl", log_ppl).drop("row_key", "logp"), "measured")
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))

@@ -278,7 +278,7 @@ def test_word_bigrams_by_hand():
     for (a, _), n in bi.items():
         total[a] += n
         left[a] += d[min(n, 3)]
-    spell = {b: math.exp(model.spelling([b])[0]) for _, b in bi}
+    spell = {b: math.exp(perplexity.STEP * round(model.spelling([b])[0] / perplexity.STEP)) for _, b in bi}
     want = [sum(math.log((bi[p] - d[min(bi[p], 3)] + left[p[0]] * spell[p[1]]) / total[p[0]]) for p in zip(w[:-1], w[1:], strict=True)) for w in lists]
     rows = [(i, "en", t) for i, t in enumerate(texts)]
     for step in (7, 60):
@@ -307,7 +307,7 @@ def test_heavy_context_is_split():
     words = 0
     for bucket, blocks in of.items():
         for block in blocks:
-            for place in set(perplexity.unpacked(block)[2].tolist()) - {-1}:
+            for place in set(perplexity.unpacked(block)[2].tolist()) - {0}:
                 places[place].add(bucket)
         _, sums, n = perplexity.bucket_scores(blocks, heavy)
         words += n.sum()
@@ -319,6 +319,19 @@ def word_hashes_of(text):
     return minhash.word_hashes(text)
 
 
+def test_heavy_contexts(spark):
+    """Those with more than a bucket's share of all words, with exact totals, over any partitions."""
+    texts, _ = word_model()
+    n = collections.Counter(c for t in texts for c in perplexity.contexts_of(word_hashes_of(t), "en").tolist())
+    total = sum(n.values())
+    for parts in (1, 7, 60):
+        docs = spark.createDataFrame([("en", t) for t in texts], "model string, text string").repartition(parts)
+        for buckets in (4, 16):
+            heavy = perplexity.heavy_contexts(docs, buckets)
+            assert dict(zip(heavy.keys.tolist(), heavy.totals.tolist(), strict=True)) == {k: v for k, v in n.items() if v * buckets > total}
+    assert len(perplexity.heavy_contexts(docs.limit(0), 4).keys) == 0
+
+
 def test_quality_rules(spark):
     docs = corpus()
     got = rows_of(perplexity.quality_rules(frame(spark, docs)))
