@@ -11,7 +11,7 @@ word model grows with the input and is never in one place:
    each bucket of contexts, and Spark deals the blocks by bucket. The number of buckets grows with the input.
 3. A bucket adds its blocks up into one array of sorted bigram hashes with their counts. What the
    model needs of a context is there, so each bigram is scored in place, and all that leaves
-   the bucket is a sum for each document. A hash has 52 bits besides those of the bucket.
+   the bucket is a sum for each document. A hash has 48 bits besides those of the bucket.
 
 A context with more than a bucket's share (at most as many as there are buckets) is split over several by the
 hash of the next word: its total is known from step 1, and the weight that it leaves to the base
@@ -47,9 +47,9 @@ SPACES = " \t\n\r\x0b\x0c"
 #: The model of the languages without one of their own.
 POOL = ""
 #: Bytes of text for each bucket of contexts, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 16
+BUCKET_BYTES, LEAST_BUCKETS = 48 << 20, 16
 #: Characters of text, and documents, whose bigrams are packed together.
-CHUNK_CHARS, CHUNK_DOCS = 3_000_000, 50_000
+CHUNK_CHARS, CHUNK_DOCS = 4_000_000, 50_000
 
 
 def fold_table() -> np.ndarray:
@@ -272,7 +272,7 @@ def bigram_blocks(docs: DataFrame, models: dict[str, Model], buckets: int, heavy
 
 
 #: A bigram's hash in a bucket: so many bits each of its context and its word, besides the bucket's own.
-BITS = np.uint64(26)
+BITS = np.uint64(24)
 #: Log-probabilities of spellings are rounded to this.
 STEP = 0.25
 #: The arrays of a block: per bigram the difference of its hash from the one before, its base's log-probability in steps, its place in Heavy plus 1, and its number of documents; per bigram and document the document's place and the count; the documents.
@@ -320,40 +320,66 @@ def chunk_blocks(rows: list[tuple[int, str, str]], model: Model | None, buckets:
 
 
 def packed_arrays(arrays: tuple[np.ndarray, ...]) -> bytes:
-    """The arrays compressed, each byte of their numbers by itself."""
-    data = [np.ascontiguousarray(x.astype(t).view(np.uint8).reshape(len(x), -1).T).tobytes() for x, t in zip(arrays, BLOCK, strict=True)]
-    return zstandard.compress(np.array([len(x) for x in data], np.int64).tobytes() + b"".join(data), 1)
-
-
-def unpacked(block: bytes) -> list[np.ndarray]:
-    data = zstandard.decompress(block)
-    ends = 8 * len(BLOCK) + np.cumsum(np.frombuffer(data, np.int64, len(BLOCK)))
-    begins = np.append(8 * len(BLOCK), ends[:-1])
-    arrays = [np.ascontiguousarray(np.frombuffer(data[a:b], np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for a, b, t in zip(begins, ends, BLOCK, strict=True)]
-    return [np.cumsum(arrays[0], dtype=np.uint64), *arrays[1:]]
-
-
-def bucket_scores(blocks: list[bytes], heavy: Heavy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Step 3 for a bucket: documents, the sums of their words' log-probabilities, and how many words these are."""
-    key, base, place, docs_of, doc, count, ids = ([*x] for x in zip(*map(unpacked, blocks), strict=True))
-    shift = np.cumsum([0, *(len(x) for x in ids[:-1])])
-    doc = np.concatenate([d + s for d, s in zip(doc, shift, strict=True)])
-    key, base, place, docs_of, count, ids = map(np.concatenate, (key, base, place, docs_of, count, ids))
-    begin = np.cumsum(docs_of, dtype=np.int64) - docs_of
-    bigram, at = np.unique(key, return_inverse=True)
-    n = np.bincount(at, np.add.reduceat(count, begin)).astype(np.int64)
+    """The arrays compressed, each byte of their numbers by itself; bytes that are all zero take no place."""
+    planes = [plane for x, t in zip(arrays, BLOCK, strict=True) for plane in x.astype(t).view(np.uint8).reshape(len(x), -1).T]
+    data = [zstandard.compress(plane.tobytes(), 1) if plane.any() else b"" for plane in planes]
+    return np.array([*(len(arrays[i]) for i in (0, 4, 6)), *map(len, data)], np.uint32).tobytes() + b"".join(data)
+
+
+def unpacked(block: bytes, only: range = range(len(BLOCK))) -> list[np.ndarray]:
+    """The arrays of a block that ``only`` names."""
+    types = [np.dtype(t) for t in BLOCK]
+    head = np.frombuffer(block, np.uint32, 3 + sum(t.itemsize for t in types)).astype(np.int64)
+    rows = [*[head[0]] * 4, *[head[1]] * 2, head[2]]
+    ends, plane, out = 4 * len(head) + np.cumsum(head[3:]), 0, []
+    for i, t in enumerate(types):
+        if i in only:
+            x = np.zeros((t.itemsize, rows[i]), np.uint8)
+            for j in range(t.itemsize):
+                if size := head[3 + plane + j]:
+                    x[j] = np.frombuffer(zstandard.decompress(block[ends[plane + j] - size : ends[plane + j]]), np.uint8)
+            x = np.ascontiguousarray(x.T).view(t).ravel()
+            out.append(np.cumsum(x, dtype=np.uint64) if i == 0 else x)
+        plane += t.itemsize
+    return out
+
+
+def bucket_scores(blocks: list[bytes], heavy: Heavy) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Step 3 for a bucket: per block its documents, the sums of their words' log-probabilities, and how many words these are.
+
+    Bigrams are added up first; what they are in is unpacked block by block after that.
+    """
+    parts: list[tuple[np.ndarray, ...]] = []
+    for block in blocks:
+        key, base, place, docs_of, _, count = unpacked(block, range(6))
+        parts.append((key, base, place, np.add.reduceat(count, np.cumsum(docs_of, dtype=np.int64) - docs_of)))
+    ends = np.cumsum([len(x[0]) for x in parts])
+    key, base, place, count = map(np.concatenate, zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    at = np.empty(len(key), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    n = np.add.reduceat(count[order], np.flatnonzero(new)).astype(np.int64)
+    bigram = key[new]
+    del order, key, new, count
     d = discounts(n)[np.minimum(n, 3)]
-    context, of = np.unique(bigram >> BITS, return_inverse=True)
+    context = bigram >> BITS
+    of = np.cumsum(np.concatenate(([False], context[1:] != context[:-1])))
     total, left = np.bincount(of, n), np.bincount(of, d)
-    split = np.full(len(context), -1)
+    split = np.full(len(total), -1)
     some = np.flatnonzero(place)
     np.maximum.at(split, of[at[some]], place[some].astype(np.int64) - 1)
     hot = np.flatnonzero(split >= 0)
     total[hot] = np.maximum(heavy.totals[split[hot]], total[hot])
     left[hot] = np.minimum(left[hot] * heavy.parts[split[hot]], total[hot])
-    logp = np.log((n - d)[at] / total[of[at]] + (left / total)[of[at]] * np.exp(-STEP * base))
-    each, sums = np.repeat(logp, docs_of) * count, np.zeros(len(ids))
-    return ids, sums + np.bincount(doc, each, len(ids)), np.bincount(doc, count, len(ids)).astype(np.int64)
+    seen, rest = (n - d) / total[of], (left / total)[of]
+    spelled = np.exp(-STEP * np.arange(256))
+    for block, a, b in zip(blocks, np.append(0, ends[:-1]), ends, strict=True):
+        docs_of, doc, count, ids = unpacked(block, range(3, 7))
+        logp = np.log(seen[at[a:b]] + rest[at[a:b]] * spelled[base[a:b]])
+        yield ids, np.bincount(doc, np.repeat(logp, docs_of) * count, len(ids)), np.bincount(doc, count, len(ids)).astype(np.int64)
 
 
 def word_scores(blocks: DataFrame, heavy: Heavy) -> DataFrame:
@@ -361,8 +387,8 @@ def word_scores(blocks: DataFrame, heavy: Heavy) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs_of(batches, ("bucket",)):
-            ids, sums, n = bucket_scores([r["block"] for r in rows], heavy)
-            yield pa.RecordBatch.from_pydict({"row_key": pa.array(ids), "total": pa.array(sums), "words": pa.array(n)})
+            for ids, sums, n in bucket_scores([r["block"] for r in rows], heavy):
+                yield pa.RecordBatch.from_pydict({"row_key": pa.array(ids), "total": pa.array(sums), "words": pa.array(n)})
 
     dealt = blocks.repartition(common.shuffle_parts(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
     sums = dealt.mapInArrow(score, "row_key long, total double, words long").groupBy("row_key").agg(F.sum("total").alias("total"), F.sum("words").alias("words"))
