@@ -382,7 +382,7 @@ def bucket_scores(blocks: list[bytes], heavy: Heavy) -> Iterator[tuple[np.ndarra
         yield ids, np.bincount(doc, np.repeat(logp, docs_of) * count, len(ids)), np.bincount(doc, count, len(ids)).astype(np.int64)
 
 
-def word_scores(blocks: DataFrame, heavy: Heavy) -> DataFrame:
+def word_scores(blocks: DataFrame, buckets: int, heavy: Heavy) -> DataFrame:
     """(row_key, logp): the mean log-probability of a word in each document. Repeated rows leave the mean as it is."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +390,8 @@ def word_scores(blocks: DataFrame, heavy: Heavy) -> DataFrame:
             for ids, sums, n in bucket_scores([r["block"] for r in rows], heavy):
                 yield pa.RecordBatch.from_pydict({"row_key": pa.array(ids), "total": pa.array(sums), "words": pa.array(n)})
 
-    dealt = blocks.repartition(common.shuffle_parts(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
+    # few buckets share a partition, however many there are
+    dealt = blocks.repartition(max(common.shuffle_parts(blocks.sparkSession), 2 * buckets), "bucket").sortWithinPartitions("bucket")
     sums = dealt.mapInArrow(score, "row_key long, total double, words long").groupBy("row_key").agg(F.sum("total").alias("total"), F.sum("words").alias("words"))
     return sums.select("row_key", (F.col("total") / F.col("words")).alias("logp"))
 
@@ -448,7 +449,7 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, s
     docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOL))).withColumn("row_key", F.xxhash64("doc_id", "model", "text"))
     buckets = max(least_buckets, -(-(size or 0) // bucket_bytes))
     heavy = heavy_contexts(docs, buckets)
-    scores = common.materialize(word_scores(bigram_blocks(docs, models_of(docs), buckets, heavy), heavy), "scores")
+    scores = common.materialize(word_scores(bigram_blocks(docs, models_of(docs), buckets, heavy), buckets, heavy), "scores")
     log_ppl = F.round(-F.col("logp") * F.col("n_words") / (F.col("word_chars") + F.col("n_words")), 9)
     measured = common.materialize(measure(docs).join(scores, "row_key", "left").withColumn("log_ppl", log_ppl).drop("row_key", "logp"), "measured")
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
