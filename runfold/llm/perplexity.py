@@ -17,10 +17,13 @@ A context with more than a bucket's share (at most as many as there are buckets)
 hash of the next word: its total is known from step 1, and the weight that it leaves to the base
 is taken in each part for the whole. Discounts come from each bucket's own counts.
 
-A document is rejected where its perplexity lies outside its language's band: as many
-interquartile ranges below and above the median as ``LOWER`` and ``UPPER`` say, taken over all
-documents of the language that pass the base rules. The lower side is the wider, as sound documents with
-many copies lie far below the median: a bigram that is in many copies is no surprise.
+Each distinct text of a language counts once in all of these: a row weighs one in so many as
+there are rows of its text, so a text's perplexity does not fall with its copies.
+
+A document is rejected where the log of its perplexity lies outside its language's band. Above, that
+is ``UPPER`` interquartile ranges over the median; below, a ratio to it: the first quartile over the third, to the power
+``LOWER``. So the lower side lies where a perplexity can be (above 1), whatever the spread. Median and quartiles are taken
+over the distinct texts of the language that pass the base rules.
 """
 
 from __future__ import annotations
@@ -41,7 +44,9 @@ from runfold.session import ship
 
 CLASSES = 64
 SHARE = 0.02
-LOWER, UPPER = 8.0, 4.0
+LOWER, UPPER = 4.0, 4.0
+#: The least distance of the quartiles, and the least log of their ratio.
+LEAST_SPREAD = 0.03
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 #: The model of the languages without one of their own.
@@ -50,6 +55,10 @@ POOL = ""
 BUCKET_BYTES, LEAST_BUCKETS = 48 << 20, 16
 #: Characters of text, and documents, whose bigrams are packed together.
 CHUNK_CHARS, CHUNK_DOCS = 4_000_000, 50_000
+#: Words that are spelled at a time.
+SPELLED = 50_000
+#: Tables of at most so many texts with copies are sent to every executor.
+BROADCAST_COPIES = 1_000_000
 
 
 def fold_table() -> np.ndarray:
@@ -97,51 +106,69 @@ def contexts_of(words: np.ndarray, model: str) -> np.ndarray:
     return common.mix64(before ^ np.uint64(zlib.crc32(model.encode()) << 20 | 1))
 
 
+def weighed(docs: DataFrame) -> DataFrame:
+    """docs with ``copies``, 1 where they have none."""
+    return docs if "copies" in docs.columns else docs.withColumn("copies", F.lit(1).cast("long"))
+
+
+def with_copies(docs: DataFrame) -> DataFrame:
+    """docs (text_key, ...) with ``copies``: how many rows have the text_key."""
+    several = common.materialize(docs.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    few = several.count() <= BROADCAST_COPIES
+    joined = docs.join(F.broadcast(several) if few else several, "text_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return joined if few else common.materialize(joined, "docs")
+
+
 def count_trigrams(docs: DataFrame) -> DataFrame:
-    """(model, key, n): how often each character trigram is in the texts of each model; docs: (model, text)."""
+    """(model, key, n): how often each character trigram is in the distinct texts of each model; docs: (model, text, copies)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            models = batch.column("model").to_pylist()
-            parts: dict[str, list[np.ndarray]] = {}
-            for model, text in zip(models, common.texts(batch), strict=True):
+            models, copies = batch.column("model").to_pylist(), batch.column("copies").to_pylist()
+            parts: dict[tuple[str, int], list[np.ndarray]] = {}
+            for model, c, text in zip(models, copies, common.texts(batch), strict=True):
                 if text:
-                    parts.setdefault(model, []).append(trigrams(text))
-            for model, keys in parts.items():
+                    parts.setdefault((model, c), []).append(trigrams(text))
+            for (model, c), keys in parts.items():
                 for at in range(0, len(keys), 256):
-                    n = np.bincount(np.concatenate(keys[at : at + 256]), minlength=CLASSES**3)
+                    n = np.bincount(np.concatenate(keys[at : at + 256]), minlength=CLASSES**3) / c
                     sums[model] = sums[model] + n if model in sums else n
         for model, n in sums.items():
             key = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"model": pa.array([model] * len(key), pa.string()), "key": pa.array(key.astype(np.int32)), "n": pa.array(n[key].astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"model": pa.array([model] * len(key), pa.string()), "key": pa.array(key.astype(np.int32)), "n": pa.array(n[key])})
 
-    return docs.select("model", "text").mapInArrow(count, "model string, key int, n long").groupBy("model", "key").agg(F.sum("n").alias("n"))
+    return weighed(docs).select("model", "text", "copies").mapInArrow(count, "model string, key int, n double").groupBy("model", "key").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def context_counts(docs: DataFrame, shares: int, among: np.ndarray | None = None) -> DataFrame:
-    """(key, n) of contexts in docs (model, text): the totals of those in ``among`` (sorted), else of the frequent ones.
+    """(key, n) of contexts in docs (model, text, copies): the totals of those in ``among`` (sorted), else of the frequent ones.
 
     Of each batch the frequent contexts, with more than one in ``shares`` of its words, are counted. The row
-    with a null key counts all words.
+    with a null key counts all words. A text's copies count as one.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            models = batch.column("model").to_pylist()
-            found = [contexts_of(h, model) for model, h in zip(models, map(word_hashes, common.texts(batch)), strict=True) if len(h)]
+            models, copies = batch.column("model").to_pylist(), batch.column("copies").to_pylist()
+            found = [(contexts_of(h, model), c) for model, c, h in zip(models, copies, map(word_hashes, common.texts(batch)), strict=True) if len(h)]
             if found:
-                every = np.concatenate(found)
-                if among is None:
+                every = np.concatenate([x for x, _ in found])
+                weight = np.repeat([1 / c for _, c in found], [len(x) for x, _ in found])
+                words, key = float(weight.sum()), among
+                if key is None:
                     key, n = np.unique(every, return_counts=True)
-                    key, n = key[n * shares > len(every)], n[n * shares > len(every)]
-                else:
-                    at = np.minimum(np.searchsorted(among, every), len(among) - 1)
-                    n = np.bincount(at[among[at] == every], minlength=len(among))
-                    key = among
-                yield pa.RecordBatch.from_pydict({"key": pa.array([*key.view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n.tolist(), len(every)], pa.int64())})
+                    key = key[n * shares > words]  # weighed, they are fewer
+                n = np.zeros(len(key))
+                if len(key):
+                    at = np.minimum(np.searchsorted(key, every), len(key) - 1)
+                    hit = np.flatnonzero(key[at] == every)
+                    n = np.bincount(at[hit], weight[hit], len(key))
+                if among is None:
+                    key, n = key[n * shares > words], n[n * shares > words]
+                yield pa.RecordBatch.from_pydict({"key": pa.array([*key.view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n.tolist(), words], pa.float64())})
 
-    return docs.select("model", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return weighed(docs).select("model", "text", "copies").mapInArrow(count, "key long, n double").groupBy("key").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 @dataclass
@@ -234,7 +261,7 @@ class Heavy:
 
 
 def heavy_contexts(docs: DataFrame, buckets: int) -> Heavy:
-    """The contexts with more than a bucket's share of the words of docs (model, text): fewer than ``buckets``."""
+    """The contexts with more than a bucket's share of the words of docs (model, text, copies): fewer than ``buckets``."""
     # a batch leaves out at most a quarter of a bucket's share, so of a heavy context three quarters are counted here
     frequent = common.materialize(context_counts(docs, 4 * buckets), "frequent")
     words = frequent.where("key is null").agg(F.sum("n")).first()[0] or 0
@@ -250,13 +277,13 @@ def heavy_contexts(docs: DataFrame, buckets: int) -> Heavy:
 
 
 def bigram_blocks(docs: DataFrame, models: dict[str, Model], buckets: int, heavy: Heavy) -> DataFrame:
-    """Step 2: rows (bucket, block); docs: (row_key, model, text)."""
+    """Step 2: rows (bucket, block); docs: (row_key, model, text, copies)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: list[tuple[int, str, str]] = []
+        chunk: list[tuple[int, str, str, int]] = []
         chars = 0
         for batch in common.small_batches(batches):
-            for row in zip(batch.column("row_key").to_pylist(), batch.column("model").to_pylist(), common.texts(batch), strict=True):
+            for row in zip(batch.column("row_key").to_pylist(), batch.column("model").to_pylist(), common.texts(batch), batch.column("copies").to_pylist(), strict=True):
                 chunk.append(row)
                 chars += len(row[2])
                 if chars >= CHUNK_CHARS or len(chunk) >= CHUNK_DOCS:
@@ -264,25 +291,25 @@ def bigram_blocks(docs: DataFrame, models: dict[str, Model], buckets: int, heavy
                     chunk, chars = [], 0
         yield packed(chunk)
 
-    def packed(chunk: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    def packed(chunk: list[tuple[int, str, str, int]]) -> pa.RecordBatch:
         parts = [block for model in {r[1] for r in chunk} for block in chunk_blocks([r for r in chunk if r[1] == model], models.get(model), buckets, heavy)]
         return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int64()), "block": pa.array([x for _, x in parts], pa.binary())})
 
-    return docs.select("row_key", "model", "text").mapInArrow(pack, "bucket long, block binary")
+    return docs.select("row_key", "model", "text", "copies").mapInArrow(pack, "bucket long, block binary")
 
 
 #: A bigram's hash in a bucket: so many bits each of its context and its word, besides the bucket's own.
 BITS = np.uint64(24)
 #: Log-probabilities of spellings are rounded to this.
 STEP = 0.25
-#: The arrays of a block: per bigram the difference of its hash from the one before, its base's log-probability in steps, its place in Heavy plus 1, and its number of documents; per bigram and document the document's place and the count; the documents.
-BLOCK = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint32, np.uint32, np.int64)
+#: The arrays of a block: per bigram the difference of its hash from the one before, its base's log-probability in steps, its place in Heavy plus 1, and its number of documents; per bigram and document the document's place and the count; the documents and how many copies each has besides itself.
+BLOCK = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint32)
 
 
-def chunk_blocks(rows: list[tuple[int, str, str]], model: Model | None, buckets: int, heavy: Heavy) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block) of documents (row_key, model, text) of one model."""
+def chunk_blocks(rows: list[tuple], model: Model | None, buckets: int, heavy: Heavy) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block) of documents (row_key, model, text, and copies if there are several) of one model."""
     hashes, contexts, spelled = [], [], []
-    for _, name, text in rows:
+    for _, name, text, *_ in rows:
         hashes.append(word_hashes(text))
         if len(hashes[-1]):
             contexts.append(contexts_of(hashes[-1], name))
@@ -291,7 +318,8 @@ def chunk_blocks(rows: list[tuple[int, str, str]], model: Model | None, buckets:
         return
     doc = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
     words, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    base = np.minimum(-model.spelling([spelled[i].decode() for i in first]) / STEP, 255).round().astype(np.uint8)
+    base = np.concatenate([-model.spelling([spelled[i].decode() for i in first[at : at + SPELLED]]) / STEP for at in range(0, len(first), SPELLED)])
+    base = np.minimum(base, 255).round().astype(np.uint8)
     spelled.clear()
     context, low = np.concatenate(contexts), (words >> (np.uint64(64) - BITS))[which]
     bucket = ((context & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
@@ -310,12 +338,12 @@ def chunk_blocks(rows: list[tuple[int, str, str]], model: Model | None, buckets:
     count = np.diff(np.append(new, len(key)))
     key, doc, bucket, order, other = key[new], doc[new], bucket[new], order[new], other[new]
     base, place = base[which[order]], place[order]
-    ids = np.array([r[0] for r in rows], np.int64)
+    ids, more = np.array([r[0] for r in rows], np.int64), np.array([sum(r[3:]) or 1 for r in rows], np.uint32) - np.uint32(1)
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         head = np.flatnonzero(other[a:b])
         here, local = np.unique(doc[a:b], return_inverse=True)
-        arrays = (np.diff(key[a:b][head], prepend=np.uint64(0)), base[a:b][head], place[a:b][head], np.diff(np.append(head, b - a)), local, count[a:b], ids[here])
+        arrays = (np.diff(key[a:b][head], prepend=np.uint64(0)), base[a:b][head], place[a:b][head], np.diff(np.append(head, b - a)), local, count[a:b], ids[here], more[here])
         yield int(bucket[a]), packed_arrays(arrays)
 
 
@@ -326,11 +354,11 @@ def packed_arrays(arrays: tuple[np.ndarray, ...]) -> bytes:
     return np.array([*(len(arrays[i]) for i in (0, 4, 6)), *map(len, data)], np.uint32).tobytes() + b"".join(data)
 
 
-def unpacked(block: bytes, only: range = range(len(BLOCK))) -> list[np.ndarray]:
+def unpacked(block: bytes, only: tuple[int, ...] | range = range(len(BLOCK))) -> list[np.ndarray]:
     """The arrays of a block that ``only`` names."""
     types = [np.dtype(t) for t in BLOCK]
     head = np.frombuffer(block, np.uint32, 3 + sum(t.itemsize for t in types)).astype(np.int64)
-    rows = [*[head[0]] * 4, *[head[1]] * 2, head[2]]
+    rows = [*[head[0]] * 4, *[head[1]] * 2, *[head[2]] * 2]
     ends, plane, out = 4 * len(head) + np.cumsum(head[3:]), 0, []
     for i, t in enumerate(types):
         if i in only:
@@ -351,8 +379,8 @@ def bucket_scores(blocks: list[bytes], heavy: Heavy) -> Iterator[tuple[np.ndarra
     """
     parts: list[tuple[np.ndarray, ...]] = []
     for block in blocks:
-        key, base, place, docs_of, _, count = unpacked(block, range(6))
-        parts.append((key, base, place, np.add.reduceat(count, np.cumsum(docs_of, dtype=np.int64) - docs_of)))
+        key, base, place, docs_of, doc, count, more = unpacked(block, (*range(6), 7))
+        parts.append((key, base, place, np.add.reduceat(count / (1.0 + more)[doc], np.cumsum(docs_of, dtype=np.int64) - docs_of)))
     ends = np.cumsum([len(x[0]) for x in parts])
     key, base, place, count = map(np.concatenate, zip(*parts, strict=True))
     parts.clear()
@@ -361,7 +389,7 @@ def bucket_scores(blocks: list[bytes], heavy: Heavy) -> Iterator[tuple[np.ndarra
     new = np.concatenate(([True], key[1:] != key[:-1]))
     at = np.empty(len(key), np.int32)
     at[order] = np.cumsum(new, dtype=np.int32) - 1
-    n = np.add.reduceat(count[order], np.flatnonzero(new)).astype(np.int64)
+    n = np.maximum(np.rint(np.add.reduceat(count[order], np.flatnonzero(new))).astype(np.int64), 1)  # whole, as copies meet
     bigram = key[new]
     del order, key, new, count
     d = discounts(n)[np.minimum(n, 3)]
@@ -415,23 +443,23 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), covered
 
 
-MEASURED = "row_key long, doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+MEASURED = "row_key long, text_key long, doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
 
 def measure(docs: DataFrame, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
-    """Base counts of each row of docs (row_key, doc_id, model, text)."""
+    """Base counts of each row of docs (row_key, text_key, doc_id, model, text)."""
     types = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
     schema = pa.schema([(n, types[t]) for n, t in (x.split() for x in MEASURED.split(", "))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
             rows = []
-            for row_key, doc_id, model, text in zip(*(batch.column(c).to_pylist() for c in ("row_key", "doc_id", "model")), common.texts(batch), strict=True):
+            for row_key, text_key, doc_id, model, text in zip(*(batch.column(c).to_pylist() for c in ("row_key", "text_key", "doc_id", "model")), common.texts(batch), strict=True):
                 n = base_counts(text)
-                rows.append((row_key, doc_id, model, *n, n[0] < least_words or 100 * n[4] > most_repeat * n[0]))
+                rows.append((row_key, text_key, doc_id, model, *n, n[0] < least_words or 100 * n[4] > most_repeat * n[0]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("row_key", "doc_id", "model", "text").mapInArrow(apply, MEASURED)
+    return docs.select("row_key", "text_key", "doc_id", "model", "text").mapInArrow(apply, MEASURED)
 
 
 def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, share: float = SHARE, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
@@ -446,16 +474,19 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, s
     langs = common.materialize(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "langs")
     total, size = langs.agg(F.sum("n"), F.sum("bytes")).first()
     own = [r.lang for r in langs.where(F.col("lang").isNotNull() & (F.col("lang") != POOL) & (F.col("n") >= share * (total or 0))).collect()]  # at most 1 / share
-    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOL))).withColumn("row_key", F.xxhash64("doc_id", "model", "text"))
+    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOL))).withColumn("row_key", F.xxhash64("doc_id", "model", "text")).withColumn("text_key", F.xxhash64("model", "text"))
+    docs = with_copies(docs)
     buckets = max(least_buckets, -(-(size or 0) // bucket_bytes))
     heavy = heavy_contexts(docs, buckets)
     scores = common.materialize(word_scores(bigram_blocks(docs, models_of(docs), buckets, heavy), buckets, heavy), "scores")
     log_ppl = F.round(-F.col("logp") * F.col("n_words") / (F.col("word_chars") + F.col("n_words")), 9)
     measured = common.materialize(measure(docs).join(scores, "row_key", "left").withColumn("log_ppl", log_ppl).drop("row_key", "logp"), "measured")
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-    quart = measured.where(~F.col("base_failed")).groupBy("model").agg(q.alias("q")).where("q is not null")
-    width = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.03))
-    bands = quart.select("model", (F.col("q")[1] - lower * width).alias("__low"), (F.col("q")[1] + upper * width).alias("__high"))
+    distinct = measured.where(~F.col("base_failed")).groupBy("model", "text_key").agg(F.min("log_ppl").alias("log_ppl"))
+    quart = distinct.groupBy("model").agg(q.alias("q")).where("q is not null")
+    first, median, third = (F.greatest(F.col("q")[i], F.lit(1e-9)) for i in range(3))
+    wide, ratio = F.greatest(third - first, F.lit(LEAST_SPREAD)), F.greatest(F.log(third / first), F.lit(LEAST_SPREAD))
+    bands = quart.select("model", (median * F.exp(-lower * ratio)).alias("__low"), (median + upper * wide).alias("__high"))
     rows = measured.join(F.broadcast(bands), "model", "left")  # one row a model
     inside = F.coalesce(F.col("log_ppl").between(F.col("__low"), F.col("__high")), F.lit(True))
-    return rows.select(*[c for c in measured.columns if c not in ("model", "log_ppl")], (~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("__low").alias("lower_band"), F.exp("__high").alias("upper_band"), F.col("model").alias("language_model"))
+    return rows.select(*[c for c in measured.columns if c not in ("model", "text_key", "log_ppl")], (~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("__low").alias("lower_band"), F.exp("__high").alias("upper_band"), F.col("model").alias("language_model"))

@@ -356,6 +356,21 @@ def test_quality_rules(spark):
     assert perplexity.quality_rules(frame(spark, [])).count() == 0
 
 
+def test_low_perplexity_is_rejected(spark):
+    """Documents of one pattern lie below the band; a sound text with many copies stays within it."""
+    many = [(i, prose(random.Random(i), 200), "en", "a", 1) for i in range(80)]
+    copies = [(1000 + i, many[3][1], "en", "a", 1) for i in range(120)]
+    words = [f"{a}{b}zz" for a in "abcdefgh" for b in "klmnopqr"]
+    flat = [(2000 + i, " ".join(words[i:] + words[:i]), "en", "a", 1) for i in range(9)]
+    got = {g["doc_id"]: g for g in rows_of(perplexity.quality_rules(frame(spark, many + copies + flat)))}
+    assert all(g["lower_band"] > 1 for g in got.values())
+    assert not any(g["base_failed"] for g in got.values())
+    assert not any(got[d[0]]["kept"] or got[d[0]]["perplexity"] >= got[d[0]]["lower_band"] for d in flat)
+    assert all(got[d[0]]["kept"] for d in many + copies)
+    alone = {g["doc_id"]: g for g in rows_of(perplexity.quality_rules(frame(spark, many + flat)))}
+    assert all(math.isclose(alone[i]["perplexity"], got[i]["perplexity"], rel_tol=1e-6) for i in alone)
+
+
 # quality network
 
 
