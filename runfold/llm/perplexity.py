@@ -5,8 +5,9 @@ a modified Kneser-Ney trigram model of characters. Spark counts both in every wh
 word model grows with the input and is never in one place:
 
 1. Tasks count character trigrams and frequent contexts; Spark adds them up. Characters are folded to 64
-   classes, so a language's base has at most 64 ** 3 entries, and it alone is sent to every task. A
-   language with at least ``SHARE`` of the documents has its own model, the others share one.
+   classes, so a base has at most 64 ** 3 entries, and it alone is sent to every task. A
+   language with at least ``SHARE`` of the documents has its own base, the others share one. Contexts, counts of
+   words, quartiles and bands are each language's own, however small its share.
 2. Tasks pack the distinct bigrams of many documents, with the documents each is in, into one block for
    each bucket of contexts, and Spark deals the blocks by bucket. The number of buckets grows with the input.
 3. A bucket adds its blocks up into one array of sorted bigram hashes with their counts. What the
@@ -28,6 +29,7 @@ over the distinct texts of the language that pass the base rules.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,7 +51,7 @@ LOWER, UPPER = 4.0, 4.0
 LEAST_SPREAD = 0.03
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
-#: The model of the languages without one of their own.
+#: The base of the languages without one of their own, and the language of documents that name none.
 POOL = ""
 #: Bytes of text for each bucket of contexts, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 48 << 20, 16
@@ -59,11 +61,25 @@ CHUNK_CHARS, CHUNK_DOCS = 4_000_000, 50_000
 SPELLED = 50_000
 #: Tables of at most so many texts with copies are sent to every executor.
 BROADCAST_COPIES = 1_000_000
+#: Bands of at most so many languages are sent to every executor.
+BROADCAST_LANGS = 10_000
+
+
+def hashed_class(cp):
+    """The class of a code point (or of each of an array) that is told by its hash."""
+    return 35 + (cp * 0x9E3779B1 % (1 << 32) >> 16) % 26
 
 
 def fold_table() -> np.ndarray:
-    """Class of each code point below 0x250, without regard to A-Z or a-z; those beyond share the last class but one."""
-    table = np.full(0x250, 63, np.uint8)
+    """Class of each code point below 0x10000, without regard to A-Z or a-z.
+
+    Letters and marks from 0x250 on are hashed to classes 35 to 60, without regard to case; other code points there are as in ASCII.
+    """
+    table = np.full(0x10000, 63, np.uint8)
+    for cp in range(0x250, 0x10000):
+        c = chr(cp)
+        kind = unicodedata.category(c)[0]
+        table[cp] = 3 if c.isdigit() else 1 if kind == "Z" else 7 if kind in "PS" else hashed_class(ord(c.lower()[0]))
     for cp in range(0x250):
         c = chr(cp)
         if c.isascii() and c.isalpha():
@@ -96,7 +112,7 @@ def trigrams(text: str) -> np.ndarray:
     """The packed trigram that ends at each character; the beginning is padded with class 0."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     x = np.zeros(len(cp) + 2, np.int32)
-    x[2:] = np.where(cp < 0x250, _FOLD[np.minimum(cp, 0x24F)], 62)
+    x[2:] = np.where(cp < 0x10000, _FOLD[np.minimum(cp, 0xFFFF)], hashed_class(cp.astype(np.int64)))
     return (x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:]
 
 
@@ -242,7 +258,7 @@ def fit(keys: np.ndarray, counts: np.ndarray) -> Model:
 
 
 def models_of(docs: DataFrame) -> dict[str, Model]:
-    """The spelling model of each value of ``model`` in docs (model, text)."""
+    """The spelling model of each value of ``model`` in docs (model, text, copies)."""
     rows = count_trigrams(docs).toPandas()  # at most (1 / SHARE + 1) * 64 ** 3 rows, see above
     found = {}
     for model, part in rows.groupby("model"):
@@ -292,7 +308,10 @@ def bigram_blocks(docs: DataFrame, models: dict[str, Model], buckets: int, heavy
         yield packed(chunk)
 
     def packed(chunk: list[tuple[int, str, str, int]]) -> pa.RecordBatch:
-        parts = [block for model in {r[1] for r in chunk} for block in chunk_blocks([r for r in chunk if r[1] == model], models.get(model), buckets, heavy)]
+        by_base: dict[str, list[tuple[int, str, str, int]]] = {}
+        for row in chunk:
+            by_base.setdefault(row[1] if row[1] in models else POOL, []).append(row)
+        parts = [block for base, rows in by_base.items() for block in chunk_blocks(rows, models.get(base), buckets, heavy)]
         return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int64()), "block": pa.array([x for _, x in parts], pa.binary())})
 
     return docs.select("row_key", "model", "text", "copies").mapInArrow(pack, "bucket long, block binary")
@@ -307,7 +326,7 @@ BLOCK = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint32, np.uint32, np.int
 
 
 def chunk_blocks(rows: list[tuple], model: Model | None, buckets: int, heavy: Heavy) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block) of documents (row_key, model, text, and copies if there are several) of one model."""
+    """(bucket, block) of documents (row_key, model, text, and copies if there are several) of one base."""
     hashes, contexts, spelled = [], [], []
     for _, name, text, *_ in rows:
         hashes.append(word_hashes(text))
@@ -466,19 +485,21 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, s
     """Base counts, base_failed, kept, perplexity (of a character) and its band for each row of ``docs`` (doc_id, text, lang).
 
     A null text has no words and fails the base rules; texts without a word have no perplexity. A
-    null lang, and a lang with less than ``share`` of the documents, use the pooled model. Repeated
-    rows are judged alike. Rows are joined with their scores by a 64-bit hash of id and text.
+    lang with less than ``share`` of the documents uses the pooled spelling base, and nothing else of other langs; a
+    null lang is the empty one. Repeated rows are judged alike. Rows are joined with their scores by a 64-bit hash of id and text.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     langs = common.materialize(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "langs")
     total, size = langs.agg(F.sum("n"), F.sum("bytes")).first()
     own = [r.lang for r in langs.where(F.col("lang").isNotNull() & (F.col("lang") != POOL) & (F.col("n") >= share * (total or 0))).collect()]  # at most 1 / share
-    docs = docs.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOL))).withColumn("row_key", F.xxhash64("doc_id", "model", "text")).withColumn("text_key", F.xxhash64("model", "text"))
+    few = langs.count() <= BROADCAST_LANGS
+    docs = docs.withColumn("model", F.coalesce("lang", F.lit(POOL))).withColumn("row_key", F.xxhash64("doc_id", "model", "text")).withColumn("text_key", F.xxhash64("model", "text"))
     docs = with_copies(docs)
     buckets = max(least_buckets, -(-(size or 0) // bucket_bytes))
     heavy = heavy_contexts(docs, buckets)
-    scores = common.materialize(word_scores(bigram_blocks(docs, models_of(docs), buckets, heavy), buckets, heavy), "scores")
+    bases = models_of(docs.withColumn("model", F.when(F.col("model").isin(own), F.col("model")).otherwise(F.lit(POOL))))
+    scores = common.materialize(word_scores(bigram_blocks(docs, bases, buckets, heavy), buckets, heavy), "scores")
     log_ppl = F.round(-F.col("logp") * F.col("n_words") / (F.col("word_chars") + F.col("n_words")), 9)
     measured = common.materialize(measure(docs).join(scores, "row_key", "left").withColumn("log_ppl", log_ppl).drop("row_key", "logp"), "measured")
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
@@ -487,6 +508,6 @@ def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, s
     first, median, third = (F.greatest(F.col("q")[i], F.lit(1e-9)) for i in range(3))
     wide, ratio = F.greatest(third - first, F.lit(LEAST_SPREAD)), F.greatest(F.log(third / first), F.lit(LEAST_SPREAD))
     bands = quart.select("model", (median * F.exp(-lower * ratio)).alias("__low"), (median + upper * wide).alias("__high"))
-    rows = measured.join(F.broadcast(bands), "model", "left")  # one row a model
+    rows = measured.join(F.broadcast(bands) if few else bands, "model", "left")  # one row a language
     inside = F.coalesce(F.col("log_ppl").between(F.col("__low"), F.col("__high")), F.lit(True))
     return rows.select(*[c for c in measured.columns if c not in ("model", "text_key", "log_ppl")], (~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("__low").alias("lower_band"), F.exp("__high").alias("upper_band"), F.col("model").alias("language_model"))

@@ -356,6 +356,33 @@ def test_quality_rules(spark):
     assert perplexity.quality_rules(frame(spark, [])).count() == 0
 
 
+def test_small_languages_have_their_own_bands(spark):
+    """A language's scores and band stay as they are when other rows make its share small."""
+    letters = {"aa": "abcdefgh", "bb": "жщюябгде", "cc": "mnopqrst"}
+
+    def text(lang, i, n):
+        r = random.Random(f"{lang}{i}")
+        names = ["".join(random.Random(f"{lang}{j}").choices(letters[lang], k=6)) for j in range(40)]
+        return " ".join(r.choices(names, k=n))
+
+    small = [(100 * k + i, text(lang, i, 120), lang, "a", 1) for k, lang in enumerate(("aa", "bb")) for i in range(30)]
+    got = rows_of(perplexity.quality_rules(frame(spark, small + [(1000 + i, text("cc", i, 120), "cc", "a", 1) for i in range(30)]), share=0.5))
+    assert {g["language_model"] for g in got} == {"aa", "bb", "cc"}
+    assert len({(g["language_model"], g["lower_band"], g["upper_band"]) for g in got}) == 3
+    # the words of one language always in one order, of the other in any: contexts are not shared
+    words = ["".join(random.Random(j).choices("abcdefgh", k=6)) for j in range(40)]
+    rows = [(i, " ".join(words[i:] + words * 2), "aa", "a", 1) for i in range(30)] + [(100 + i, " ".join(random.Random(i).choices(words, k=120)), "bb", "a", 1) for i in range(30)]
+    by = {g["doc_id"]: g["perplexity"] for g in rows_of(perplexity.quality_rules(frame(spark, rows), share=0.9))}
+    assert max(by[i] for i in range(30)) < 1.05 < 1.2 < min(by[100 + i] for i in range(30))
+
+
+def test_other_scripts_are_spelled():
+    """Letters beyond Latin have classes of their own, without regard to case."""
+    cyrillic = {int(k) % perplexity.CLASSES for k in perplexity.trigrams("абвгдежзиклмнопрст")}
+    assert len(cyrillic) > 8 and len({int(k) % perplexity.CLASSES for k in perplexity.trigrams("日本語の文章です𠀀𠀁𠀂")}) > 4
+    assert (perplexity.trigrams("ПРИВЕТ") == perplexity.trigrams("привет")).all()
+
+
 def test_low_perplexity_is_rejected(spark):
     """Documents of one pattern lie below the band; a sound text with many copies stays within it."""
     many = [(i, prose(random.Random(i), 200), "en", "a", 1) for i in range(80)]
