@@ -2,7 +2,9 @@
 
 Rows of equal text are a group and stay together. Groups are ordered by the digest of
 their text; a shard is a run of that order. The largest shard is made as small as such runs
-allow: a binary search over capacities, each tried greedily.
+allow: a binary search over capacities, each tried greedily. A group above an even share of the bytes decides
+that capacity alone; it has a shard to itself, and the runs before and after it are shared out over the
+shards left in the same way, so that the other shards are as even as the order allows.
 
 The order may hold any number of groups, so the search runs over blocks of digests with a
 common beginning. Some blocks hold many groups; only those where a cut may fall are split
@@ -59,6 +61,51 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return low
 
 
+@dataclass(frozen=True)
+class Run:
+    """Blocks from ``start`` up to ``end`` that get ``shards`` shards."""
+
+    start: int
+    end: int
+    shards: int
+
+
+def runs_around(blocks: list[Block], shards: int) -> list[Run]:
+    """The blocks in runs between the groups that are above an even share of what is left; such a group is a run of one shard.
+
+    Groups are set apart from the largest on while a shard is left for each run between them. The
+    shards left are allotted to the runs by the least capacity that they do for, as if blocks of many
+    groups could be cut anywhere; those then left over go to the runs of the largest load a shard.
+    """
+    hot: list[int] = []
+    left, size = shards, sum(b.size for b in blocks)
+    for i in sorted((i for i, b in enumerate(blocks) if b.groups == 1), key=lambda i: (-blocks[i].size, i)):
+        more = sorted([*hot, i])
+        spans = [(a + 1, b) for a, b in zip([-1, *more], [*more, len(blocks)], strict=True) if a + 1 < b]
+        if blocks[i].size * left <= size or left < 2 or len(spans) + len(more) > shards:
+            break
+        hot, left, size = more, left - 1, size - blocks[i].size
+    spans = [(a + 1, b) for a, b in zip([-1, *hot], [*hot, len(blocks)], strict=True) if a + 1 < b]
+    if not hot or not spans:
+        return [Run(0, len(blocks), shards)]
+    need = lambda a, b, cap: len(reach(blocks[a:b], cap, shards)) + 1
+    low = max([1, *(x.size for a, b in spans for x in blocks[a:b] if x.groups == 1)])
+    high = max(low, max(sum(x.size for x in blocks[a:b]) for a, b in spans))
+    while low < high:
+        mid = (low + high) // 2
+        if sum(need(a, b, mid) for a, b in spans) > left:
+            low = mid + 1
+        else:
+            high = mid
+    given = [need(a, b, low) for a, b in spans]
+    loads = [sum(x.size for x in blocks[a:b]) for a, b in spans]
+    for _ in range(left - sum(given)):
+        at = max(range(len(spans)), key=lambda i: loads[i] / given[i])
+        given[at] += 1
+    runs = [Run(a, b, n) for (a, b), n in zip(spans, given, strict=True)] + [Run(i, i + 1, 1) for i in hot]
+    return sorted(runs, key=lambda r: r.start)
+
+
 def reach(blocks: list[Block], capacity: int, shards: int) -> list[int]:
     """For each run, the block in which it ends at the latest if groups could be cut at any size in blocks of many groups."""
     ends, total = [], 0
@@ -117,13 +164,23 @@ def cut_digests(groups: DataFrame, shards: int) -> list[str]:
         digits = len(next(iter(split)))
         finer = sums(groups.where(F.substring("digest", 1, digits).isin(sorted(split))), min(DIGITS, digits + MORE))
         blocks = sorted([b for b in blocks if b.prefix not in split] + finer, key=lambda b: b.prefix)
-    ends = greedy([b.size for b in blocks], smallest_capacity([b.size for b in blocks], shards), shards) or []
-    return [blocks[i].prefix for i in ends[:-1] if i < len(blocks)]
+    cuts = []
+    for run in runs_around(blocks, shards):
+        sizes = [b.size for b in blocks[run.start : run.end]]
+        ends = greedy(sizes, smallest_capacity(sizes, run.shards), run.shards) or []
+        cuts += [run.start + i for i in ends]
+    return [blocks[i].prefix for i in cuts if i < len(blocks)]
 
 
 def refine(blocks: list[Block], shards: int) -> set[str]:
-    """The open blocks of the shortest prefix, as one level is split at a time."""
-    found = open_blocks(blocks, shards)
+    """The open blocks of the shortest prefix, as one level is split at a time.
+
+    A block of many groups that is above an even share may hold a group that is; it is split until that shows.
+    """
+    even = sum(b.size for b in blocks) / shards
+    found = open_blocks(blocks, shards) | {b.prefix for b in blocks if b.groups > 1 and b.size > even}
+    for run in runs_around(blocks, shards):
+        found |= open_blocks(blocks[run.start : run.end], run.shards)
     least = min((len(p) for p in found), default=0)
     return {p for p in found if len(p) == least and least < DIGITS}
 

@@ -166,6 +166,21 @@ def test_refined_search_is_exact(seed):
     assert sharding.smallest_capacity([b.size for b in blocks], 4) == min_capacity([v for _, v in groups], 4)
 
 
+def test_hot_group_leaves_other_shards_even(spark):
+    """A text with a third of the bytes has a shard; the others share the rest nearly evenly."""
+    r = random.Random(2)
+    docs = [(i, f"{i} " + "x" * r.randint(80, 120), "en", "a", 1) for i in range(600)]
+    docs += [(1000 + i, "hot " + "y" * 96, "en", "a", 1) for i in range(300)]
+    got = rows_of(sharding.shard_documents(frame(spark, docs), 12))
+    load, hot = collections.Counter(), set()
+    for g in got:
+        load[g["shard"]] += g["size"]
+        hot |= {g["shard"]} if g["doc_id"] >= 1000 else set()
+    assert set(load) == set(range(12)) and len(hot) == 1
+    others = [n for k, n in load.items() if k not in hot]
+    assert load[hot.pop()] == 300 * 108 and max(others) < 1.25 * min(others)
+
+
 # url filter
 
 
