@@ -46,6 +46,8 @@ PER_CLASS = 2500
 STEMS = range(4, 9)
 COST = 20
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: What French elides before a word.
+ELIDED = re.compile(r"(?:[cdjlmnst]|qu)['’](?=[^\W\d_])")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 # Transducers: state -> symbol -> next state (a symbol not named stays), and the features of a clause's last state.
@@ -112,6 +114,8 @@ class Matcher:
         got = self.grammar.words.get(word)
         if got is None:
             got = INSULT if any(word[:n] in self.stems for n in self.sizes) else OTHER
+            if got == OTHER and (elided := ELIDED.match(word)):
+                got = self.symbol(word[elided.end() :])
         return got
 
     def features(self, text: str) -> np.ndarray:
@@ -120,7 +124,7 @@ class Matcher:
         total, done = np.zeros(len(FEATURES)), 0
         for end, size in self.find.iter(low):
             at = end - size + 1
-            if at < done or (at and (low[at - 1].isalpha() or low[at - 1] in "'’") and low[at].isalpha()):
+            if at < done or (at and low[at - 1].isalpha() and low[at].isalpha()):
                 continue  # in a clause that is done, or inside a word
             begin = max(done, 1 + max(low.rfind(c, done, at) for c in ".!?;:\n"))
             found = CLAUSE_END.search(low, at)

@@ -492,6 +492,25 @@ def test_clauses():
     assert m.features("not. you idiot")[toxicity.FEATURES.index("negated")] == 0
 
 
+def test_quoted_and_elided_insults_are_read():
+    """The fast search finds what a matcher that reads every clause finds."""
+    m = toxicity.Grammar().compile()
+    insult = max((w for w, s in m.grammar.words.items() if s == toxicity.INSULT and w.isalpha()), key=len)
+
+    def every_clause(text):
+        total = np.zeros(len(toxicity.FEATURES))
+        for clause in toxicity.CLAUSE_END.split(text.lower()):
+            state = 0
+            for w in toxicity.LETTERS.findall(clause):
+                state = toxicity.TABLE[state, m.symbol(w)]
+            total += toxicity.LAST[state]
+        return total
+
+    for text in (f"you are a '{insult}'", f"you are an ’{insult}’", f"you are l'{insult}", f"you d’{insult}", f"you qu'{insult}. fine", f"x{insult} y'x{insult}"):
+        assert (m.features(text) == every_clause(text)).all(), text
+        assert m.features(text).any() == ("x" + insult not in text), text
+
+
 def test_toxicity_learns_words(spark):
     rows, labels = labelled_corpus()
     docs = frame(spark, rows + corpus()[-8:-2])
