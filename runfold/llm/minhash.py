@@ -2,35 +2,41 @@
 
 1. Each document's set of word shingles gives many universal hash minima and a digest.
    Documents with equal sets are one class from here on.
-2. Bands of minima put classes into buckets. Every class is compared with one member of each of
+2. Bands of minima put classes into buckets. Every class meets one member of each of
    its buckets (the centre), so a bucket of m classes costs m - 1 candidates. Of these, the
-   centre met in most bands is checked first, on the full sets.
+   centre met in most bands is looked at first: its minima, then its full set.
 3. Links become components by alternating large-star and small-star.
 4. Buckets that still hold several components are compared completely, in blocks of
-   classes: minima first, then full sets, and only links that join different components
-   leave the task. So no link is lost to step 2, and no group's pairs are ever emitted.
+   classes, on their minima alone (two bytes each). A pair of different components whose minima agree
+   often enough is emitted in its first common bucket, so once, and its full sets are compared.
 
-At the usual setting (32 bands of 5) a pair at the threshold of 0.8 shares no band with
-probability 3e-6.
+Texts are read only for classes in a pair that its minima leave, and each goes to one task a
+pair; a centre's text goes out once for each ``STAR`` members. At the usual setting (32 bands of 5)
+a pair at the threshold of 0.8 shares no band with probability 3e-6, and its minima agree too
+rarely with less than ``MISS``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runfold.llm import common
 from runfold.session import ship
 
 BANDS, ROWS = 32, 5
-#: Classes in a block of step 4.
-BLOCK = 256
-#: So many ids at most are sent to every executor (8 bytes each).
+#: Classes in a block of step 4, and members of a centre that share one copy of it.
+BLOCK, STAR = 2048, 256
+#: Probability that a pair at the threshold is lost to the comparison of minima.
+MISS = 1e-6
+#: So many ids, or rows of three numbers, at most are sent to every executor.
 BROADCAST_IDS = 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -78,41 +84,49 @@ def universal(bands: int, rows: int, seed: int = 7) -> tuple[np.ndarray, np.ndar
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least of each hash (a * x + b, upper half) over the set, as uint32."""
+    """The least of each hash (a * x + b) over the set, its upper quarter as uint16."""
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         np.minimum(least, (a[:, None] * shingles[None, at : at + 1024] + b[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return (least >> np.uint64(48)).astype(np.uint16)
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), bands (a key for each) and minima (16 bits each)."""
+    """doc_id, n_shingles, digest (null for an empty set) and minima (16 bits each)."""
     a, b = universal(bands, rows)
-    turn = common.mix64(np.arange(1, bands + 1, dtype=np.uint64))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("minima", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("minima", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True):
                 s = shingle_set(text, k)
-                if not len(s):
-                    out.append((doc_id, 0, None, None, None))
-                    continue
-                m = minima(s, a, b)
-                keys = np.zeros(bands, np.uint64)
-                for column in m.reshape(bands, rows).T.astype(np.uint64):
-                    keys = common.mix64(keys * np.uint64(31) + column)
-                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), common.mix64(keys + turn).view(np.int64).tolist(), m.astype(np.uint16).tobytes()))
+                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), minima(s, a, b).tobytes()) if len(s) else (doc_id, 0, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return picked(docs).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, minima binary")
+    return picked(docs).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, minima binary")
 
 
 def picked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def bucket_keys(bands: int, rows: int) -> Column:
+    """The buckets of a signature: for each band a hash of its minima, with the band's number in the last bits."""
+    low = (1 << max(1, (bands - 1).bit_length())) - 1
+    return F.array(*[F.xxhash64(F.substring("minima", 2 * rows * i + 1, 2 * rows)).bitwiseAND(F.lit(~low)).bitwiseOR(F.lit(i).cast("long")) for i in range(bands)])
+
+
+def least_matches(n: int, percent: int, miss: float = MISS) -> int:
+    """How many of ``n`` minima a pair at the threshold has in common at least, but for a probability of ``miss``."""
+    p, below = percent / 100, 0.0
+    for matches in range(n + 1):
+        below += math.comb(n, matches) * p**matches * (1 - p) ** (n - matches)
+        if below > miss:
+            return matches
+    return n
+
+
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the similarity: 100 * intersection >= percent * union."""
     both = len(x) + len(y)
@@ -124,53 +138,86 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (both - inter)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked."""
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def confirm(pairs: DataFrame, payload: DataFrame, prepare: Callable[[Any], Any], passes: Callable[[Any, Any], bool]) -> DataFrame:
+    """The pairs (a, b) with a payload of a that passes with one of b.
+
+    payload: (id, data); an id may have several. Each a's payload goes to its b's; a b
+    with many pairs is split, and each part of about ``STAR`` has a copy of b's payload. A task holds b's
+    and one other payload at a time.
+    """
+    spark = pairs.sparkSession
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
+    dealt = common.materialize(pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")), "dealt")
+    few = dealt.count() <= BROADCAST_IDS
+    send = F.broadcast if few else (lambda x: x)
+    members = payload.join(send(dealt), payload["id"] == dealt["a"]).select("b", "part", "a", "data")
+    centres = dealt.select("b", "part").distinct()
+    centres = payload.join(send(centres), payload["id"] == centres["b"]).select("b", "part", F.lit(None).cast("long").alias("a"), "data")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in common.small_batches(batches):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = [alike(shingle_set(x, k), shingle_set(y, k), percent) for x, y in zip(common.texts(batch, "text_a"), common.texts(batch, "text_b"), strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, ok in zip(a, keep, strict=True) if ok], pa.int64()), "b": pa.array([x for x, ok in zip(b, keep, strict=True) if ok], pa.int64())})
+            found = []
+            for b, part, a, data in zip(*(batch.column(c).to_pylist() for c in ("b", "part", "a", "data")), strict=True):
+                if now != (b, part):
+                    now, held = (b, part), []
+                if a is None:
+                    held.append(prepare(data))
+                elif found[-1:] != [(a, b)]:
+                    one = prepare(data)
+                    if any(passes(one, x) for x in held):
+                        found.append((a, b))
+            yield pairs_batch(found)
+
+    rows = centres.unionByName(members).repartition(common.shuffle_parts(spark), "b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
+    return rows.mapInArrow(check, "a long, b long").distinct()
+
+
+def alike_minima(pairs: DataFrame, banded: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose minima agree often enough; banded: (rep, minima)."""
+    return confirm(pairs, banded.select(F.col("rep").alias("id"), F.col("minima").alias("data")), lambda m: np.frombuffer(m, np.uint16), lambda x, y: np.count_nonzero(x == y) >= least_matches(len(x), percent))
+
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+def alike_texts(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are linked; texts: (id, data)."""
+    return confirm(pairs, texts, lambda text: shingle_set(text or "", k), lambda x, y: alike(x, y, percent))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star: rows (node, component), component the least node.
 
     edges: (a, b), any direction, repeats and loops allowed. Nodes without a link to another have no row. Each
-    round is written to the shared folder. A node with very many links is no hot task: its
-    least neighbour is found with map-side aggregation, and the join that passes it on may
-    be split by the planner.
+    round is written to the shared folder, and the round before it is dropped; rounds go on until nothing changes, which takes
+    of the order of the square of the log of the nodes. A node with very many links is no hot task: its
+    least neighbour is found with map-side aggregation, and the join that passes it on is
+    split by adaptive execution (``spark.sql.adaptive.skewJoin.enabled``, on by default), which this needs.
     """
     now = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = common.materialize(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = common.materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        lower = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = common.materialize(small.unionByName(lower.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        common.drop(now, least, large, lower)
+        now = after
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def inside_blocks(members: DataFrame, buckets: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
-    """Step 4: links between different components of a bucket.
+def inside_blocks(members: DataFrame, buckets: DataFrame, percent: int, bands: int) -> DataFrame:
+    """Step 4: pairs (a, b) of different components of a bucket whose minima agree often enough, each once.
 
-    members: (bucket, band, rep, component, minima, text); buckets: (bucket, main, n_main, n_rest),
+    members: (bucket, rep, component, minima); buckets: (bucket, main, n_main, n_rest),
     its largest component and how many classes it has and how many others. Blocks of
-    the others meet one another and the main component's blocks; the latter do not meet each other.
+    the others meet one another and the main component's blocks; the latter do not meet each other. A class goes
+    to as many tasks as its bucket has blocks, with its minima only.
     """
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int")
     placed = members.join(buckets, "bucket").withColumn("__main", F.col("component") == F.col("main"))
@@ -179,16 +226,17 @@ def inside_blocks(members: DataFrame, buckets: DataFrame, k: int, percent: int,
     # blocks of the others count from 1, the main component's from -1 down
     placed = placed.withColumn("block", F.when(F.col("__main"), -1 - F.col("block")).otherwise(1 + F.col("block")))
     meets = F.when(F.col("__main"), numbers("n_rest", 1)).otherwise(F.concat(numbers("n_rest", 1), numbers("n_main", -1)))
-    dealt = placed.select("bucket", "band", "rep", "component", "minima", "text", "block", F.explode(meets).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "rep", "component", "block", "minima", "text")
+    dealt = placed.select("bucket", "rep", "component", "minima", "block", F.explode(meets).alias("other"))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "block", "minima")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for rows in runs_of(batches, ("bucket", "i", "j")):
-            found += block_links(rows, k, percent, bands)
-            if len(found) >= 10_000:
-                yield pairs_batch(found)
-                found = []
+            for pair in block_pairs(rows, percent, bands):
+                found.append(pair)
+                if len(found) >= 10_000:
+                    yield pairs_batch(found)
+                    found = []
         yield pairs_batch(found)
 
     # dealt by block as well: a hot bucket's blocks go to many tasks
@@ -214,52 +262,28 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield run
 
 
-def block_links(rows: list[dict], k: int, percent: int, bands: int) -> list[tuple[int, int]]:
-    """Links between the components of two blocks of a bucket, no more than connect them.
+def block_pairs(rows: list[dict], percent: int, bands: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different components between two blocks of a bucket that their minima leave.
 
-    A pair that shares several bands is compared in the first one's bucket alone: both its
+    A pair that shares several bands is emitted from the first one's bucket alone: both its
     classes are there, and with them in different components that bucket is open too.
     """
     m = np.stack([np.frombuffer(r["minima"], np.uint16) for r in rows])
-    comp, block = [r["component"] for r in rows], np.array([r["block"] for r in rows])
-    i, j, band = rows[0]["i"], rows[0]["j"], rows[0]["band"]
-    names = {c: n for n, c in enumerate(dict.fromkeys(comp))}
-    label = np.array([names[c] for c in comp])
-    head = list(range(len(names)))
-
-    def root(c: int) -> int:
-        while head[c] != c:
-            c = head[c]
-        return c
-
-    sets: dict[int, np.ndarray] = {}
-
-    def of(n: int) -> np.ndarray:
-        if n not in sets:
-            sets[n] = shingle_set(rows[n]["text"] or "", k)
-        return sets[n]
-
-    # at four standard deviations below the threshold
-    p = percent / 100
-    low = p - 4 * (p * (1 - p) / m.shape[1]) ** 0.5
-    links = []
-    for x in np.flatnonzero(block == i):
-        other = (block == j) & (label != label[x])
+    block, component, rep = (np.array([r[c] for r in rows], np.int64) for c in ("block", "component", "rep"))
+    i, j, band = rows[0]["i"], rows[0]["j"], rows[0]["bucket"] & ((1 << max(1, (bands - 1).bit_length())) - 1)
+    low = least_matches(m.shape[1], percent)
+    xs, ys = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    right, theirs = m[ys], component[ys]
+    for x in xs:
+        equal = right == m[x]
+        good = (np.count_nonzero(equal, axis=1) >= low) & (theirs != component[x])
         if i == j:
-            other[: x + 1] = False
-        ys = np.flatnonzero(other)
-        if not len(ys):
-            continue
-        equal = m[x] == m[ys]
-        same = equal.mean(axis=1)
-        first = equal.reshape(len(ys), bands, -1).all(axis=2).argmax(axis=1)
-        good = (same >= low) & (first == band)
-        ys, same = ys[good], same[good]
-        for y in ys[np.argsort(-same, kind="stable")]:
-            if root(label[x]) != root(label[y]) and alike(of(x), of(y), percent):
-                head[root(label[y])] = root(label[x])
-                links.append((rows[x]["rep"], rows[y]["rep"]))
-    return links
+            good &= ys > x
+        hit = np.flatnonzero(good)
+        if len(hit):
+            first = equal[hit].reshape(len(hit), bands, -1).all(axis=2).argmax(axis=1)
+            for y in ys[hit[first == band]]:
+                yield int(rep[x]), int(rep[y])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -267,34 +291,52 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     component_id is the least doc_id linked with it, over any number of links, itself
     included. Documents without a word (or text) are linked with nothing. Rows that share a
-    doc_id count as one document. A row with a null doc_id takes its copies' component and is
+    doc_id count as one document with the links of all their texts. A row with a null doc_id takes its copies' component and is
     kept only where it has none. An empty table gives no rows.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     signed = common.materialize(signatures(docs, k, bands, rows), "signed")
-    classes = common.materialize(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    banded = signed.where("digest is not null").select("digest", F.col("doc_id").alias("rep"), "bands", "minima").join(classes, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
-    banded = common.materialize(banded.select("rep", "bands", "minima"), "banded")
-    buckets = banded.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket"), F.col("rep"))).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    centres = common.materialize(centres.select("bucket", F.col("c.rep").alias("centre")), "centres")
+    some = signed.where("digest is not null and doc_id is not null")
+    classes = common.materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    key = F.xxhash64("digest")
+    repeated = common.materialize(some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("__low"), F.max(key).alias("__high")).where("n > 1").select("doc_id", (F.col("__low") != F.col("__high")).alias("differ")), "repeated")
+    n_classes, n_repeated = classes.count(), repeated.count()
+    sent = lambda rows, n: F.broadcast(rows) if n <= BROADCAST_IDS else rows
+    banded = some.select("digest", F.col("doc_id").alias("rep"), "minima").join(sent(classes, n_classes), ["digest", "rep"])
+    banded = common.materialize((banded.dropDuplicates(["digest", "rep"]) if n_repeated else banded).select("rep", "minima"), "banded")
+    buckets = banded.select("rep", F.explode(bucket_keys(bands, rows)).alias("bucket"))
+    # the class whose id differs from the bucket's hash least is its centre
+    mask = F.xxhash64("bucket")
+    centres = buckets.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centres = common.materialize(centres.select("bucket", F.col("c").bitwiseXOR(mask).alias("centre")), "centres")
     shared = common.materialize(buckets.join(centres, "bucket"), "shared")
     # the centre met in most bands, for each class
     met = shared.where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("n"))
-    first = common.materialize(met.groupBy("rep").agg(F.max(F.struct("n", "centre")).alias("best")).select(F.col("rep").alias("a"), F.col("best.centre").alias("b")), "first")
-    active = common.materialize(shared.select(F.col("rep").alias("doc_id")).distinct(), "active")
-    few = active.count() <= BROADCAST_IDS
-    texts = common.materialize(picked(docs).join(F.broadcast(active) if few else active, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "active_texts")
-    links = common.materialize(confirm(first, texts, k, percent), "confirmed")
+    first = met.groupBy("rep").agg(F.max(F.struct("n", "centre")).alias("best")).select(F.col("rep").alias("a"), F.col("best.centre").alias("b"))
+    texts = picked(docs).select(F.col("doc_id").alias("id"), F.col("text").alias("data")).where("id is not null")
+    if n_repeated:
+        more = repeated.select(F.col("doc_id").alias("id"))
+        texts = texts.join(sent(more, n_repeated), "id", "left_anti").unionByName(texts.join(sent(more, n_repeated), "id", "left_semi").dropDuplicates())
+    likely = common.materialize(alike_minima(first, banded, percent), "likely")
+    links = common.materialize(alike_texts(likely, texts, k, percent), "confirmed")
+    # the texts of a document belong together
+    same = some.join(sent(repeated.where("differ").select("doc_id"), n_repeated), "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = links.unionByName(common.materialize(same, "same")) if n_repeated else links
     found = common.materialize(components(links), "components")
-    labelled = shared.select("bucket", "band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    labelled = shared.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = common.materialize(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"))
     open_ = common.materialize(sizes.where("n > m.n").select("bucket", F.col("m.component").alias("main"), F.col("m.n").alias("n_main"), (F.col("n") - F.col("m.n")).alias("n_rest")), "open")
-    members = labelled.join(open_.select("bucket"), "bucket").join(banded.select("rep", "minima"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    rest = common.materialize(inside_blocks(members, open_, k, percent, bands), "rest")
+    members = labelled.join(open_.select("bucket"), "bucket")
+    reps = common.materialize(members.select("rep").distinct(), "reps")
+    members = members.join(banded.join(sent(reps, reps.count()), "rep"), "rep")
+    rest = common.materialize(inside_blocks(members, open_, percent, bands), "rest")
+    common.drop(banded, centres, shared, labelled, open_, reps, likely)
     if not rest.isEmpty():
-        found = common.materialize(components(links.unionByName(rest)), "components")
+        more = common.materialize(alike_texts(rest, texts, k, percent), "confirmed")
+        if not more.isEmpty():
+            found = common.materialize(components(links.unionByName(more)), "components")
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     named = common.materialize(named, "named")
     full = signed.where("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest", "left").drop("digest")

@@ -692,9 +692,76 @@ def test_components_by_stars(spark):
 
 def test_star_centre_misses_are_found_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "STAR", 2)
     test_near_duplicates(spark, 2)
 
 
+def test_joins_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", -1)
+    test_near_duplicates(spark, 2)
+
+
+def test_rows_with_one_id_and_other_texts(spark):
+    one, two = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    docs = [(5, one, None, None, None), (7, one + " y", None, None, None), (7, two, None, None, None), (8, two + " z", None, None, None), (9, "no other has this text", None, None, None), (9, "nor has this one any copy", None, None, None), (9, "nor has this one any copy", None, None, None)]
+    for seed in range(3):
+        random.Random(seed).shuffle(docs)
+        got = rows_of(minhash.near_duplicates(frame(spark, docs), 2))
+        assert sorted((g["doc_id"], g["component_id"], g["kept"]) for g in got) == [(5, 5, True), (7, 5, False), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True), (9, 9, True)]
+
+
+def test_bucket_of_many_unlinked_classes(spark):
+    """20,000 classes of one bucket, none alike but 50 planted pairs: only these leave the blocks, and each class is copied once a block."""
+    bands, n = 32, 20_000
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 1 << 16, (n, 160)).astype(np.uint16)
+    m[:, :85] = m[0, :85]
+    for i in range(50):
+        m[2 * i + 1] = m[2 * i]
+        m[2 * i + 1, rng.choice(np.arange(85, 160), 20, False)] += 1
+    members = spark.createDataFrame([(0, i, i, x.tobytes()) for i, x in enumerate(m)], "bucket long, rep long, component long, minima binary")
+    buckets = spark.createDataFrame([(0, n - 1, 1, n - 1)], "bucket long, main long, n_main long, n_rest long")
+    got = sorted(tuple(sorted(r)) for r in minhash.inside_blocks(members, buckets, 80, bands).collect())
+    assert got == [(2 * i, 2 * i + 1) for i in range(50)]
+
+
+def test_least_matches():
+    low = minhash.least_matches(160, 80)
+    rng = np.random.default_rng(1)
+    assert 95 <= low <= 110 and (rng.binomial(160, 0.8, 1_000_000) < low).mean() < 1e-5
+
+
+def exact_links(docs, k, percent):
+    """All linked pairs by a prefix filter: with words in order of rarity, two alike sets share one of the first few."""
+    import re
+
+    sets = {}
+    for doc_id, text, *_ in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        if words:
+            sets[doc_id] = {tuple(words[i : i + min(k, len(words))]) for i in range(len(words) - min(k, len(words)) + 1)}
+    often = collections.Counter(x for s in sets.values() for x in s)
+    held, found = collections.defaultdict(list), set()
+    for d, s in sets.items():
+        order = sorted(s, key=lambda x: (often[x], x))
+        for x in order[: len(order) - math.ceil(len(order) * percent / 100) + 1]:
+            found |= {(e, d) for e in held[x] if 100 * len(s & sets[e]) >= percent * len(s | sets[e])}
+            held[x].append(d)
+    return found
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose similarity is 0.8 to 0.82: an exact join finds the same links."""
+    r, docs = random.Random(8), []
+    for i in range(400):
+        words = [f"w{r.randrange(10**6)}" for _ in range(181)]
+        docs += [(2 * i, " ".join(words), None, None, None), (2 * i + 1, " ".join(words[:161] + [f"x{i}.{j}" for j in range(20)]), None, None, None)]
+    links = exact_links(docs, 2, 80)
+    assert len(links) == 400
+    got = {g["doc_id"]: g["component_id"] for g in rows_of(minhash.near_duplicates(frame(spark, docs, clash=False), 2))}
+    assert sum(got[a] == got[b] for a, b in links) == 400
+
+
 # warc
 
 
