@@ -6,8 +6,8 @@
    its buckets (the centre), so a bucket of m classes costs m - 1 candidates. Of these, the
    centre met in most bands is looked at first: its minima, then its full set.
 3. Links become components by alternating large-star and small-star.
-4. Buckets that still hold several components are compared completely, in blocks of
-   classes, on their minima alone (two bytes each). A pair of different components whose minima agree
+4. Buckets that still hold several components are compared completely, as far as the sizes of
+   the sets allow the similarity, in blocks of classes and on their minima alone (two bytes each). A pair of different components whose minima agree
    often enough is emitted in its first common bucket, so once, and its full sets are compared.
 
 Texts are read only for classes in a pair that its minima leave, and each goes to one task a
@@ -211,22 +211,30 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def inside_blocks(members: DataFrame, buckets: DataFrame, percent: int, bands: int) -> DataFrame:
+def size_class(n: Column, percent: int) -> Column:
+    """Classes of set sizes such that two sets of the similarity are in one class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (max(math.log(100 / percent), 1e-3) * (1 + 1e-9))).cast("int")
+
+
+def inside_blocks(members: DataFrame, main: DataFrame, percent: int, bands: int) -> DataFrame:
     """Step 4: pairs (a, b) of different components of a bucket whose minima agree often enough, each once.
 
-    members: (bucket, rep, component, minima); buckets: (bucket, main, n_main, n_rest),
-    its largest component and how many classes it has and how many others. Blocks of
-    the others meet one another and the main component's blocks; the latter do not meet each other. A class goes
-    to as many tasks as its bucket has blocks, with its minima only.
+    members: (bucket, rep, component, n_shingles, minima); main: (bucket, main), its largest component.
+    A bucket is parted by `size_class` and by whether a class is of the main component, and each part into blocks.
+    Blocks meet those of the same and of the neighbouring size classes, but main ones do not meet each other. A class goes
+    to as many tasks as there are blocks that it meets, with its minima only.
     """
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(BLOCK))).cast("int")
-    placed = members.join(buckets, "bucket").withColumn("__main", F.col("component") == F.col("main"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("__main"), blocks("n_main")).otherwise(blocks("n_rest"))).cast("int"))
-    numbers = lambda n, sign: F.transform(F.sequence(F.lit(1), blocks(n)), lambda x: sign * x)
-    # blocks of the others count from 1, the main component's from -1 down
-    placed = placed.withColumn("block", F.when(F.col("__main"), -1 - F.col("block")).otherwise(1 + F.col("block")))
-    meets = F.when(F.col("__main"), numbers("n_rest", 1)).otherwise(F.concat(numbers("n_rest", 1), numbers("n_main", -1)))
-    dealt = placed.select("bucket", "rep", "component", "minima", "block", F.explode(meets).alias("other"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    placed = members.join(main, "bucket").withColumn("part", 2 * size_class(F.col("n_shingles"), percent) + (F.col("component") == F.col("main")).cast("int")).drop("main")
+    parts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.collect_list(F.struct("part", "n")).alias("parts"))
+    placed = placed.join(parts, "bucket")
+    number = lambda part, block: part.cast("long") * F.lit(1 << 32) + block
+    own = F.filter("parts", lambda p: p["part"] == F.col("part"))[0]["n"]
+    near = lambda p: F.abs(F.floor(p["part"] / 2) - F.floor(F.col("part") / 2)) <= 1
+    met = F.filter("parts", lambda p: near(p) & ((p["part"] % 2 == 0) | (F.col("part") % 2 == 0)) & ((p["part"] != F.col("part")) | (p["n"] > 1)))
+    others = F.flatten(F.transform(met, lambda p: F.transform(F.sequence(F.lit(0), blocks(p["n"]) - 1), lambda k: number(p["part"], k))))
+    placed = placed.withColumn("block", number(F.col("part"), F.pmod(F.xxhash64("rep"), blocks(own))))
+    dealt = placed.select("bucket", "rep", "component", "minima", "block", F.explode(others).alias("other"))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "block", "minima")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +311,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     repeated = common.materialize(some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("__low"), F.max(key).alias("__high")).where("n > 1").select("doc_id", (F.col("__low") != F.col("__high")).alias("differ")), "repeated")
     n_classes, n_repeated = classes.count(), repeated.count()
     sent = lambda rows, n: F.broadcast(rows) if n <= BROADCAST_IDS else rows
-    banded = some.select("digest", F.col("doc_id").alias("rep"), "minima").join(sent(classes, n_classes), ["digest", "rep"])
-    banded = common.materialize((banded.dropDuplicates(["digest", "rep"]) if n_repeated else banded).select("rep", "minima"), "banded")
+    banded = some.select("digest", F.col("doc_id").alias("rep"), "n_shingles", "minima").join(sent(classes, n_classes), ["digest", "rep"])
+    banded = common.materialize((banded.dropDuplicates(["digest", "rep"]) if n_repeated else banded).select("rep", "n_shingles", "minima"), "banded")
     buckets = banded.select("rep", F.explode(bucket_keys(bands, rows)).alias("bucket"))
     # the class whose id differs from the bucket's hash least is its centre
     mask = F.xxhash64("bucket")
@@ -327,7 +335,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     labelled = shared.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     labelled = common.materialize(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"))
-    open_ = common.materialize(sizes.where("n > m.n").select("bucket", F.col("m.component").alias("main"), F.col("m.n").alias("n_main"), (F.col("n") - F.col("m.n")).alias("n_rest")), "open")
+    open_ = common.materialize(sizes.where("n > m.n").select("bucket", F.col("m.component").alias("main")), "open")
     members = labelled.join(open_.select("bucket"), "bucket")
     reps = common.materialize(members.select("rep").distinct(), "reps")
     members = members.join(banded.join(sent(reps, reps.count()), "rep"), "rep")

@@ -651,7 +651,7 @@ def test_near_duplicates(spark, k):
     r = random.Random(11)
     docs = [d for d in corpus(2, 40) if d[0] is not None]
     base = prose(r, 150).split()
-    for i in range(60):  # a chain of near copies: far ends are not alike
+    for i in range(30):  # a chain of near copies: far ends are not alike
         base[r.randrange(len(base))] = f"w{i}"
         base[r.randrange(len(base))] = f"v{i}"
         docs.append((5000 + r.randrange(10**6), " ".join(base), "en", "a", 1))
@@ -719,12 +719,18 @@ def test_bucket_of_many_unlinked_classes(spark):
     for i in range(50):
         m[2 * i + 1] = m[2 * i]
         m[2 * i + 1, rng.choice(np.arange(85, 160), 20, False)] += 1
-    members = spark.createDataFrame([(0, i, i, x.tobytes()) for i, x in enumerate(m)], "bucket long, rep long, component long, minima binary")
-    buckets = spark.createDataFrame([(0, n - 1, 1, n - 1)], "bucket long, main long, n_main long, n_rest long")
-    got = sorted(tuple(sorted(r)) for r in minhash.inside_blocks(members, buckets, 80, bands).collect())
+    members = spark.createDataFrame([(0, i, i, 100 + i // 2 % 50, x.tobytes()) for i, x in enumerate(m)], "bucket long, rep long, component long, n_shingles long, minima binary")
+    main = spark.createDataFrame([(0, n - 1)], "bucket long, main long")
+    got = sorted(tuple(sorted(r)) for r in minhash.inside_blocks(members, main, 80, bands).collect())
     assert got == [(2 * i, 2 * i + 1) for i in range(50)]
 
 
+def test_size_classes(spark):
+    pairs = [(n, -(-n * 4 // 5)) for n in range(1, 3000)]
+    got = spark.createDataFrame(pairs, "n long, m long").select((minhash.size_class(minhash.F.col("n"), 80) - minhash.size_class(minhash.F.col("m"), 80)).alias("d")).distinct().collect()
+    assert {r.d for r in got} <= {0, 1}
+
+
 def test_least_matches():
     low = minhash.least_matches(160, 80)
     rng = np.random.default_rng(1)
