@@ -51,6 +51,19 @@ def or_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def as_object(text: Column) -> Column:
+    """The text where it is a JSON object, else {}."""
+    value = F.try_parse_json(text)
+    return F.when(F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)), text).otherwise(F.lit("{}"))
+
+
+def effect_body(task_id: Column, key: Column, kind: Column, effect_class: Column, status: Column, reference: Column | None = None, error: Column | None = None, detail: Column | None = None) -> Column:
+    """The body of an event about an effect, as JSON; what is not known is left out."""
+    none = F.lit(None).cast("string")
+    named = {"task_id": task_id, "idempotency_key": key, "effect_type": kind, "effect_class": effect_class, "status": status, "external_ref": reference, "error": error, "detail": detail}
+    return F.to_json(F.struct(*[(none if c is None else c).alias(n) for n, c in named.items()]))
+
+
 def or_empty_object(text: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("{}"))
 

@@ -202,7 +202,7 @@ def unix_nanos(at: Column) -> Column:
 
 def from_nanos(n: Column) -> Column:
     """An instant from unix nanoseconds, to the microsecond; 0 is unset."""
-    return F.when(n != 0, F.timestamp_micros(F.floor(n / 1000)))
+    return F.when(n != 0, F.timestamp_micros(F.floor(n.cast("decimal(20,0)") / F.lit(1000).cast("decimal(4,0)")).cast("long")))
 
 
 def decision_error(kind: Column, tool: Column, wake_at: Column, signal: Column, n_calls: Column, policy: Column) -> Column:
@@ -221,3 +221,13 @@ def decision_error(kind: Column, tool: Column, wake_at: Column, signal: Column,
 def effect_status_from_log(created: Column, last: Column) -> Column:
     """What the log alone tells of an effect: it does not record the step from pending to running."""
     return F.when(last.isNotNull(), last).when(created, "PENDING_OR_RUNNING")
+
+
+def class_number(effect_class: Column) -> Column:
+    """An effect class's number on the wire, in the order of EFFECT_CLASS from 1; 0, unspecified, for any other."""
+    return F.array_position(F.array(*[F.lit(c) for c in EFFECT_CLASS]), effect_class).cast("int")
+
+
+def class_of_number(number: Column) -> Column:
+    """The effect class of a number; null, which is refused, for 0 and unknown ones."""
+    return F.get(F.array(*[F.lit(c) for c in EFFECT_CLASS]), F.when(number > 0, number - 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runfold.functions import scalars as S
@@ -34,10 +34,12 @@ def unresolved_unknown(effects: DataFrame) -> DataFrame:
     return effects.where((F.col("status") == "UNKNOWN") & ~S.can_auto_resolve(F.col("effect_class"))).select("effect_key", "effect_class")
 
 
-def latency(log: DataFrame, start: str, end: str) -> DataFrame:
-    """Seconds from each step's first ``start`` event to its first ``end`` event after it: run_id, step_id, seconds."""
-    first = log.where(F.col("event_type").isin(start, end)).groupBy("run_id", "step_id").agg(F.min(F.when(F.col("event_type") == start, F.col("created_at"))).alias("a"), F.min(F.when(F.col("event_type") == end, F.col("created_at"))).alias("b"))
-    return first.where("b >= a").select("run_id", "step_id", F.timestamp_diff("SECOND", F.col("a"), F.col("b")).alias("seconds"))
+def latency(log: DataFrame, start: str, end: str, key: str = "run_id") -> DataFrame:
+    """Seconds from each step's first ``start`` event to its first ``end`` event after it: key, step_id, seconds."""
+    rows = log.where(F.col("event_type").isin(start, end)).select(key, "step_id", "created_at", (F.col("event_type") == end).alias("__end"))
+    first = F.min(F.when(~F.col("__end"), F.col("created_at"))).over(Window.partitionBy(key, "step_id"))
+    after = rows.withColumn("__a", first).where("__end and created_at >= __a").groupBy(key, "step_id").agg(F.min("__a").alias("a"), F.min("created_at").alias("b"))
+    return after.select(key, "step_id", F.timestamp_diff("SECOND", F.col("a"), F.col("b")).alias("seconds"))
 
 
 def percentiles(rows: DataFrame, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99), accuracy: int = 10_000) -> DataFrame:

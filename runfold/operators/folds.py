@@ -27,44 +27,59 @@ def pending_wait(log: DataFrame, until: Column) -> DataFrame:
     return opened.join(closed, ["run_id", "step_id"], "left").where("closed is null or closed < seq").drop("closed")
 
 
-def fanout_children(log: DataFrame) -> DataFrame:
-    """Children of each run's last fan-out: run_id, opened, step, policy, n, ok, settled.
+def fanout_children(log: DataFrame, key: str = "run_id") -> DataFrame:
+    """Children of each run's last fan-out: key, opened, step, policy, n, ok, settled.
 
-    A completion settles a child with success, a failure only where it is final; the last of these decides.
+    Only a child's exact name counts. A completion settles it with success, a failure only where it
+    is final; the last of these decides. ``key`` names a run; where the log is partitioned by it, nothing is shuffled.
     """
-    last = last_by(log.where("event_type = 'FAN_OUT_STARTED'"), ["run_id"], F.col("seq"), {"opened": F.col("seq"), "step": F.col("step_id"), "policy": F.col("policy"), "n": F.col("n_calls")})
-    settling = log.where("event_type = 'TASK_COMPLETED' or (event_type = 'TASK_FAILED' and final)")
-    settling = settling.join(last, "run_id").where("seq > opened").where((S.parent(F.col("step_id")) == F.col("step")) & (S.child_index(F.col("step_id")) < F.col("n")))
-    outcome = settling.groupBy("run_id", "step_id").agg(F.max_by(F.col("event_type") == "TASK_COMPLETED", "seq").alias("ok"))
-    counts = outcome.groupBy("run_id").agg(F.count_if("ok").alias("ok"), F.count(F.lit(1)).alias("settled"))
-    return last.join(counts, "run_id", "left").select("run_id", "opened", "step", "policy", "n", F.coalesce("ok", F.lit(0)).cast("long").alias("ok"), F.coalesce("settled", F.lit(0)).cast("long").alias("settled"))
-
-
-def pending_fanout(log: DataFrame) -> DataFrame:
+    opener = F.col("event_type") == "FAN_OUT_STARTED"
+    settles = (F.col("event_type") == "TASK_COMPLETED") | ((F.col("event_type") == "TASK_FAILED") & F.col("final"))
+    last = F.max(F.when(opener, F.struct(F.col("seq").alias("opened"), F.col("step_id").alias("step"), F.col("policy").alias("policy"), F.col("n_calls").alias("n")))).over(Window.partitionBy(key))
+    index = S.child_index(F.col("step_id"))
+    exact = (index >= 0) & (index < F.col("f.n")) & (F.col("step_id") == S.child(F.col("f.step"), index)) & (F.col("seq") > F.col("f.opened"))
+    rows = log.where(opener | settles).withColumn("f", last).where("f is not null").withColumn("child", F.when(F.coalesce(settles & exact, F.lit(False)), index))
+    outcome = rows.groupBy(key, "child").agg(F.max("f").alias("f"), F.max_by(F.col("event_type") == "TASK_COMPLETED", "seq").alias("ok"))
+    counts = outcome.groupBy(key).agg(F.max("f").alias("f"), F.count_if(F.col("ok") & F.col("child").isNotNull()).alias("ok"), F.count("child").alias("settled"))
+    return counts.select(key, "f.*", "ok", "settled")
+
+
+def pending_fanout(log: DataFrame, key: str = "run_id") -> DataFrame:
     """Fan-outs whose join is not satisfied yet."""
-    return fanout_children(log).where(~S.satisfied(F.col("policy"), F.col("n"), F.col("ok"), F.col("settled")))
+    return fanout_children(log, key).where(~S.satisfied(F.col("policy"), F.col("n"), F.col("ok"), F.col("settled")))
+
 
+def history_steps(log: DataFrame, key: str = "run_id") -> DataFrame:
+    """State of each called step: decided, completed or failed.
 
-def history_steps(log: DataFrame) -> DataFrame:
-    """State of each called step: decided, completed or failed. A completion wins over a failure, before or after it."""
-    calls = log.where(F.col("event_type").isin("TASK_CREATED", "TASK_COMPLETED", "TASK_FAILED"))
-    seen = calls.groupBy("run_id", "step_id").agg(
-        F.min(F.when(F.col("event_type") == "TASK_CREATED", F.col("seq"))).alias("created"),
-        F.min(F.when(F.col("event_type") == "TASK_COMPLETED", F.col("seq"))).alias("completed"),
-        F.min(F.when((F.col("event_type") == "TASK_FAILED") & F.col("final"), F.col("seq"))).alias("failed"),
+    The last creation counts, and what came after it: a completion wins over a final failure, before or after it. A
+    completion before the step's first creation is an error; a failure of a step that was never created is none of its.
+    """
+    at = lambda kind: F.when(F.col("event_type") == kind, F.col("seq"))
+    seen = log.where(F.col("event_type").isin("TASK_CREATED", "TASK_COMPLETED", "TASK_FAILED")).groupBy(key, "step_id").agg(
+        F.min(at("TASK_CREATED")).alias("first"),
+        F.max(at("TASK_CREATED")).alias("created"),
+        F.min(at("TASK_COMPLETED")).alias("early"),
+        F.max(at("TASK_COMPLETED")).alias("completed"),
+        F.max(F.when(F.col("final"), at("TASK_FAILED"))).alias("failed"),
     )
-    state = F.when(F.col("completed").isNotNull(), "COMPLETED").when(F.col("failed").isNotNull(), "FAILED").otherwise("DECIDED")
-    error = F.when(F.col("created").isNull() & F.col("completed").isNotNull(), "completion without creation")
-    return seen.select("run_id", "step_id", state.alias("state"), error.alias("error"))
+    since = lambda c: F.coalesce(F.col(c) > F.coalesce("created", F.lit(-1)), F.lit(False))
+    state = F.when(since("completed"), "COMPLETED").when(since("failed"), "FAILED").otherwise("DECIDED")
+    error = F.when(F.col("early").isNotNull() & F.coalesce(F.col("early") < F.col("first"), F.lit(True)), "completion without creation")
+    return seen.where("first is not null or early is not null").select(key, "step_id", state.alias("state"), error.alias("error"))
 
 
 def history_waits(log: DataFrame) -> DataFrame:
-    """Waits by step: open, resolved or timed out; a resolution with no wait before it is an error."""
+    """Waits by step: open, resolved or timed out; a resolution with no wait before it is an error.
+
+    The last opener counts and the last closer after it; a step without an opener has no state.
+    """
     waits = log.where(F.col("event_type").isin(*OPENERS, *CLOSERS))
-    opened = F.col("event_type").isin(*OPENERS)
-    seen = waits.groupBy("run_id", "step_id").agg(F.min(F.when(opened, F.col("seq"))).alias("opened"), F.max_by(F.when(~opened, F.col("event_type")), F.when(~opened, F.col("seq"))).alias("closer"), F.min(F.when(~opened, F.col("seq"))).alias("first_close"))
-    state = F.when(F.col("closer").isNull(), "OPEN").when(F.col("closer") == "SIGNAL_WAIT_TIMED_OUT", "TIMED_OUT").otherwise("RESOLVED")
-    early = F.col("first_close").isNotNull() & (F.col("opened").isNull() | (F.col("first_close") < F.col("opened")))
+    opener = F.when(F.col("event_type").isin(*OPENERS), F.col("seq"))
+    closer = F.when(F.col("event_type").isin(*CLOSERS), F.col("seq"))
+    seen = waits.groupBy("run_id", "step_id").agg(F.min(opener).alias("first"), F.max(opener).alias("opened"), F.min(closer).alias("early"), F.max(closer).alias("closed"), F.max_by("event_type", closer).alias("kind"))
+    state = F.when(F.col("opened").isNull(), F.lit(None).cast("string")).when(F.coalesce(F.col("closed") < F.col("opened"), F.lit(True)), "OPEN").when(F.col("kind") == "SIGNAL_WAIT_TIMED_OUT", "TIMED_OUT").otherwise("RESOLVED")
+    early = F.col("early").isNotNull() & F.coalesce(F.col("early") < F.col("first"), F.lit(True))
     return seen.select("run_id", "step_id", state.alias("state"), F.when(early, "resolution without wait").alias("error"))
 
 

@@ -10,7 +10,8 @@ from runfold.functions import scalars as S
 
 def top(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows by a total order; 0 or less means all."""
-    return rows.orderBy(*order).limit(limit) if limit > 0 else rows
+    ordered = rows.orderBy(*order)
+    return ordered.limit(limit) if limit > 0 else ordered
 
 
 def runs_awaiting_advance(runs: DataFrame, tasks: DataFrame, now: Column, limit: int = 0) -> DataFrame:
@@ -130,3 +131,32 @@ def mark_delivered(deliveries: DataFrame, sent: DataFrame, at: Column) -> DataFr
 def union_first(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of both, the first source's where a key is in both."""
     return left.unionByName(right.join(left.select(key).distinct(), key, "left_anti"))
+
+
+def runs_of_agent(runs: DataFrame, agent: str) -> DataFrame:
+    """Running runs that belong to the agent."""
+    return runs.where((F.col("status") == "RUNNING") & (F.col("agent_name") == agent))
+
+
+def record_sweep(deliveries: DataFrame, sent: DataFrame, at: Column) -> DataFrame:
+    """Deliveries after a sweep: sent (outbox_id, error) without an error are published, others count an attempt and keep the error."""
+    what = sent.groupBy("outbox_id").agg(F.max(F.struct(F.col("error").isNotNull().alias("failed"), "error")).alias("__s"))
+    joined = deliveries.join(what, "outbox_id", "left")
+    open_ = F.col("published_at").isNull()
+    failed = F.coalesce(F.col("__s.failed"), F.lit(False)) & open_
+    published = F.coalesce("published_at", F.when(F.col("__s").isNotNull() & ~F.col("__s.failed"), at))
+    return joined.withColumns({"attempts": F.col("attempts") + failed.cast("int"), "last_error": F.when(failed, F.col("__s.error")), "published_at": published}).drop("__s")
+
+
+def retake(tasks: DataFrame, taken: DataFrame, now: Column, limit: int) -> DataFrame:
+    """Tasks due at ``now`` after some were taken (task_id, visible_at): a taken one is hidden until its time, then due like any other."""
+    hidden = tasks.join(taken.select("task_id", F.col("visible_at").alias("__visible")), "task_id", "left").withColumn("available_at", F.coalesce("__visible", "available_at")).drop("__visible")
+    due = hidden.where(F.col("status") == "PENDING").where(F.col("available_at") <= now)
+    return top(due, [F.col("priority").desc(), F.col("available_at"), F.col("created_at"), F.col("task_id")], limit)
+
+
+def apply_migrations(versions: DataFrame, applied: DataFrame, name: str) -> DataFrame:
+    """Every version with whether it is applied and the place at which a run applies it (null where it is); versions are few."""
+    known = versions.select(name).distinct().join(applied.select(name).distinct().withColumn("applied", F.lit(True)), name, "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
+    place = F.when(~F.col("applied"), F.row_number().over(Window.partitionBy("applied").orderBy(name)))
+    return known.withColumn("nth", place)

@@ -1,15 +1,21 @@
-"""Conditional writes as batch arbitration: proposed commands in order, accepted or refused set-at-a-time.
+"""Conditional writes as batch arbitration: proposed commands in order, accepted or refused.
 
-Rows that Spark can't lock are decided by order: of commands on one key, the first that fits
-wins. The result says so for each command, as the live system would have.
+Rows that Spark can't lock are decided by order: each command on a key is judged by what
+the last accepted one left. The result says so for each command, as the live system would have. Inserts under a
+unique key and leases need no more than a rank; chains of transitions are read in order (`fold`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runfold.functions import scalars as S
+from runfold.session import ship
 
 
 def first_per_key(commands: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -24,28 +30,78 @@ def insert_new(existing: DataFrame, commands: DataFrame, key: list[str], order:
     return first_per_key(commands, key, order).join(known, key, "left").withColumn("outcome", F.when(F.col("__known"), "CONFLICT").otherwise(F.col("outcome"))).drop("__known")
 
 
+def fold(commands: DataFrame, key: str, order: list[Column], takes: list[str], out: str, step: Callable[[dict, tuple], tuple]) -> DataFrame:
+    """``commands`` with the columns ``out``: each key's commands read in order, one at a time, against what the last one left.
+
+    step(state, values of ``takes``) gives the values of ``out`` and may change state, an empty dict at a
+    key's first command. Rows are sorted by Spark and pass one by one, so a key of any length takes no more
+    memory than one of its rows; equal rows are told apart by their place.
+    """
+    ship(commands.sparkSession)
+    names = [x.split()[0] for x in out.split(", ")]
+    kinds = [{"string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in out.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun = None, {}, False
+        for batch in batches:
+            found = []
+            for k, *values in zip(*(batch.column(c).to_pylist() for c in (key, *takes)), strict=True):
+                if not begun or k != now:
+                    now, state, begun = k, {}, True
+                found.append(step(state, tuple(values)))
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+
+    schema = T.StructType([*commands.schema.fields, *[T.StructField(n, T.StringType() if k == pa.string() else T.LongType()) for n, k in zip(names, kinds, strict=True)]])
+    return commands.repartition(key).sortWithinPartitions(key, *order).mapInArrow(read, schema)
+
+
 def run_cas(runs: DataFrame, commands: DataFrame, order: list[Column]) -> DataFrame:
     """Compare-and-set of a run's version: commands (run_id, expected, next, ...) with outcome and new_version.
 
-    NOT_FOUND without a run; CONFLICT when the version is another or the run is terminal; then of
-    those that fit, the first by order is OK and moves the version on, and the others conflict.
+    NOT_FOUND without a run, CONFLICT when the run is at another version by then, ILLEGAL when its
+    state machine has no such step; else OK, which moves the version on for the commands after it.
     """
-    joined = commands.join(runs.select("run_id", "status", "version"), "run_id", "left")
-    legal = (F.col("status") == "RUNNING") & ((F.col("next") == "RUNNING") | S.moves(F.col("status"), F.col("next"), S.RUN_MOVES))
-    fits = F.coalesce(legal & (F.col("version") == F.col("expected")), F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy(F.when(fits, 0).otherwise(1), *order))
-    outcome = F.when(F.col("version").isNull(), "NOT_FOUND").when(fits & (nth == 1), "OK").otherwise("CONFLICT")
-    return joined.withColumn("outcome", outcome).withColumn("new_version", F.when(F.col("outcome") == "OK", F.col("version") + 1)).drop("status", "version")
+    joined = commands.join(runs.select("run_id", F.col("status").alias("__status"), F.col("version").alias("__version")), "run_id", "left")
+
+    def step(state: dict, row: tuple) -> tuple:
+        status, version, expected, after = row
+        if version is None:
+            return "NOT_FOUND", None
+        status, version = state.get("is", (status, version))
+        if version != expected:
+            return "CONFLICT", None
+        if after != status and after not in S.RUN_MOVES.get(status, ()):
+            return "ILLEGAL", None
+        state["is"] = (after, version + 1)
+        return "OK", version + 1
+
+    return fold(joined, "run_id", order, ["__status", "__version", "expected", "next"], "outcome string, new_version long", step).drop("__status", "__version")
+
+
+def transition(rows: DataFrame, key: str, commands: DataFrame, order: list[Column], moves: dict[str, tuple[str, ...]]) -> DataFrame:
+    """commands (key, from, to, ...) on the status of ``rows``: OK, CONFLICT from another status, ILLEGAL, NOT_FOUND; ``earlier``: how often the key entered RUNNING, this command included."""
+    joined = commands.join(rows.select(key, F.col("status").alias("__status")), key, "left")
+
+    def step(state: dict, row: tuple) -> tuple:
+        status, begin, end = row
+        if status is None:
+            return "NOT_FOUND", 0
+        if state.get("is", status) != begin:
+            return "CONFLICT", state.get("n", 0)
+        if end not in moves.get(begin, ()):
+            return "ILLEGAL", state.get("n", 0)
+        state["is"] = end
+        state["n"] = state.get("n", 0) + (end == "RUNNING")
+        return "OK", state["n"]
+
+    return fold(joined, key, order, ["__status", "from", "to"], "outcome string, earlier long", step).drop("__status")
 
 
 def task_transition(tasks: DataFrame, commands: DataFrame, order: list[Column]) -> DataFrame:
-    """commands (task_id, from, to): OK for the first that fits; entering RUNNING counts an attempt."""
-    joined = commands.join(tasks.select("task_id", "status", "attempt"), "task_id", "left")
-    fits = F.coalesce((F.col("status") == F.col("from")) & S.moves(F.col("from"), F.col("to"), S.TASK_MOVES), F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("task_id").orderBy(F.when(fits, 0).otherwise(1), *order))
-    outcome = F.when(F.col("status").isNull(), "NOT_FOUND").when(fits & (nth == 1), "OK").otherwise("CONFLICT")
-    attempt = F.col("attempt") + F.when((F.col("outcome") == "OK") & (F.col("to") == "RUNNING"), 1).otherwise(0)
-    return joined.withColumn("outcome", outcome).withColumn("attempt", attempt).drop("status")
+    """commands (task_id, from, to): outcome, and the task's attempts after it; entering RUNNING counts one."""
+    done = transition(tasks, "task_id", commands, order, S.TASK_MOVES)
+    return done.join(tasks.select("task_id", F.col("attempt").alias("__attempt")), "task_id", "left").withColumn("attempt", F.col("__attempt") + F.col("earlier")).drop("__attempt", "earlier")
 
 
 def acquire_lease(leases: DataFrame, commands: DataFrame, now: Column, order: list[Column]) -> DataFrame:
@@ -64,6 +120,15 @@ def fenced(leases: DataFrame, commands: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", outcome)
 
 
+def extend_leases(leases: DataFrame, commands: DataFrame, order: list[Column]) -> DataFrame:
+    """Leases after heartbeats and releases: commands (task_id, token, until); a release ends at its own instant, and the row stays.
+
+    Of the commands under the lease's own token the last by ``order`` holds; others change nothing.
+    """
+    last = fenced(leases, commands).where("outcome = 'OK'").groupBy("task_id").agg(F.max_by("until", F.struct(*order)).alias("__until"))
+    return leases.join(last, "task_id", "left").withColumn("expires_at", F.coalesce("__until", "expires_at")).drop("__until")
+
+
 def last_per_key(rows: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:
     """Upsert: the last row of each key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("__r")).select(key, "__r.*")
@@ -83,16 +148,22 @@ def delivery_failures(deliveries: DataFrame, failures: DataFrame) -> DataFrame:
     return deliveries.join(n, "outbox_id", "left").withColumn("attempts", F.col("attempts") + F.coalesce("__n", F.lit(0))).drop("__n")
 
 
-def resolve_effects(effects: DataFrame, commands: DataFrame) -> DataFrame:
-    """An operator's verdicts (effect_key, verdict, ref): COMMITTED needs a reference; only open effects can be resolved."""
-    joined = commands.join(effects.select("effect_key", "status"), "effect_key", "left")
-    outcome = (
-        F.when(F.col("status").isNull(), "NOT_FOUND")
-        .when(~F.col("status").isin("RUNNING", "UNKNOWN"), "NOT_OPEN")
-        .when((F.col("verdict") == "COMMITTED") & (F.coalesce("ref", F.lit("")) == ""), "REF_NEEDED")
-        .otherwise("OK")
-    )
-    return joined.withColumn("outcome", outcome).withColumn("new_status", F.when(F.col("outcome") == "OK", F.col("verdict"))).drop("status")
+def resolve_effects(effects: DataFrame, commands: DataFrame, order: list[Column]) -> DataFrame:
+    """An operator's verdicts (effect_key, verdict, ref): COMMITTED needs a reference; only an effect open by then can be resolved."""
+    joined = commands.join(effects.select("effect_key", F.col("status").alias("__status")), "effect_key", "left")
+
+    def step(state: dict, row: tuple) -> tuple:
+        status, verdict, ref = row
+        if status is None:
+            return "NOT_FOUND", None
+        if state.get("is", status) not in ("RUNNING", "UNKNOWN"):
+            return "NOT_OPEN", None
+        if verdict == "COMMITTED" and not ref:
+            return "REF_NEEDED", None
+        state["is"] = verdict
+        return "OK", verdict
+
+    return fold(joined, "effect_key", order, ["__status", "verdict", "ref"], "outcome string, new_status string", step).drop("__status")
 
 
 def release_runs(runs: DataFrame, arrivals: DataFrame) -> DataFrame:
@@ -101,20 +172,33 @@ def release_runs(runs: DataFrame, arrivals: DataFrame) -> DataFrame:
     return runs.join(reached, "run_id", "left").withColumn("available_at", F.when(F.col("__reached").isNull(), F.col("available_at"))).drop("__reached")
 
 
-def update_effects(effects: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
-    """Transition effects by updates (effect_key and ``columns``): a null keeps what was there."""
-    fresh = updates.select("effect_key", *[F.col(c).alias(f"__{c}") for c in columns])
-    joined = effects.join(fresh, "effect_key", "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in effects.columns])
+def effect_transition(effects: DataFrame, commands: DataFrame, order: list[Column]) -> DataFrame:
+    """commands (effect_key, from, to, ...) with their outcome, each judged by what the last one left."""
+    return transition(effects, "effect_key", commands, order, S.EFFECT_MOVES).drop("earlier")
+
+
+def update_effects(effects: DataFrame, commands: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
+    """Effects after the commands (effect_key, from, to, and ``columns``) that are OK, one row each; a null keeps what was there."""
+    held = effect_transition(effects, commands, order).where("outcome = 'OK'")
+    place = F.struct(*order)
+    last = held.groupBy("effect_key").agg(F.max_by("to", place).alias("__status"), *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__{c}") for c in columns])
+    joined = effects.join(last, "effect_key", "left")
+    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in ("status", *columns) else F.col(c) for c in effects.columns])
+
+
+def complete_tasks(tasks: DataFrame, leases: DataFrame, reports: DataFrame, order: list[Column]) -> DataFrame:
+    """Reports of results (task_id, token): STALE under another token, CONFLICT when the task does not run by then, else OK, which completes it."""
+    joined = reports.join(tasks.select("task_id", F.col("status").alias("__status")), "task_id", "left").join(leases.select("task_id", F.col("fencing_token").alias("__token")), "task_id", "left")
 
+    def step(state: dict, row: tuple) -> tuple:
+        status, held, token = row
+        if status is None:
+            return ("NOT_FOUND",)
+        if held is None or held != token:
+            return ("STALE",)
+        if state.get("is", status) != "RUNNING":
+            return ("CONFLICT",)
+        state["is"] = "COMPLETED"
+        return ("OK",)
 
-def complete_tasks(tasks: DataFrame, leases: DataFrame, reports: DataFrame) -> DataFrame:
-    """Reports of results (task_id, token): STALE under another token, CONFLICT when the task does not run, else OK."""
-    joined = reports.join(tasks.select("task_id", "status"), "task_id", "left").join(leases.select("task_id", "fencing_token"), "task_id", "left")
-    outcome = (
-        F.when(F.col("status").isNull(), "NOT_FOUND")
-        .when(F.col("fencing_token").isNull() | (F.col("fencing_token") != F.col("token")), "STALE")
-        .when(F.col("status") != "RUNNING", "CONFLICT")
-        .otherwise("OK")
-    )
-    return joined.withColumn("outcome", outcome).drop("status", "fencing_token")
+    return fold(joined, "task_id", order, ["__status", "__token", "token"], "outcome string", step).drop("__status", "__token")

@@ -121,3 +121,49 @@ def finish_plan(decisions: DataFrame) -> DataFrame:
     ends = F.create_map(*[F.lit(x) for pair in (("COMPLETE", "COMPLETED"), ("FAIL", "FAILED"), ("CANCEL", "CANCELLED")) for x in pair])
     ended = decisions.withColumn("status", F.try_element_at(ends, "kind")).where("status is not null")
     return ended.select("run_id", "status", F.concat(F.lit("RUN_"), "status").alias("event"), (F.col("kind") == "FAIL").alias("keeps_reason"))
+
+
+def start_rows(asked: DataFrame, agent: str, version: str) -> DataFrame:
+    """The run that each request (run_id, input) starts, pinned to a version, and its first event."""
+    body = F.to_json(F.struct(F.lit(agent).alias("agent_name"), F.lit(version).alias("agent_version"), F.col("input")))
+    return asked.select("run_id", F.lit(agent).alias("agent_name"), F.lit(version).alias("agent_version"), F.lit("RUNNING").alias("status"), F.lit(0).cast("long").alias("version"), F.lit(1).cast("long").alias("seq"), F.lit("RUN_STARTED").alias("event_type"), body.alias("body"))
+
+
+def execute_plan(tasks: DataFrame, effects: DataFrame, tools: DataFrame) -> DataFrame:
+    """How each pending task goes through the ledger, and the events that leaves before any call.
+
+    A tool without a consequence is called past the ledger; an unknown tool is an error. A task without an effect
+    reserves one; what is there decides by the recovery rule.
+    """
+    named = tools.select(F.col("name").alias("task_type"), F.col("effect_class").alias("__class"))
+    held = effects.select("task_id", F.col("status").alias("__status"))
+    joined = tasks.where("status = 'PENDING'").join(named, "task_type", "left").join(held, "task_id", "left")
+    has = F.col("__status").isNotNull()
+    rule = S.recovery_action(has, F.col("__status"), F.col("__class"))
+    action = F.when(F.col("__class").isNull(), "UNKNOWN_TOOL").when(~S.has_consequence(F.col("__class")), "CALL").otherwise(rule)
+    events = F.when(action.isin("UNKNOWN_TOOL", "CALL"), "").when(~has, "EFFECT_CREATED").when(action == "ESCALATE", "EFFECT_ESCALATED").otherwise("")
+    return joined.select("task_id", action.alias("action"), events.alias("events"))
+
+
+def perform_rows(calls: DataFrame) -> DataFrame:
+    """Ledger rows of calls (effect_key, status, ok, certainty): into RUNNING, which has no event, then to what the call's end says."""
+    end = S.classify_failure(F.col("ok"), F.col("certainty"))
+    rows = F.array(
+        F.struct(F.lit(1).alias("n"), F.col("status").alias("from"), F.lit("RUNNING").alias("to"), F.lit(None).cast("string").alias("event")),
+        F.struct(F.lit(2).alias("n"), F.lit("RUNNING").alias("from"), end.alias("to"), F.concat(F.lit("EFFECT_"), end).alias("event")),
+    )
+    return calls.select("effect_key", F.explode(rows).alias("r")).select("effect_key", "r.*")
+
+
+def recovery_scan(runs: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
+    """What one scan does: (what, id) PUBLISH for each due pending task, ADVANCE for each ready run without an open one."""
+    due = tasks.where((F.col("status") == "PENDING") & (F.col("available_at") <= now)).select(F.lit("PUBLISH").alias("what"), F.col("task_id").alias("id"))
+    open_ = tasks.where(F.col("status").isin("PENDING", "RUNNING")).select("run_id")
+    ready = runs.where((F.col("status") == "RUNNING") & ~S.waiting(F.col("available_at"), now)).join(open_, "run_id", "left_anti")
+    return due.unionByName(ready.select(F.lit("ADVANCE").alias("what"), F.col("run_id").alias("id")))
+
+
+def after_park(waits: DataFrame, signals: DataFrame) -> DataFrame:
+    """Runs that park for a signal (run_id, step_id, name): ADVANCE at once with the oldest stored one, else WAIT."""
+    oldest = signals.groupBy("run_id", "name").agg(F.min(F.struct("created_at", "signal_id")).alias("s")).select("run_id", "name", "s.signal_id")
+    return waits.join(oldest, ["run_id", "name"], "left").select("run_id", "step_id", "signal_id", F.when(F.col("signal_id").isNotNull(), "ADVANCE").otherwise("WAIT").alias("action"))

@@ -15,7 +15,7 @@ from runfold.operators import audit, folds, relations, writes
 from runfold.operators import replay as replay_
 from runfold.plans import lifecycle
 from runfold.session import ship
-from runfold.sources.journal import NOW_EVENTS, STREAM_TYPES, Journal, by_name, minutes, now
+from runfold.sources.journal import NOW_EVENTS, STREAM_TYPES, Journal, by_name, choose, minutes, now
 from runfold.streaming import journal_streams as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,37 +55,42 @@ def fanout_join_verdict(j: Journal) -> DataFrame:
 
 @query
 def run_by_id(j: Journal) -> DataFrame:
-    return j.runs.where("run_id = 'R42'").select("run_id", "agent_name", "agent_version", "status", "version")
+    return j.only("R42").runs.select("run_id", "agent_name", "agent_version", "status", "version")
+
+
+@query
+def task_by_id(j: Journal) -> DataFrame:
+    return j.only("R42").tasks.where("task_id = 'T42.0'").select("task_id", "run_id", "step_id", "task_type", "status", "priority", at("created_at"))
 
 
 @query
 def tasks_of_run(j: Journal) -> DataFrame:
-    return j.tasks.where("run_id = 'R42'").orderBy("created_at", "task_id").select("task_id", "step_id", "status", at("created_at"))
+    return j.only("R42").tasks.orderBy("created_at", "task_id").select("task_id", "step_id", "status", at("created_at"))
 
 
 @query
 def history_of_run(j: Journal) -> DataFrame:
-    return j.log.where("run_id = 'R42'").orderBy("seq").select("seq", "event_type", "step_id", at("created_at"))
+    return j.only("R42").log.orderBy("seq").select("seq", "event_type", "step_id", at("created_at"))
 
 
 @query
 def effect_by_key(j: Journal) -> DataFrame:
-    return j.effects.where("effect_key = 'R42:S1.0:E1'").select("effect_key", "effect_class", "status")
+    return j.only("R42").effects.where("effect_key = 'R42:S1.0:E1'").select("effect_key", "effect_class", "status")
 
 
 @query
 def effects_of_run(j: Journal) -> DataFrame:
-    return j.effects.where("run_id = 'R42'").orderBy("created_at", "effect_key").select("effect_key", "status", at("created_at"))
+    return j.only("R42").effects.orderBy("created_at", "effect_key").select("effect_key", "status", at("created_at"))
 
 
 @query
 def lease_by_task(j: Journal) -> DataFrame:
-    return j.leases.where(F.col("task_id").startswith("T42.")).select("task_id", "worker_id", "fencing_token", at("expires_at"))
+    return j.only("R42").leases.select("task_id", "worker_id", "fencing_token", at("expires_at"))
 
 
 @query
 def signals_of_run(j: Journal) -> DataFrame:
-    return j.signals.where("run_id = 'U7' and name = 'click'").orderBy("created_at", "signal_id").select("signal_id", at("created_at"))
+    return j.only("U7").signals.where("name = 'click'").orderBy("created_at", "signal_id").select("signal_id", at("created_at"))
 
 
 @query
@@ -184,7 +189,7 @@ def tool_names(j: Journal) -> DataFrame:
 
 @query
 def join_counts(j: Journal) -> DataFrame:
-    return folds.fanout_children(j.log).groupBy("policy").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("settled").alias("settled"))
+    return folds.fanout_children(renamed_children(j.log), "run_key").groupBy("policy").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), F.sum("settled").alias("settled"))
 
 
 @query
@@ -203,14 +208,29 @@ def wait_description(j: Journal) -> DataFrame:
     return lifecycle.wait_text(stream_waits(j), now(NOW_EVENTS))
 
 
+def renamed_children(log: DataFrame) -> DataFrame:
+    """The log with some settlements under names that look like a child's and are none."""
+    odd = F.when(F.col("event_type").isin("TASK_COMPLETED", "TASK_FAILED") & (F.col("seq") % 7 == 0), F.regexp_replace("step_id", r"\.", ".0")).when(F.col("event_type").isin("TASK_COMPLETED", "TASK_FAILED") & (F.col("seq") % 7 == 1), F.regexp_replace("step_id", r"\.", ".-"))
+    return log.withColumn("step_id", F.coalesce(odd, "step_id"))
+
+
+def with_run(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("run_id", F.concat(F.lit("R"), "run_key"))
+
+
 @query
 def pending_fanout(j: Journal) -> DataFrame:
-    return folds.pending_fanout(j.log).select("run_id", "step", "policy", "n", "ok", "settled")
+    return with_run(folds.pending_fanout(renamed_children(j.log), "run_key")).select("run_id", "step", "policy", "n", "ok", "settled")
 
 
 @query
 def history_steps(j: Journal) -> DataFrame:
-    return folds.history_steps(j.log).groupBy("run_id", "state", "error").agg(F.count(F.lit(1)).alias("steps"))
+    """Steps of a log in which some completions come before their creation, some steps are created twice and some never."""
+    task = F.col("event_type").isin("TASK_CREATED", "TASK_COMPLETED", "TASK_FAILED")
+    early = task & (F.col("run_key") % 11 == 3)
+    log = j.log.where(~(task & (F.col("run_key") % 13 == 5) & (F.col("event_type") == "TASK_CREATED")))
+    log = log.withColumn("seq", F.when(early, 1000 - F.col("seq")).otherwise(F.col("seq")))
+    return with_run(folds.history_steps(log, "run_key")).groupBy("run_id", "state", "error").agg(F.count(F.lit(1)).alias("steps"))
 
 
 @query
@@ -301,7 +321,7 @@ def idempotency_key(j: Journal) -> DataFrame:
 
 @query
 def join_policy_valid(j: Journal) -> DataFrame:
-    rows = folds.fanout_children(j.log)
+    rows = with_run(folds.fanout_children(j.log, "run_key"))
     text = F.when(F.col("n") == 5, "MAJORITY").otherwise(F.col("policy"))
     return rows.select("run_id", text.alias("policy"), S.policy_kind(text).alias("kind"), S.policy_quorum(text).alias("quorum"), S.policy_error(text, F.col("n")).alias("error"), S.policy_text(S.policy_kind(text), S.policy_quorum(text)).alias("canonical"))
 
@@ -411,14 +431,18 @@ def signal_dedup(j: Journal) -> DataFrame:
 
 @query
 def task_claim_dedup(j: Journal) -> DataFrame:
-    commands = j.tasks.select("task_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("delivery")).withColumn("from", F.lit("PENDING")).withColumn("to", F.lit("RUNNING"))
-    return writes.task_transition(j.tasks, commands, [F.col("delivery")]).groupBy("outcome", "attempt").agg(F.count(F.lit(1)).alias("claims"))
+    """Each task claimed, ended or put back, claimed again and ended again."""
+    end = F.when(F.col("priority") % 3 == 0, "COMPLETED").when(F.col("priority") % 3 == 1, "PENDING").otherwise("DEAD_LETTER")
+    moves = F.array(F.struct(F.lit("PENDING").alias("from"), F.lit("RUNNING").alias("to")), F.struct(F.lit("RUNNING").alias("from"), end.alias("to")), F.struct(F.lit("PENDING").alias("from"), F.lit("RUNNING").alias("to")), F.struct(F.lit("RUNNING").alias("from"), F.lit("RUNNING").alias("to")))
+    commands = j.tasks.select("task_id", F.posexplode(moves).alias("delivery", "m")).select("task_id", "delivery", "m.from", "m.to")
+    return writes.task_transition(j.tasks, commands, [F.col("delivery")]).groupBy("delivery", "to", "outcome", "attempt").agg(F.count(F.lit(1)).alias("claims"))
 
 
 @query
 def run_version_cas(j: Journal) -> DataFrame:
-    commands = j.lines.select(F.concat(F.lit("R"), F.col("l_orderkey") + F.when(F.col("l_partkey") % 50 == 0, 10**9).otherwise(0)).alias("run_id"), "task_id", (F.col("l_suppkey") % 5).alias("expected"), F.when(F.col("l_partkey") % 3 == 0, "COMPLETED").otherwise("RUNNING").alias("next"))
-    return writes.run_cas(j.runs, commands, [F.col("task_id")]).groupBy("outcome", "next", "new_version").agg(F.count(F.lit(1)).alias("commands"))
+    """Each line of an order moves its run on from the version that it expects: in turn, late by one, or of a run that is not there."""
+    commands = j.lines.select(F.concat(F.lit("R"), F.col("l_orderkey") + F.when(F.col("l_partkey") % 50 == 0, 10**9).otherwise(0)).alias("run_id"), "task_id", "child", (F.col("l_orderkey") % 5 + F.col("child") - F.col("l_suppkey") % 2).alias("expected"), F.when(F.col("l_partkey") % 5 == 0, "COMPLETED").otherwise("RUNNING").alias("next"))
+    return writes.run_cas(j.runs, commands, [F.col("child"), F.col("task_id")]).groupBy("outcome", "next", "new_version").agg(F.count(F.lit(1)).alias("commands"))
 
 
 @query
@@ -453,8 +477,11 @@ def worker_upsert(j: Journal) -> DataFrame:
 
 @query
 def effect_resolve(j: Journal) -> DataFrame:
-    commands = j.lines.select(F.concat("run_id", F.lit(":"), "step_id", F.lit(":E1")).alias("effect_key"), F.when(F.col("l_partkey") % 2 == 0, "COMMITTED").otherwise("FAILED").alias("verdict"), F.when(F.col("l_partkey") % 3 == 0, "ref").alias("ref"))
-    return writes.resolve_effects(j.effects, commands).groupBy("outcome", "new_status").agg(F.count(F.lit(1)).alias("effects"))
+    """Two contrary verdicts on each effect."""
+    verdict = lambda n: F.when((F.col("l_partkey") + n) % 2 == 0, "COMMITTED").otherwise("FAILED")
+    both = F.array(*[F.struct(F.lit(n).alias("n"), verdict(n).alias("verdict"), F.when((F.col("l_partkey") + n) % 3 == 0, "ref").alias("ref")) for n in (0, 1)])
+    commands = j.lines.select(F.concat("run_id", F.lit(":"), "step_id", F.lit(":E1")).alias("effect_key"), F.explode(both).alias("c")).select("effect_key", "c.*")
+    return writes.resolve_effects(j.effects, commands, [F.col("n")]).groupBy("n", "outcome", "new_status").agg(F.count(F.lit(1)).alias("effects"))
 
 
 def decisions(j: Journal) -> DataFrame:
@@ -529,14 +556,31 @@ def unresolved_unknown(j: Journal) -> DataFrame:
 
 @query
 def dispatch_latency(j: Journal) -> DataFrame:
-    return audit.latency(j.log, "TASK_CREATED", "TASK_CLAIMED").groupBy("seconds").agg(F.count(F.lit(1)).alias("steps"))
+    return audit.latency(j.log, "TASK_CREATED", "TASK_CLAIMED", "run_key").groupBy("seconds").agg(F.count(F.lit(1)).alias("steps"))
 
 
 @query
 def run_latency(j: Journal) -> DataFrame:
     """Minutes from a run's start to its end."""
+    return run_seconds(j).groupBy(F.floor(F.col("seconds") / 60).alias("minutes")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+def run_seconds(j: Journal) -> DataFrame:
     ends = j.log.where(F.col("event_type").isin("RUN_STARTED", "RUN_COMPLETED")).withColumn("step_id", F.lit("run"))
-    return audit.latency(ends, "RUN_STARTED", "RUN_COMPLETED").groupBy(F.floor(F.col("seconds") / 60).alias("minutes")).agg(F.count(F.lit(1)).alias("runs"))
+    return audit.latency(ends, "RUN_STARTED", "RUN_COMPLETED", "run_key")
+
+
+@query
+def latency_percentiles(j: Journal) -> DataFrame:
+    """p50, p95 and p99 of a run's seconds; exact while a bucket of the sketch holds one value."""
+    return audit.percentiles(run_seconds(j), "seconds", accuracy=1_000_000)
+
+
+@query
+def first_end_after_start(j: Journal) -> DataFrame:
+    """Seconds from a user's first signup to the first purchase after it, whatever was bought before."""
+    rows = j.table("events").select(F.concat(F.lit("U"), "user_id").alias("run_id"), F.lit("S").alias("step_id"), "event_type", F.col("ts").alias("created_at"))
+    return audit.latency(rows, "signup", "purchase").select("run_id", "seconds")
 
 
 @query
@@ -583,14 +627,29 @@ def run_finish(j: Journal) -> DataFrame:
 
 @query
 def task_complete(j: Journal) -> DataFrame:
-    reports = j.lines.select("task_id", (F.col("l_linenumber") + F.when(F.col("l_partkey") % 3 == 0, 2).otherwise(1)).cast("long").alias("token"))
-    return writes.complete_tasks(j.tasks, j.leases, reports).groupBy("outcome").agg(F.count(F.lit(1)).alias("reports"))
+    """Two results of each task, the first under a token that may be stale."""
+    token = F.array(F.col("l_linenumber") + F.when(F.col("l_partkey") % 3 == 0, 2).otherwise(1), F.col("l_linenumber") + 1)
+    reports = j.lines.select("task_id", F.posexplode(token).alias("n", "token")).withColumn("token", F.col("token").cast("long"))
+    return writes.complete_tasks(j.tasks, j.leases, reports, [F.col("n")]).groupBy("n", "outcome").agg(F.count(F.lit(1)).alias("reports"))
+
+
+def effect_commands(j: Journal) -> DataFrame:
+    """Four transitions of each effect with a consequence."""
+    ends = F.when(F.col("answer") == "COMMITTED", "COMMITTED").when(F.col("answer") == "NOT_EXECUTED", "FAILED").otherwise("UNKNOWN")
+    moves = [(F.lit("PENDING"), F.lit("RUNNING")), (F.lit("RUNNING"), ends), (F.lit("UNKNOWN"), F.lit("COMMITTED")), (F.lit("COMMITTED"), F.lit("RUNNING"))]
+    each = F.array(*[F.struct(F.lit(n).alias("n"), a.alias("from"), b.alias("to"), F.when(F.lit(n == 1), F.lit("seen")).alias("answer")) for n, (a, b) in enumerate(moves)])
+    return j.effects.where("effect_class <> 'NONE'").select("effect_key", F.explode(each).alias("c")).select("effect_key", "c.*")
 
 
 @query
 def effect_update(j: Journal) -> DataFrame:
-    updates = j.effects.where("effect_class <> 'NONE'").select("effect_key", F.when(F.col("answer") == "COMMITTED", "COMMITTED").alias("status"), F.lit(None).cast("string").alias("answer"))
-    return writes.update_effects(j.effects, updates, ["status", "answer"]).groupBy("status", "answer").agg(F.count(F.lit(1)).alias("effects"))
+    return writes.update_effects(j.effects, effect_commands(j), [F.col("n")], ["answer"]).groupBy("status", "answer").agg(F.count(F.lit(1)).alias("effects"))
+
+
+@query
+def effect_ledger(j: Journal) -> DataFrame:
+    """The outcome of each transition, as the ledger would have answered."""
+    return writes.effect_transition(j.effects, effect_commands(j), [F.col("n")]).groupBy("n", "from", "to", "outcome").agg(F.count(F.lit(1)).alias("commands"))
 
 
 @query
@@ -634,8 +693,12 @@ def null_normalised(j: Journal) -> DataFrame:
 
 
 def scratch(j: Journal, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset."""
-    at_ = j.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runfold-")
+    """A new folder below spark.checkpoint.dir; where that is unset, on one machine only, below a temporary one."""
+    at_ = j.spark.conf.get("spark.checkpoint.dir", None)
+    if not at_:
+        if not j.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at_ = tempfile.mkdtemp(prefix="runfold-")
     return f"{at_.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -682,3 +745,167 @@ def replay_decision(j: Journal) -> DataFrame:
     done = turns.select("conv_id", (F.col("turn") * 2 + 1).alias("seq"), F.lit("TASK_COMPLETED").alias("event_type"), F.concat(F.lit("S"), "n").alias("step_id"), F.format_string('{"result": %d}', "size").alias("body"))
     log = head.unionByName(made).unionByName(done).withColumn("run_id", F.concat(F.lit("C"), "conv_id")).withColumn("created_at", now(NOW_EVENTS))
     return replay_.replay(log, two_answers).select("run_id", "kind", "step_id", "error")
+
+
+def fan_out(ctx: replay_.Context, n: int, join: str) -> str:
+    """The body replayed over orders: one call a line, then how many went well."""
+    outcomes = ctx.call_parallel([("line", {"i": i}) for i in range(n)], join)
+    return f"{sum(o.ok for o in outcomes)}/{sum(o.settled for o in outcomes)}"
+
+
+@query
+def replay_parallel(j: Journal) -> DataFrame:
+    """Fan-outs as journals have them: the calls are names, and what a child was asked is in its own creation."""
+    log = j.log.withColumn("n", F.max("n_calls").over(Window.partitionBy("run_key"))).withColumn("join", F.max("policy").over(Window.partitionBy("run_key")))
+    kind, child = F.col("event_type"), S.child_index(F.col("step_id"))
+    body = (
+        F.when(kind == "RUN_STARTED", F.to_json(F.struct(F.struct("n", "join").alias("input"))))
+        .when(kind == "FAN_OUT_STARTED", F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))), lambda i: F.lit("line")).alias("calls"), F.col("policy").alias("join"))))
+        .when(kind == "TASK_CREATED", F.to_json(F.struct(F.lit("line").alias("task_type"), F.struct(child.alias("i")).alias("payload"))))
+        .when(kind == "TASK_COMPLETED", F.lit('{"result": 1}'))
+        .when(kind == "TASK_FAILED", F.to_json(F.struct("final", F.lit("x").alias("error"))))
+    )
+    return replay_.replay(log.withColumn("body", body), fan_out, "run_key").select("run_id", "kind", "step_id", F.when(F.col("kind") == "COMPLETE", F.translate("detail", '"', "")).alias("output"), "reissued")
+
+
+def sleep_and_wait(ctx: replay_.Context) -> str:
+    """The body replayed over users' events: a sleep of an hour from the start, then a signal within two."""
+    ctx.sleep(3600)
+    ctx.wait_for("click", 7200)
+    return "done"
+
+
+@query
+def replay_waits(j: Journal) -> DataFrame:
+    log = j.stream.withColumn("body", F.lit('{"name": "click", "wake_at": "2024-01-01T00:00:00"}'))
+    found = replay_.replay(log, sleep_and_wait)
+    return found.select("run_id", "kind", "step_id", "reissued", F.coalesce(F.get_json_object("detail", "$.wake_at"), F.get_json_object("detail", "$.deadline")).alias("until"), F.split("error", ":")[0].alias("error"))
+
+
+def draws(ctx: replay_.Context) -> list[float]:
+    return [ctx.random().random() for _ in range(3)]
+
+
+@query
+def replay_random(j: Journal) -> DataFrame:
+    """Three random numbers of each conversation, the same at every replay."""
+    log = j.dialogue.select("run_id").distinct().select("run_id", F.lit(1).cast("long").alias("seq"), F.lit("RUN_STARTED").alias("event_type"), F.lit(None).cast("string").alias("step_id"), F.lit(None).cast("string").alias("body"), now(NOW_EVENTS).alias("created_at"))
+    return replay_.replay(log, draws).select("run_id", F.col("detail").alias("draws"))
+
+
+@query
+def step_description(j: Journal) -> DataFrame:
+    """Calls in one line, some with a payload that is no object."""
+    ship(j.spark)
+    rows = j.table("events").select("event_id", F.concat(F.lit("tool"), F.col("event_id") % 3).alias("tool"), F.when(F.col("event_id") % 5 == 0, "[1]").when(F.col("event_id") % 5 == 1, "{").otherwise(F.col("props")).alias("payload"))
+    return rows.select("event_id", replay_.describe("tool", "payload").alias("text"))
+
+
+@query
+def embedded_object(j: Journal) -> DataFrame:
+    raw = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, "[1, 2]").when(F.col("event_id") % 4 == 2, "nonsense")
+    return j.table("events").select("event_id", E.as_object(raw).alias("body"))
+
+
+@query
+def envelope_encode(j: Journal) -> DataFrame:
+    return j.table("events").select("event_id", E.wrap(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("user"))).alias("payload"))
+
+
+@query
+def effect_event(j: Journal) -> DataFrame:
+    """The event bodies of effects."""
+    return j.effects.select("effect_key", E.effect_body(F.col("task_id"), F.col("effect_key"), F.col("effect_type"), F.col("effect_class"), F.col("status"), reference=F.when(F.col("status") == "COMMITTED", F.col("answer")), detail=F.when(F.col("status") == "UNKNOWN", "timed out")).alias("body"))
+
+
+@query
+def effect_class_wire(j: Journal) -> DataFrame:
+    """Effect classes to their numbers and back; an unspecified one is refused."""
+    sent = F.when(F.col("p_partkey") % 7 == 0, 0).when(F.col("p_partkey") % 7 == 6, 9).otherwise(S.class_number(choose(F.col("p_partkey"), S.EFFECT_CLASS)))
+    p = j.table("part").select("p_partkey", sent.cast("int").alias("sent"))
+    return p.select("p_partkey", "sent", S.class_of_number(F.col("sent")).alias("effect_class"), F.when(S.class_of_number(F.col("sent")).isNull(), "unknown class").alias("error"))
+
+
+@query
+def instants(j: Journal) -> DataFrame:
+    """Instants as nanoseconds and back."""
+    nanos = S.unix_nanos(F.col("ts"))
+    return j.table("events").select("event_id", nanos.alias("nanos"), (S.from_nanos(nanos) == F.col("ts").cast("timestamp")).alias("same"))
+
+
+@query
+def enum_validity(j: Journal) -> DataFrame:
+    """Which of the statuses and classes that occur are of each kind."""
+    names = j.runs.select("status").union(j.tasks.select("status")).union(j.effects.select("status")).union(j.effects.select("effect_class")).distinct()
+    return names.select("status", F.col("status").isin(*S.RUN_STATUS).alias("run"), F.col("status").isin(*S.TASK_STATUS).alias("task"), F.col("status").isin(*S.EFFECT_STATUS).alias("effect"), F.col("status").isin(*S.EFFECT_CLASS).alias("effect_class"))
+
+
+@query
+def agent_runs(j: Journal) -> DataFrame:
+    """Running runs of one agent: others are not this engine's to advance."""
+    return relations.runs_of_agent(j.runs, "URGENT").groupBy("agent_version").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query
+def start_runs(j: Journal) -> DataFrame:
+    """The run row and the first event of a run for each customer."""
+    asked = j.table("customer").select(F.concat(F.lit("N"), "c_custkey").alias("run_id"), F.to_json(F.struct(F.col("c_custkey").alias("customer"))).alias("input"))
+    return lifecycle.start_rows(asked, "agent", "v1")
+
+
+@query
+def execute_plan(j: Journal) -> DataFrame:
+    """What becomes of each pending task through the ledger; half of them have no effect yet."""
+    held = j.effects.where(F.col("task_id").substr(-1, 1) < "2")
+    found = lifecycle.execute_plan(j.tasks, held, tools(j))
+    return found.groupBy("action", "events").agg(F.count(F.lit(1)).alias("tasks"))
+
+
+@query
+def perform_rows(j: Journal) -> DataFrame:
+    """The transitions and events that a call leaves in the ledger."""
+    calls = j.effects.where("status in ('PENDING', 'FAILED')").select("effect_key", "status", (F.col("answer") == "COMMITTED").alias("ok"), F.when(F.col("answer") == "NOT_EXECUTED", F.col("answer")).alias("certainty"))
+    return lifecycle.perform_rows(calls).groupBy("n", "from", "to", "event").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def recovery_scan(j: Journal) -> DataFrame:
+    """One scan: pending tasks to publish again, ready runs to advance."""
+    return lifecycle.recovery_scan(j.runs, j.tasks, now()).groupBy("what").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least"), F.max("id").alias("most"))
+
+
+@query
+def advance_after_park(j: Journal) -> DataFrame:
+    """Runs that start to wait for a signal which is there already: they advance at once."""
+    waits = stream_waits(j).where("kind = 'SIGNAL'").select("run_id", "step_id", F.lit("click").alias("name"))
+    return lifecycle.after_park(waits, j.signals.where("event_id % 3 <> 0"))
+
+
+@query
+def relay_outcome(j: Journal) -> DataFrame:
+    """A sweep of the outbox in which some deliveries fail and one ends it."""
+    due = j.deliveries.where("published_at is null")
+    sent = due.select("outbox_id", F.when(F.col("outbox_id") % 5 == 0, "refused").alias("error"))
+    return relations.record_sweep(j.deliveries, sent, now()).groupBy(F.col("published_at").isNull().alias("waiting"), "attempts", "last_error").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+@query
+def lease_extend(j: Journal) -> DataFrame:
+    """Leases after heartbeats, some of them stale, and releases."""
+    beats = j.lines.select("task_id", "child", (F.col("l_linenumber") + F.when(F.col("l_partkey") % 4 == 0, 0).otherwise(1)).cast("long").alias("token"), F.when(F.col("l_partkey") % 5 == 0, now()).otherwise(now() + minutes(F.col("l_quantity"))).alias("until"))
+    return writes.extend_leases(j.leases, beats, [F.col("child")]).select("task_id", "fencing_token", at("expires_at"))
+
+
+@query
+def retaken_tasks(j: Journal) -> DataFrame:
+    """Tasks taken and not started: they are due again once their visibility ends."""
+    taken = relations.assign_tasks(j.tasks, j.leases.select("worker_id").distinct(), now(), now() + minutes(F.lit(1)))
+    return relations.retake(j.tasks, taken, now() + minutes(F.lit(2)), 50).select("task_id", "priority", at("available_at"))
+
+
+@query
+def migrations_applied(j: Journal) -> DataFrame:
+    """Versions in order, with what is applied, and what a run of the migrations adds."""
+    versions = j.runs.select("agent_version").distinct()
+    applied = j.runs.where((F.year("created_at") == 1997) & F.col("agent_version").isin("v1", "v3")).select("agent_version").distinct()
+    return relations.apply_migrations(versions, applied, "agent_version")

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 #: The instant that queries over orders, and over events, take as now.
 NOW, NOW_EVENTS = "2000-01-01 00:00:00", "2024-01-20 00:00:00"
+LINE_TYPES = {"l_linenumber": "int", "l_partkey": "long", "l_suppkey": "long", "l_quantity": "double", "l_extendedprice": "double"}
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 #: How order priorities name the join of a fan-out.
 JOINS = {"1-URGENT": "ANY", "2-HIGH": "QUORUM(2)", "3-MEDIUM": "QUORUM(1)"}
 CLASSES = ("NONE", "IDEMPOTENT_BY_KEY", "QUERYABLE", "UNRECONCILABLE")
 EFFECT_STATUS = ("PENDING", "RUNNING", "COMMITTED", "FAILED", "UNKNOWN")
+#: How the ids of runs are made, for each table: a prefix and the stored key.
+RUN_KEYS = {"orders": ("R", "o_orderkey"), "lineitem": ("R", "l_orderkey"), "events": ("U", "user_id"), "conversations": ("C", "conv_id")}
 STREAM_TYPES = {"signup": "SIGNAL_WAIT_STARTED", "click": "SIGNAL_RECEIVED", "view": "TIMER_SET", "purchase": "TIMER_FIRED", "error": "TASK_FAILED"}
 
 
@@ -43,13 +46,24 @@ def by_name(value: Column, names: dict[str, str], otherwise: str) -> Column:
 
 
 class Journal:
-    """The relations of one data folder."""
+    """The relations of one data folder, or of one run in it."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, run: str | None = None):
+        self.spark, self.sf_dir, self.run = spark, sf_dir, run
+
+    def only(self, run_id: str) -> Journal:
+        """The relations of one run. Its id is turned back into the stored key, so the predicate reaches the scans."""
+        return Journal(self.spark, self.sf_dir, run_id)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = RUN_KEYS.get(name)
+        if self.run is None or key is None:
+            return rows
+        prefix, column = key
+        number = self.run.removeprefix(prefix)
+        fits = self.run.startswith(prefix) and number.isdecimal()
+        return rows.where(F.col(column) == F.lit(int(number)) if fits else F.lit(False))
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -142,31 +156,33 @@ class Journal:
 
     @cached_property
     def log(self) -> DataFrame:
-        """The journal of orders: run_id, seq, event_type, step_id, created_at, attempt, final, policy, n_calls.
+        """The journal of orders: run_id, run_key, seq, event_type, step_id, created_at, attempt, final, policy, n_calls.
 
         RUN_STARTED, FAN_OUT_STARTED with a call for each line, TASK_CREATED for each, then what
-        became of each, then RUN_COMPLETED where the run is.
+        became of each, then RUN_COMPLETED where the run is. Orders and lines meet in one shuffle by
+        ``run_key``, the number in run_id; lines are numbered, then every row becomes its events.
         """
-        lines = self.lines.withColumn("__flag", F.col("l_returnflag"))
-        nil, none = F.lit(None), F.lit(0).cast("long")
-        head = self.table("orders").select(F.concat(F.lit("R"), "o_orderkey").alias("run_id"), "o_orderdate", "o_orderstatus", "o_orderkey", by_name(F.col("o_orderpriority"), JOINS, "ALL").alias("policy"))
-        calls = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_calls"))
-        head = head.join(calls, head["o_orderkey"] == calls["l_orderkey"], "left")
-        kinds = F.array(
-            F.struct(F.lit(0).alias("k"), F.lit("RUN_STARTED").alias("event_type"), nil.cast("string").alias("step_id")),
-            F.struct(F.lit(1).alias("k"), F.lit("FAN_OUT_STARTED").alias("event_type"), F.lit("S1").alias("step_id")),
-            F.struct(F.lit(4).alias("k"), F.when(F.col("o_orderstatus") == "F", "RUN_COMPLETED").alias("event_type"), nil.cast("string").alias("step_id")),
-        )
-        own = head.select("run_id", "o_orderdate", "policy", "n_calls", F.explode(kinds).alias("e")).where("e.event_type is not null")
-        own = own.select("run_id", F.col("o_orderdate").alias("at"), F.col("e.k").alias("k"), none.alias("child"), F.col("e.event_type").alias("event_type"), F.col("e.step_id").alias("step_id"), nil.cast("long").alias("attempt"), nil.cast("boolean").alias("final"), F.when(F.col("e.k") == 1, F.col("policy")).alias("policy"), F.when(F.col("e.k") == 1, F.coalesce("n_calls", none)).alias("n_calls"))
+        nil = lambda t: F.lit(None).cast(t)
+        head = self.table("orders").select(F.col("o_orderkey").alias("run_key"), F.lit(0).alias("line"), *[nil(t).alias(c) for c, t in LINE_TYPES.items()], nil("string").alias("l_returnflag"), nil("string").alias("l_linestatus"), nil("timestamp_ntz").alias("l_shipdate"), "o_orderdate", "o_orderstatus", by_name(F.col("o_orderpriority"), JOINS, "ALL").alias("policy"))
+        line = self.table("lineitem").select(F.col("l_orderkey").alias("run_key"), F.lit(1).alias("line"), *LINE_ORDER, "l_returnflag", "l_linestatus", "l_shipdate", nil("timestamp_ntz").alias("o_orderdate"), nil("string").alias("o_orderstatus"), nil("string").alias("policy"))
+        run = Window.partitionBy("run_key")
+        rows = head.unionByName(line).withColumn("child", F.row_number().over(run.orderBy("line", *LINE_ORDER)).cast("long")).withColumn("n_calls", F.sum("line").over(run))
+        rows = rows.withColumn("child", F.when(F.col("line") == 1, F.col("child") - F.max(1 - F.col("line")).over(run) - 1).otherwise(0))
         became = F.when(F.col("l_returnflag") == "A", "TASK_COMPLETED").when(F.col("l_returnflag") == "R", "TASK_FAILED").when(F.col("l_linestatus") == "F", "TASK_CLAIMED")
-        each = F.array(F.struct(F.lit(2).alias("k"), F.lit("TASK_CREATED").alias("event_type")), F.struct(F.lit(3).alias("k"), became.alias("event_type")))
-        tasks = lines.select("*", F.explode(each).alias("e")).where("e.event_type is not null")
-        final = F.when(F.col("e.event_type") == "TASK_FAILED", F.col("l_partkey") % 4 != 0)
-        tasks = tasks.select("run_id", F.col("l_shipdate").alias("at"), F.col("e.k").alias("k"), "child", F.col("e.event_type").alias("event_type"), "step_id", (F.col("l_partkey") % 3 + 1).alias("attempt"), final.alias("final"), nil.cast("string").alias("policy"), nil.cast("long").alias("n_calls"))
-        seq = F.row_number().over(Window.partitionBy("run_id").orderBy("k", "child")).cast("long")
-        rows = own.unionByName(tasks).withColumn("seq", seq)
-        return rows.select("run_id", "seq", "event_type", "step_id", (F.col("at") + minutes(F.col("seq"))).alias("created_at"), "attempt", "final", "policy", "n_calls")
+        event = lambda k, kind: F.struct(F.lit(k).alias("k"), kind.alias("event_type"))
+        own = F.array(event(0, F.lit("RUN_STARTED")), event(1, F.lit("FAN_OUT_STARTED")), event(4, F.when(F.col("o_orderstatus") == "F", "RUN_COMPLETED")))
+        each = F.array(event(2, F.lit("TASK_CREATED")), event(3, became))
+        rows = rows.withColumn("e", F.explode(F.filter(F.when(F.col("line") == 1, each).otherwise(own), lambda e: e["event_type"].isNotNull()))).select("*", "e.*")
+        fans = F.col("k") == 1
+        rows = rows.withColumn("seq", F.row_number().over(run.orderBy("k", "child")).cast("long"))
+        return rows.select(
+            F.concat(F.lit("R"), "run_key").alias("run_id"), "run_key", "seq", "event_type",
+            F.when(F.col("line") == 1, F.concat(F.lit("S1."), "child")).when(fans, "S1").alias("step_id"),
+            (F.coalesce("l_shipdate", "o_orderdate") + minutes(F.col("seq"))).alias("created_at"),
+            F.when(F.col("line") == 1, F.col("l_partkey") % 3 + 1).alias("attempt"),
+            F.when(F.col("event_type") == "TASK_FAILED", F.col("l_partkey") % 4 != 0).alias("final"),
+            F.when(fans, F.col("policy")).alias("policy"), F.when(fans, F.col("n_calls")).alias("n_calls"),
+        )
 
     @cached_property
     def dialogue(self) -> DataFrame:
@@ -186,12 +202,7 @@ def write_journal(events: DataFrame, path: str) -> None:
     dated.repartition("event_date", F.pmod(F.xxhash64("run_id"), F.lit(64))).sortWithinPartitions("event_date", "run_id", "seq").write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def point(rows: DataFrame, **key: str) -> DataFrame:
-    """The rows with the given key values; the predicate reaches the scan."""
-    for name, value in key.items():
-        rows = rows.where(F.col(name) == F.lit(value))
-    return rows
+def read_journal(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """A journal that `write_journal` wrote; of one run, its predicate reaches the scan."""
+    rows = spark.read.parquet(path)
+    return rows if run_id is None else rows.where(F.col("run_id") == run_id)

@@ -70,10 +70,45 @@ def test_folds(spark, seed):
     assert folds.seq_gaps(log).isEmpty() and not folds.seq_gaps(log.where("seq <> 2")).isEmpty()
 
 
-def test_completion_wins_in_the_step_history(spark):
-    rows = [("R", 1, "TASK_CREATED", "S1"), ("R", 2, "TASK_COMPLETED", "S1"), ("R", 3, "TASK_FAILED", "S1"), ("R", 4, "TASK_COMPLETED", "S9"), ("R", 5, "TASK_CREATED", "S2"), ("R", 6, "TASK_FAILED", "S2")]
-    log = spark.createDataFrame([(*r, True if r[2] == "TASK_FAILED" else None, None, None, None) for r in rows], SCHEMA)
-    assert {r.step_id: (r.state, r.error) for r in folds.history_steps(log).collect()} == {"S1": ("COMPLETED", None), "S9": ("COMPLETED", "completion without creation"), "S2": ("FAILED", None)}
+def step_states(events):
+    """The steps of a run and whether each was read with an error, one event at a time."""
+    steps = {}
+    for _, _, kind, step, final, *_ in events:
+        one = steps.get(step)
+        if kind == "TASK_CREATED":
+            steps[step] = ["DECIDED", one[1] if one else None]
+        elif kind == "TASK_COMPLETED":
+            steps[step] = ["COMPLETED", one[1]] if one else ["COMPLETED", "completion without creation"]
+        elif kind == "TASK_FAILED" and final and one and one[0] == "DECIDED":
+            one[0] = "FAILED"
+    return {k: tuple(v) for k, v in steps.items()}
+
+
+def wait_states(events):
+    waits = {}
+    for _, _, kind, step, *_ in events:
+        if kind in folds.OPENERS:
+            waits[step] = ["OPEN", waits[step][1] if step in waits else None]
+        elif kind in folds.CLOSERS:
+            one = waits.setdefault(step, [None, "resolution without wait"])
+            if one[0]:
+                one[0] = "TIMED_OUT" if kind == "SIGNAL_WAIT_TIMED_OUT" else "RESOLVED"
+    return {k: tuple(v) for k, v in waits.items()}
+
+
+def test_histories(spark):
+    rows = journals(7)
+    log = spark.createDataFrame(rows, SCHEMA)
+    want = {(run, k): v for run, events in by_run(rows).items() for k, v in step_states(events).items()}
+    assert {(r.run_id, r.step_id): (r.state, r.error) for r in folds.history_steps(log).collect()} == want
+    want = {(run, k): v for run, events in by_run(rows).items() for k, v in wait_states(events).items()}
+    assert {(r.run_id, r.step_id): (r.state, r.error) for r in folds.history_waits(log).collect()} == want
+
+
+def test_only_exact_child_names_count(spark):
+    rows = [("R", 1, "FAN_OUT_STARTED", "S1", None, "ALL", 2, None), *[("R", 2 + i, "TASK_COMPLETED", s, None, None, None, None) for i, s in enumerate(["S1.-1", "S1.00", "S1.0", "S1.2", "S1.+1"])]]
+    got = folds.fanout_children(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.ok, r.settled) for r in got] == [(1, 1)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -122,44 +157,71 @@ def test_heartbeats(spark):
     assert sorted(r.beats for r in streams.heartbeat_sessions(beats).collect()) == [1, 2]
 
 
-def body(ctx):
+def body(ctx, ok_first=True):
     order = ctx.call("lookup", id=7)
-    if order["ok"]:
+    if order["ok"] and ok_first:
         parts = ctx.call_parallel([("a", {}), ("b", {"n": 1})])
         ctx.sleep(60)
-        return [ctx.wait_for("go", 5), [p["result"] for p in parts], ctx.random() < 2]
+        return [ctx.wait_for("go", 5), [p.result for p in parts], ctx.random().random() < 2]
     return "no"
 
 
-def history(*events):
+def decisions(spark, histories, body):
+    """kind, step, reissued and error of each history, given as lists of (event_type, step_id, body)."""
     import datetime as dt
+    import json
 
-    return [{"event_type": t, "step_id": s, "body": b, "created_at": dt.datetime(2026, 1, 1)} for t, s, b in [("RUN_STARTED", None, {}), *events]]
+    rows = [(f"R{n}", i, t, s, json.dumps(b), dt.datetime(2026, 1, 1)) for n, events in enumerate(histories) for i, (t, s, b) in enumerate([("RUN_STARTED", None, {"input": {"ok_first": True}}), *events], 1)]
+    log = spark.createDataFrame(rows, "run_id string, seq long, event_type string, step_id string, body string, created_at timestamp_ntz").repartition(3)
+    got = {r.run_id: r for r in replay.replay(log, body).collect()}
+    return [got[f"R{n}"] for n in range(len(histories))]
 
 
 CALL = ("TASK_CREATED", "S1", {"task_type": "lookup", "payload": {"id": 7}})
 DONE = ("TASK_COMPLETED", "S1", {"result": {"ok": True}})
-FAN = ("FAN_OUT_STARTED", "S2", {"calls": [{"task_type": "a", "payload": {}}, {"task_type": "b", "payload": {"n": 1}}]})
+FAN = ("FAN_OUT_STARTED", "S2", {"calls": ["a", "b"], "join": "ALL"})
+MADE = (("TASK_CREATED", "S2.0", {"task_type": "a", "payload": {}}), ("TASK_CREATED", "S2.1", {"task_type": "b", "payload": {"n": 1}}))
 KIDS = (("TASK_COMPLETED", "S2.1", {"result": 2}), ("TASK_FAILED", "S2.0", {"final": True, "error": "x"}))
-SLEEP, WOKE = ("TIMER_SET", "S3", {}), ("TIMER_FIRED", "S3", {})
+SLEEP, WOKE = ("TIMER_SET", "S3", {"wake_at": "2026-01-01T00:01:00"}), ("TIMER_FIRED", "S3", {})
 WAIT, GOT, LATE = ("SIGNAL_WAIT_STARTED", "S4", {"name": "go"}), ("SIGNAL_RECEIVED", "S4", {"payload": 5}), ("SIGNAL_WAIT_TIMED_OUT", "S4", {})
 
 
-@pytest.mark.parametrize(
-    "events,kind,step",
-    [((), "CALL_TOOL", "S1"), ((CALL,), "IN_FLIGHT", "S1"), ((CALL, DONE), "CALL_TOOL_PARALLEL", "S2"), ((CALL, DONE, FAN, KIDS[0]), "IN_FLIGHT", "S2"), ((CALL, DONE, FAN, *KIDS), "SLEEP", "S3"), ((CALL, DONE, FAN, *KIDS, SLEEP), "IN_FLIGHT", "S3"), ((CALL, DONE, FAN, *KIDS, SLEEP, WOKE), "WAIT_FOR_SIGNAL", "S4"), ((CALL, DONE, FAN, *KIDS, SLEEP, WOKE, WAIT, GOT), "COMPLETE", None), ((CALL, DONE, FAN, *KIDS, SLEEP, WOKE, WAIT, LATE), "FAIL", None)],
-)
-def test_replay(events, kind, step):
-    got = replay.decide("R", history(*events), body)
-    assert got[1:3] == (kind, step)
+def test_replay(spark):
+    fan = (CALL, DONE, FAN, *MADE)
+    cases = [
+        ((), "CALL_TOOL", "S1", False), ((CALL,), "CALL_TOOL", "S1", True), ((CALL, DONE), "CALL_TOOL_PARALLEL", "S2", False), ((*fan, KIDS[0]), "CALL_TOOL_PARALLEL", "S2", True), ((*fan, *KIDS), "SLEEP", "S3", False),
+        ((*fan, *KIDS, SLEEP), "SLEEP", "S3", True), ((*fan, *KIDS, SLEEP, WOKE), "WAIT_FOR_SIGNAL", "S4", False), ((*fan, *KIDS, SLEEP, WOKE, WAIT), "WAIT_FOR_SIGNAL", "S4", True), ((*fan, *KIDS, SLEEP, WOKE, WAIT, GOT), "COMPLETE", None, False), ((*fan, *KIDS, SLEEP, WOKE, WAIT, LATE), "FAIL", None, False),
+        ((CALL, DONE, CALL), "CALL_TOOL", "S1", True),
+    ]
+    got = decisions(spark, [c[0] for c in cases], body)
+    assert [(r.kind, r.step_id, r.reissued) for r in got] == [c[1:] for c in cases]
+    assert got[8].detail == "[5,[null,2],true]" and "SignalTimeout" in got[9].error
 
 
-def test_divergence_and_failure():
+def test_divergence_and_failure(spark):
     other = ("TASK_CREATED", "S1", {"task_type": "lookup", "payload": {"id": 7.0}})
-    assert "Divergence" in replay.decide("R", history(other), body)[4]
+    child = ("TASK_CREATED", "S2.0", {"task_type": "a", "payload": {"m": 1}})
     failed = ("TASK_FAILED", "S1", {"final": True, "error": "gone"})
-    assert "StepFailed" in replay.decide("R", history(CALL, failed), body)[4]
-    assert replay.decide("R", history(CALL, ("TASK_FAILED", "S1", {"final": False})), body)[1] == "IN_FLIGHT"
+    cases = [(other,), (CALL, failed), (CALL, ("TASK_FAILED", "S1", {"final": False})), (DONE,), (CALL, DONE, FAN, child), (WOKE,)]
+    got = decisions(spark, cases, body)
+    assert [(r.error or r.kind).split(":")[0] for r in got] == ["Divergence", "StepFailed", "CALL_TOOL", "BrokenHistory", "Divergence", "BrokenHistory"]
+
+
+def test_joins_of_a_fan_out(spark):
+    def any_of(ctx, input):
+        return [o.ok for o in ctx.call_parallel([("a", {}), ("b", {"n": 1})], "ANY")]
+
+    def two_of(ctx, input):
+        return [o.ok for o in ctx.call_parallel([("a", {}), ("b", {"n": 1})], "QUORUM(2)")]
+
+    def three_of(ctx, input):
+        return ctx.call_parallel([("a", {})], "QUORUM(3)")
+
+    at = lambda events: [(t, s.replace("S2", "S1"), b) for t, s, b in events]
+    cases = [at([*MADE, KIDS[0]]), at([*MADE, KIDS[1]]), at(MADE)]
+    assert [(r.kind, r.detail if r.kind == "COMPLETE" else None) for r in decisions(spark, cases, any_of)] == [("COMPLETE", "[false,true]"), ("CALL_TOOL_PARALLEL", None), ("CALL_TOOL_PARALLEL", None)]
+    assert [r.kind for r in decisions(spark, cases, two_of)] == ["CALL_TOOL_PARALLEL", "COMPLETE", "CALL_TOOL_PARALLEL"]
+    assert [r.kind for r in decisions(spark, cases[:1], three_of)] == ["FAIL"]
 
 
 def test_lint_and_canonical(spark):
@@ -168,6 +230,10 @@ def test_lint_and_canonical(spark):
 
         return time.time()
 
-    assert replay.lint(body) == [] and replay.lint(bad) == ["time: the clock"]
+    def good(ctx):
+        door = ctx.call("door")
+        return door.open().time
+
+    assert replay.lint(body) == [] and replay.lint(good) == [] and replay.lint(bad) == ["time: the clock"]
     rows = spark.createDataFrame([('{"b":1.0,"a":2}',), ("x",), (None,)], "j string")
     assert [r[0] for r in rows.select(replay.canonical_json("j")).collect()] == ['{"a":2,"b":1.0}', None, None]

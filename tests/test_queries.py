@@ -1,5 +1,7 @@
 """Every journal query against its SQL on the smallest tables."""
 
+import json
+import random
 import sys
 from pathlib import Path
 
@@ -8,16 +10,26 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from runfold import oracle, queries  # noqa: E402
+from runfold.sources import journal  # noqa: E402
 from tests.compare import connect, rows  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_each_query_has_its_sql():
-    assert queries.QUERIES.keys() == oracle.ORACLES.keys()
+    assert queries.QUERIES.keys() - oracle.ORACLES.keys() == {"replay_random"}  # Python's own generator: see below
+    assert not oracle.ORACLES.keys() - queries.QUERIES.keys()
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_random_numbers_depend_on_the_run_alone(spark):
+    got = queries.QUERIES["replay_random"](spark, SF).collect()
+    assert len(got) > 10
+    for r in got:
+        of = random.Random(r.run_id)
+        assert json.loads(r.draws) == [of.random() for _ in range(3)]
+
+
+@pytest.mark.parametrize("name", sorted(oracle.ORACLES))
 def test_query(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = connect(SF).execute(oracle.ORACLES[name]).df()
@@ -32,9 +44,28 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_plans_prune_and_push(spark):
-    """Point lookups reach the scan and read only the columns they need."""
-    from runfold.sources.journal import Journal, point
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+LOOKUPS = {"run_by_id": "o_orderkey,42", "task_by_id": "l_orderkey,42", "tasks_of_run": "l_orderkey,42", "history_of_run": "l_orderkey,42", "effect_by_key": "l_orderkey,42", "effects_of_run": "l_orderkey,42", "lease_by_task": "l_orderkey,42", "signals_of_run": "user_id,7"}
+
+
+@pytest.mark.parametrize("name", sorted(LOOKUPS))
+def test_lookups_reach_the_scan(spark, name):
+    """The registered point lookups push their key to every scan and read only the columns that they need."""
+    plan = plan_of(queries.QUERIES[name](spark, SF))
+    assert plan.count("FileScan") == plan.count(f"EqualTo({LOOKUPS[name]})") + (name == "history_of_run") * plan.count("EqualTo(o_orderkey,42)") and "l_comment" not in plan
+
+
+def test_exchanges(spark):
+    """Folds over the log shuffle it once."""
+    for name, most in (("pending_fanout", 1), ("history_steps", 2), ("dispatch_latency", 2)):
+        assert plan_of(queries.QUERIES[name](spark, SF)).count("Exchange hashpartitioning") <= most, name
+
 
-    plan = point(Journal(spark, SF).table("orders").select("o_orderkey", "o_orderstatus"), o_orderstatus="F")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(o_orderstatus,F)" in plan and "o_totalprice" not in plan
+def test_journal_is_written_and_read(spark, tmp_path):
+    log = queries.Journal(spark, SF).log
+    journal.write_journal(log, f"{tmp_path}/j")
+    got = journal.read_journal(spark, f"{tmp_path}/j", "R42")
+    assert "EqualTo(run_id,R42)" in plan_of(got) and got.count() == log.where("run_id = 'R42'").count() > 0
