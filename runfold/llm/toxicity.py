@@ -1,15 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words map to a few symbols: insult, threat, target, negation, report, any other word. Five
-small transducers read a clause's symbols, each with its own states and a feature of its
-last state: how far an insult is established, a threat, a target beside either, a
+small transducers read a clause's symbols, each with its own states: how far an insult is established, a threat, a target beside either, a
 negation before either, reported speech. They are composed into one table of the states that
-can be reached. A document's score is the logistic of its matched clauses' weighted features;
-a word outside a clause that matches counts nothing.
+can be reached, and a clause's last state says what the combination is:
+
+* ``directed``: an insult and a target, neither negated nor reported;
+* ``menace``: a threat and a target, likewise;
+* ``bare``: an insult with no target (two for several in the clause); ``violence``: such a threat;
+* ``disclaimed``: an insult or threat that is negated or reported, which counts for nothing else.
+
+A document's score is the logistic of its clauses' weighted features. One directed insult or menace
+makes it toxic, one bare word or disclaimed clause does not: only bare words that repeat do. The labelled sample moves the weights
+inside these bounds (`bounded`).
 
 The lexicon is a short fixed list and, where labelled rows are given, words and stems that
-cover their toxic documents. The weights are the grammar's own, moved by what the
-labelled rows support. Both come from a bounded sample of labelled rows.
+cover their toxic documents; a learned word counts as the insult that it is, so in its clause only.
+Both come from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -37,10 +44,12 @@ WORDS = {
     NEGATION: "not no never without isn't aren't nobody nicht kein keine nie pas jamais aucun nunca ningún",
     REPORT: "said says called calls wrote quoted claimed told alleged sagte nannte dit disait dijo llamó",
 }
-FEATURES = ("insult", "insults", "threat", "target", "negated", "reported")
+FEATURES = ("directed", "menace", "bare", "violence", "disclaimed")
 #: Prior weights of the features, and of no match.
-PRIOR = np.array([5.0, 0.8, 2.5, 0.7, -2.0, -1.5])
-PRIOR_SHIFT = -4.5
+PRIOR = np.array([6.5, 6.5, 3.2, 1.5, 0.5])
+PRIOR_SHIFT = -4.8
+#: Scores that one bare word, threat or disclaimed clause stays below, and that two bare words, or one directed insult or menace, reach.
+LONE, TWICE, AIMED = 0.2, 0.6, 0.8
 #: Bound of the labelled sample: documents a class. Stems of 4 to 8 letters may be learned.
 PER_CLASS = 2500
 STEMS = range(4, 9)
@@ -50,15 +59,26 @@ LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 ELIDED = re.compile(r"(?:[cdjlmnst]|qu)['’](?=[^\W\d_])")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 
-# Transducers: state -> symbol -> next state (a symbol not named stays), and the features of a clause's last state.
-INSULTS = ({0: {INSULT: 1}, 1: {INSULT: 2}, 2: {}}, {1: {"insult": 1.0}, 2: {"insult": 1.0, "insults": 1.0}})
-THREATS = ({0: {THREAT: 1}, 1: {}}, {1: {"threat": 1.0}})
+# Transducers: state -> symbol -> next state (a symbol not named stays).
+INSULTS = {0: {INSULT: 1}, 1: {INSULT: 2}, 2: {}}
+THREATS = {0: {THREAT: 1}, 1: {}}
 # a target and an insult or a threat, in either order
-TARGETS = ({0: {TARGET: 1, INSULT: 2, THREAT: 2}, 1: {INSULT: 3, THREAT: 3}, 2: {TARGET: 3}, 3: {}}, {3: {"target": 1.0}})
+TARGETS = {0: {TARGET: 1, INSULT: 2, THREAT: 2}, 1: {INSULT: 3, THREAT: 3}, 2: {TARGET: 3}, 3: {}}
 # a negation at most three words before the insult or threat, where no other stands unnegated
-NEGATIONS = ({0: {NEGATION: 1, INSULT: 5, THREAT: 5}, **{n: {NEGATION: 1, INSULT: 4, THREAT: 4, OTHER: n + 1 if n < 3 else 0, TARGET: n + 1 if n < 3 else 0, REPORT: n + 1 if n < 3 else 0} for n in (1, 2, 3)}, 4: {}, 5: {}}, {4: {"negated": 1.0}})
+NEGATIONS = {0: {NEGATION: 1, INSULT: 5, THREAT: 5}, **{n: {NEGATION: 1, INSULT: 4, THREAT: 4, OTHER: n + 1 if n < 3 else 0, TARGET: n + 1 if n < 3 else 0, REPORT: n + 1 if n < 3 else 0} for n in (1, 2, 3)}, 4: {}, 5: {}}
 # a verb of saying before the insult or threat
-REPORTS = ({0: {REPORT: 1, INSULT: 2, THREAT: 2}, 1: {INSULT: 3, THREAT: 3}, 2: {}, 3: {}}, {3: {"reported": 1.0}})
+REPORTS = {0: {REPORT: 1, INSULT: 2, THREAT: 2}, 1: {INSULT: 3, THREAT: 3}, 2: {}, 3: {}}
+
+
+def meaning(insults: int, threat: int, target: int, negation: int, report: int) -> dict[str, float]:
+    """The features of a clause from the last states of the five transducers."""
+    if not (insults or threat):
+        return {}
+    if negation == 4 or report == 3:
+        return {"disclaimed": 1.0}
+    if target == 3:
+        return {name: 1.0 for name, on in (("directed", insults), ("menace", threat)) if on}
+    return {name: float(n) for name, n in (("bare", insults), ("violence", threat)) if n}
 
 
 def compose(*machines) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +89,7 @@ def compose(*machines) -> tuple[np.ndarray, np.ndarray]:
         state = queue.popleft()
         row = []
         for symbol in range(6):
-            after = tuple(arcs[s].get(symbol, s) for (arcs, _), s in zip(machines, state, strict=True))
+            after = tuple(arcs[s].get(symbol, s) for arcs, s in zip(machines, state, strict=True))
             if after not in number:
                 number[after] = len(number)
                 queue.append(after)
@@ -77,9 +97,8 @@ def compose(*machines) -> tuple[np.ndarray, np.ndarray]:
         table.append(row)
     last = np.zeros((len(number), len(FEATURES)))
     for state, n in number.items():
-        for (_, finals), s in zip(machines, state, strict=True):
-            for name, value in finals.get(s, {}).items():
-                last[n, FEATURES.index(name)] += value
+        for name, value in meaning(*state).items():
+            last[n, FEATURES.index(name)] = value
     return np.array(table), last
 
 
@@ -204,6 +223,25 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 2.0, steps: int = 40
     return w[:-1], float(w[-1])
 
 
+def logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
+def bounded(weights: np.ndarray, shift: float) -> tuple[np.ndarray, float]:
+    """Weights moved as little as the grammar's own rules ask: see ``LONE``, ``TWICE`` and ``AIMED``."""
+    w = dict(zip(FEATURES, map(float, weights), strict=True))
+    one, two = squash(np.array([1.0, 2.0]))
+    w["bare"] = max(w["bare"], (logit(TWICE) - logit(LONE)) / (two - one))
+    shift = min(shift, logit(LONE) - w["bare"] * one)
+    for name in ("violence", "disclaimed"):
+        w[name] = min(w[name], (logit(LONE) - shift) / one)
+    w["bare"] = max(w["bare"], (logit(TWICE) - shift) / two)
+    shift = min(shift, logit(LONE) - w["bare"] * one)
+    for name in ("directed", "menace"):
+        w[name] = max(w[name], (logit(AIMED) - shift) / one)
+    return np.array([w[name] for name in FEATURES]), shift
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Grammar:
     """The grammar with lexicon and weights from at most ``per_class`` labelled documents of each class."""
     rows = sample.labelled(docs, labels, "toxic", learn, per_class)
@@ -219,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
 
     got = rows.select("label", "text").mapInArrow(measure, "x array<double>, label int").collect()  # 2 * per_class rows of few numbers
     if len({r.label for r in got}) == 2:
-        grammar.weights, grammar.shift = fit_weights(np.array([r.x for r in got]), np.array([r.label for r in got], float))
+        grammar.weights, grammar.shift = bounded(*fit_weights(np.array([r.x for r in got]), np.array([r.label for r in got], float)))
     return grammar
 
 

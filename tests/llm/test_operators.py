@@ -468,28 +468,60 @@ def test_quality_classifier(spark):
 
 
 def test_composition_equals_its_parts():
-    machines = (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)
     r = random.Random(2)
-    for _ in range(500):
-        symbols = [r.randrange(6) for _ in range(r.randint(0, 12))]
-        state, own = 0, [0] * len(machines)
-        for s in symbols:
-            state = toxicity.TABLE[state, s]
-            own = [arcs[o].get(s, o) for (arcs, _), o in zip(machines, own, strict=True)]
+    machines = (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)
+    for _ in range(300):
+        symbols = [r.randrange(6) for _ in range(r.randrange(9))]
+        state, own = 0, [0] * 5
+        for x in symbols:
+            state = toxicity.TABLE[state, x]
+            own = [m[o].get(x, o) for m, o in zip(machines, own, strict=True)]
         want = np.zeros(len(toxicity.FEATURES))
-        for (_, finals), o in zip(machines, own, strict=True):
-            for k, v in finals.get(o, {}).items():
-                want[toxicity.FEATURES.index(k)] += v
+        for k, v in toxicity.meaning(*own).items():
+            want[toxicity.FEATURES.index(k)] = v
         assert (toxicity.LAST[state] == want).all()
 
 
+SENTENCES = {
+    "You are an idiot.": True,
+    "I will kill you.": True,
+    "They should burn in hell, all of them.": True,
+    "You pathetic loser": True,
+    "stupid": False,
+    "trash day is Tuesday": False,
+    "The word stupid is in the dictionary.": False,
+    'The word "stupid" is in the dictionary.': False,
+    "You are not stupid.": False,
+    "She never said you were an idiot.": False,
+    "He said they were an idiot.": False,
+    "The clown kills time.": False,
+    "I won't kill the mood": False,
+    "A fine day. Clownfish swim.": False,
+}
+
+
+def check_sentences(grammar):
+    m = grammar.compile()
+    for text, toxic in SENTENCES.items():
+        assert (m.score(text) >= 0.3) == toxic, (text, m.score(text))
+
+
 def test_clauses():
+    check_sentences(toxicity.Grammar())
     m = toxicity.Grammar().compile()
-    plain, negated, said, clean = (m.score(t) for t in ("You are an idiot.", "You are not an idiot.", "He said they were an idiot.", "A fine day. Clownfish swim."))
-    assert plain > 0.5 > clean and plain > negated and plain > said
+    clean = m.score("A fine day. Clownfish swim.")
     assert m.score("") == m.score("idiotic? no such word.") == clean
     assert m.score("ok. you moron! fine") == m.score("you moron")
-    assert m.features("not. you idiot")[toxicity.FEATURES.index("negated")] == 0
+    assert m.features("not. you idiot")[toxicity.FEATURES.index("disclaimed")] == 0
+    assert m.score("stupid. trash") > 0.5 > m.score("not stupid. no trash")
+
+
+def test_bounds_hold_for_any_fit():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        g = toxicity.Grammar()
+        g.weights, g.shift = toxicity.bounded(rng.normal(0, 6, len(toxicity.FEATURES)), float(rng.normal(0, 6)))
+        check_sentences(g)
 
 
 def test_quoted_and_elided_insults_are_read():
@@ -518,6 +550,7 @@ def test_toxicity_learns_words(spark):
     got = rows_of(toxicity.flag(docs, grammar, "__t").select("doc_id", "__t"))
     truth = {i: t for i, _, t in labels}
     assert all((g["__t"] >= 0.3) == bool(truth[g["doc_id"]]) for g in got if g["doc_id"] in truth)
+    check_sentences(grammar)
     bare = toxicity.train(docs, spark.createDataFrame([], LABELS), sample.crc_bucket(4) != 2)
     assert bare.stems == () and bare.shift == toxicity.PRIOR_SHIFT
 
