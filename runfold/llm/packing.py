@@ -8,11 +8,13 @@ the pieces of the same length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -36,9 +38,14 @@ class WordEncoder(dict):
     words' ids in order, and a word that was met before costs one lookup. A new word of
     ASCII and Latin-1 letters, digits and ASCII signs is split by the tokenizer's pattern
     and its parts go to the tokenizer's model; any other word goes through the whole
-    tokenizer. ``limit`` bounds the memory, not the words.
+    tokenizer. ``limit`` bounds the memory, not the words. All this holds for tokenizer files with the rules that are
+    written here; with any other, whole texts go through the tokenizer.
     """
 
+    #: The normalizer and pre-tokenizer of a file whose texts may be split into words, fixed values.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     #: The tokenizer file's pattern for text of these characters.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+"
     COVERED = r"[!-~À-ÖØ-öø-ÿ]+"
@@ -52,6 +59,15 @@ class WordEncoder(dict):
         self.tokens, self.parts, self.covered = self.tokenizer.model.tokenize, re.compile(self.PATTERN).findall, re.compile(self.COVERED).fullmatch
         self.level = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.pieces: dict[str, bytes] = {}
+        self.by_word = self.has_rules(json.loads(Path(path).read_text()))
+
+    def has_rules(self, file: dict) -> bool:
+        """Whether a tokenizer file has the rules that this class knows."""
+        before = file.get("pre_tokenizer") or {}
+        steps = before.get("pretokenizers") or [{}]
+        split = steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": self.SPLIT} and steps[0].get("invert") is True and steps[0].get("behavior") == "Removed"
+        level = [x.get("type") for x in steps[1:]] == ["ByteLevel"] and not steps[-1].get("add_prefix_space") and not steps[-1].get("use_regex")
+        return (file.get("normalizer") or {}).get("normalizers") == self.NORMALIZERS and split and level and all("<|" in x["content"] for x in file.get("added_tokens", []))
 
     def piece(self, piece: str) -> bytes:
         if (got := self.pieces.get(piece)) is None:
@@ -72,7 +88,7 @@ class WordEncoder(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:  # may hold the name of a special token, which has an id of its own
+        if not self.by_word or "<|" in text:  # may hold the name of a special token, which has an id of its own
             return self.whole(text)
         if len(self) > self.limit:
             self.clear()
@@ -139,13 +155,11 @@ def packed(counts: dict[int, int], capacity: int, depth: int) -> list[Pattern]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    done: list[Pattern] = []
+    sums, done = Sums(left), []
     for parts in range(depth + 1):
         for length in range(capacity, 0, -1):
-            while left[length] and (found := complement(left, length, capacity - length, parts)) is not None:
-                need: dict[int, int] = defaultdict(int)
-                for part in (length, *found):
-                    need[part] += 1
+            while left[length] and (found := sums.complement(length, capacity - length, parts)) is not None:
+                need = Counter((length, *found))
                 n = min(int(left[k]) // m for k, m in need.items())
                 done.append(Pattern(sorted(need.items(), reverse=True), n))
                 for k, m in need.items():
@@ -153,39 +167,61 @@ def packed(counts: dict[int, int], capacity: int, depth: int) -> list[Pattern]:
     return done + best_fit([(length, int(left[length])) for length in range(capacity, 0, -1) if left[length]], capacity)
 
 
-def complement(left: np.ndarray, length: int, gap: int, parts: int) -> tuple[int, ...] | None:
-    """``parts`` available lengths that sum to ``gap``, with ``length`` itself in use once; None where there are none."""
-    if parts == 0 or gap == 0:
-        return () if parts == gap == 0 else None
-    free = left[: gap + 1].copy()
-    if length <= gap:
-        free[length] -= 1
-    if parts == 1:
-        return (gap,) if free[gap] > 0 else None
-    if parts == 2:
-        return pair_of(free, gap)
-    for large in np.flatnonzero(free > 0)[::-1]:
-        if large * 3 < gap:
-            break
-        if large < gap - 1:
-            rest = free[: gap - large + 1].copy()
-            if large < len(rest):
-                rest[large] -= 1
-            if found := pair_of(rest, int(gap - large)):
-                return (int(large), *found)
-    return None
-
-
-def pair_of(free: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Two available lengths that sum to ``gap``, the most unequal: in the index by length, where i and gap - i are both free."""
-    pair = (free > 0) & (free[::-1] > 0)
-    pair[0] = pair[-1] = False
-    if gap % 2 == 0 and free[gap // 2] < 2:
-        pair[gap // 2] = False
-    if not pair.any():
+class Sums:
+    """Index of the lengths in ``left`` (how many pieces are available of each) by the sums of one, two and three of them.
+
+    The pairs are hashed by their sum once, the most unequal first; a triple's sum is a length and a pair sum. ``left`` only falls,
+    so an entry with a length that has run out never comes back: each sum has a place from which its entries
+    are looked at, which moves on over them. Memory goes with the square of the number of lengths, at most 2048.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        lengths = np.flatnonzero(left)
+        i, j = np.tril_indices(len(lengths))
+        large, total = lengths[i], lengths[i] + lengths[j]
+        fits = total < len(left)
+        large, total = large[fits], total[fits]
+        order = np.lexsort((-large, total))
+        self.large, self.lengths = large[order], lengths[::-1].tolist()
+        self.begin = np.searchsorted(total[order], np.arange(len(left) + 1)).tolist()
+        self.end, self.triples = self.begin[1:], {}
+        self.begin = self.begin[:-1]
+
+    def complement(self, length: int, gap: int, parts: int) -> tuple[int, ...] | None:
+        """``parts`` available lengths that sum to ``gap``, with ``length`` itself in use once; None where there are none."""
+        if parts == 0 or gap == 0:
+            return () if parts == gap == 0 else None
+        if parts == 1:
+            return (gap,) if self.enough((length, gap)) else None
+        return self.pair(gap, (length,)) if parts == 2 else self.triple(gap, length)
+
+    def enough(self, pieces: tuple[int, ...]) -> bool:
+        return all(self.left[k] >= (m if m > 1 else 1) for k, m in Counter(pieces).items())
+
+    def pair(self, total: int, used: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two available lengths of this sum beside those in use."""
+        at, end, left = self.begin[total], self.end[total], self.left
+        while at < end and not (left[self.large[at]] and left[total - self.large[at]]):
+            at += 1
+        self.begin[total] = at
+        for k in range(at, end):
+            large = int(self.large[k])
+            if self.enough((*used, large, total - large)):
+                return large, total - large
+        return None
+
+    def triple(self, total: int, length: int) -> tuple[int, int, int] | None:
+        """Three available lengths of this sum beside ``length``, the largest first."""
+        if total not in self.triples:
+            self.triples[total] = [c for c in self.lengths if c < total - 1 and 3 * c >= total and self.begin[total - c] < self.end[total - c]]
+        entries = self.triples[total]
+        while entries and not self.left[entries[0]]:
+            entries.pop(0)
+        for c in entries:
+            if self.left[c] and (found := self.pair(total - c, (length, c))):
+                return c, *found
         return None
-    large = int(np.flatnonzero(pair)[-1])
-    return large, gap - large
 
 
 def best_fit(pieces: list[tuple[int, int]], capacity: int) -> list[Pattern]:
