@@ -90,8 +90,8 @@ def unit_hash(*columns: Column, seed: int) -> Column:
 def gapless_rank(df: DataFrame, key: str, counts: dict[int, int], order: list[Column], out: str) -> DataFrame:
     """``df`` with a rank per ``key``, gapless from 0, without gathering a key in one task.
 
-    counts: rows per key; the caller has them already, and their number is bounded. A key
-    with many rows is split by a hash of ``order`` so that no window partition has more than
+    counts: rows per key; the caller has them already, and their number is bounded. ``df`` is read twice and must be a
+    written table, whose rows keep their numbers. A key with many rows is split by a hash of ``order`` and the row's number, so that no window partition has more than
     a small share of a task's even load; ranks inside a part are shifted by the parts before
     it. The parts number at most ``len(counts)`` plus four for each shuffle partition.
     """
@@ -99,7 +99,7 @@ def gapless_rank(df: DataFrame, key: str, counts: dict[int, int], order: list[Co
     goal = max(1, sum(counts.values()) // (4 * shuffle_parts(spark)))
     sizes = [(int(k), math.ceil(n / goal)) for k, n in counts.items() if n] or [(0, 1)]
     parts = spark.createDataFrame(sizes, f"`{key}` long, __parts long")
-    keyed = df.join(F.broadcast(parts), key).withColumn("__part", F.pmod(F.xxhash64(*order), F.col("__parts"))).drop("__parts")
+    keyed = df.join(F.broadcast(parts), key).withColumn("__part", F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.col("__parts"))).drop("__parts")
     filled = sorted(tuple(r) for r in keyed.groupBy(key, "__part").count().collect())
     shifts, key_now, total = [], None, 0
     for k, part, n in filled:
@@ -112,6 +112,24 @@ def gapless_rank(df: DataFrame, key: str, counts: dict[int, int], order: list[Co
     return ranked.join(F.broadcast(shift), [key, "__part"]).withColumn(out, F.col("__rank") + F.col("__shift")).drop("__part", "__rank", "__shift")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, for each of ``sums``, its sum over the rows before in ``order``, which must be total.
+
+    Rows are parted by ranges of the order; what leaves a range is one row of totals, so no task sees more than its range.
+    """
+    spark = df.sparkSession
+    placed = df.withColumns({f"__v_{n}": c for n, c in sums.items()}).repartitionByRange(shuffle_parts(spark), *order).withColumn("__part", F.spark_partition_id())
+    placed = materialize(placed, "ranged")
+    shifts, now = [], [0] * len(sums)
+    for row in placed.groupBy("__part").agg(*[F.sum(f"__v_{n}").alias(n) for n in sums]).orderBy("__part").collect():
+        shifts.append((row["__part"], *map(float, now)))
+        now = [a + b for a, b in zip(now, row[1:], strict=True)]
+    shift = spark.createDataFrame(shifts or [(0, *[0.0] * len(sums))], "__part int, " + ", ".join(f"`__s_{n}` double" for n in sums))
+    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumns({f"__b_{n}": F.coalesce(F.sum(f"__v_{n}").over(before).cast("double"), F.lit(0.0)) for n in sums}).join(F.broadcast(shift), "__part")
+    return out.select(*df.columns, *[(F.col(f"__b_{n}") + F.col(f"__s_{n}")).alias(n) for n in sums])
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts; null is empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -35,20 +35,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     again by weight: with the sources ordered by most * size / weight, those up to some place
     are at their limit and the others share what is left at one common level.
     """
-    one = F.lit(0)
-    by_name = Window.partitionBy(one).orderBy(F.col("source").isNull(), F.col("source"))
-    table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    table = table.withColumn("weight", weight).withColumn("__limit", F.lit(float(most)) * F.col("source_size"))
-    before = Window.partitionBy(one).orderBy(F.col("__limit") / F.col("weight"), F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(one)
-    used, weighed = F.coalesce(F.sum("__limit").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    left = F.sum("source_size").over(whole) - used
-    table = table.withColumn("__level", left / (F.sum("weight").over(whole) - weighed))
+    table = common.materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    by_name = [F.col("source").isNull(), F.col("source")]
+    nth = F.pmod(F.col("__nth").cast("long"), F.lit(len(weights))) + 1
+    table = common.running(table, by_name, {"__nth": F.lit(1)}).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), nth.cast("int")))
+    table = table.withColumn("__limit", F.lit(float(most)) * F.col("source_size"))
+    at = F.col("__limit") / F.col("weight")
+    table = common.running(table, [at, *by_name], {"__used": F.col("__limit"), "__weighed": F.col("weight")})
+    words, weighed = table.agg(F.sum("source_size"), F.sum("weight")).first()
+    table = table.withColumn("__level", (F.lit(words or 0) - F.col("__used")) / (F.lit(weighed or 0.0) - F.col("__weighed")))
     # the level holds from the first source whose limit it does not reach; before that, sources are at their limit
-    reached = F.min(F.when(F.col("__level") * F.col("weight") <= F.col("__limit"), F.struct(F.col("__limit") / F.col("weight"), F.col("__level")))).over(whole)
-    table = table.withColumn("__at", reached["__level"])
-    target = F.least(F.col("__limit"), F.coalesce(F.col("__at") * F.col("weight"), F.col("__limit")))
+    reached = table.where(F.col("__level") * F.col("weight") <= F.col("__limit")).agg(F.min_by("__level", at)).first()[0]
+    target = F.least(F.col("__limit"), F.coalesce(F.lit(reached).cast("double") * F.col("weight"), F.col("__limit")))
     return table.select("source", "source_size", target.alias("target"))
 
 
@@ -107,7 +105,7 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, se
     at_cut = rows.where(F.col("__band") == F.col("cut_band")).withColumn("__through", F.col("before") + F.sum("size").over(nth.rowsBetween(Window.unboundedPreceding, 0)))
     at_cut = at_cut.withColumn("__more", F.col("__through") - F.col("size") / 2.0 <= F.col("due")).drop("__through")
     others = rows.where(F.col("__band").isNull() | (F.col("__band") != F.col("cut_band"))).withColumn("__more", F.col("__certain") | F.coalesce(F.col("__band") < F.col("cut_band"), F.lit(False)))
-    decided = common.materialize(others.unionByName(at_cut).drop("cut_band", "before"), "decided")
+    decided = common.materialize(others.unionByName(at_cut).drop("cut_band", "before").withColumn("__row", F.monotonically_increasing_id()), "decided")
     decided = fit_last(decided)
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("__more").cast("long")).otherwise(F.lit(0).cast("long"))
     return decided.withColumn("copies", copies).select("doc_id", "source", "key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -117,15 +115,16 @@ def fit_last(rows: DataFrame) -> DataFrame:
     """Change the choice of one drawn document of a source where this brings its words nearer to what is due.
 
     A source of few documents can miss its target by half its largest document; of the changes that
-    are best, the document first in order is taken.
+    are best, the document first in order is taken, and of rows that are equal in all, one. So one document a source may
+    depart from Pareto order. rows: a written table, in which ``__row`` numbers the rows.
     """
     drawn = rows.where("__band is not null")
     gaps = common.materialize(drawn.groupBy("source", "due").agg(F.sum(F.when(F.col("__more"), F.col("size")).otherwise(0)).alias("words")).select("source", (F.col("due") - F.col("words")).alias("gap")), "gaps")
     change = F.when(F.col("__more"), -F.col("size")).otherwise(F.col("size"))
     miss = F.abs(F.col("gap") - change)
-    best = with_source(drawn, gaps).where(miss < F.abs("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("__q").alias("q"), F.col("doc_id").alias("id"), F.col("key").alias("k"))).alias("best"))
+    best = with_source(drawn, gaps).where(miss < F.abs("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("__q").alias("q"), F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("__row").alias("row"))).alias("best"))
     every = common.materialize(rows.select("source").distinct().join(best.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "best"), "best")
-    flip = F.col("best").isNotNull() & (F.col("__q") == F.col("best.q")) & F.col("doc_id").eqNullSafe(F.col("best.id")) & F.col("key").eqNullSafe(F.col("best.k"))
+    flip = F.col("__row") == F.col("best.row")
     return with_source(rows, every).withColumn("__more", F.when(F.coalesce(flip, F.lit(False)), ~F.col("__more")).otherwise(F.col("__more")))
 
 
@@ -163,10 +162,10 @@ c AS (SELECT s.doc_id, s.source, s.size, s.key, t.* EXCLUDE (source), theta * si
 q AS (SELECT *, CASE WHEN drawn THEN o / (1::DOUBLE + o) END AS q, NOT drawn AND size > largest AND base < {most} AND due > -0.5::DOUBLE AS certain FROM (SELECT *, size > 0 AND size <= largest AND chance > 0 AND chance < 1 AS drawn, CASE WHEN size > 0 AND size <= largest AND chance > 0 AND chance < 1 THEN (u / (1::DOUBLE - u)) / (chance / (1::DOUBLE - chance)) END AS o FROM c)),
 p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(q * {BANDS})) AS through_band, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS FIRST, key ROWS UNBOUNDED PRECEDING) AS through FROM q WHERE drawn),
 cut AS (SELECT source, min(floor(q * {BANDS})) FILTER (through_band >= due) AS band FROM p GROUP BY 1),
-d AS (SELECT p.*, CASE WHEN floor(q * {BANDS}) < coalesce(band, {BANDS + 1}) THEN true WHEN floor(q * {BANDS}) = band THEN through - size / 2.0::DOUBLE <= due ELSE false END AS more FROM p JOIN cut ON p.source {same} cut.source),
+d AS (SELECT p.*, row_number() OVER (PARTITION BY p.source, q, doc_id, key) AS twin, CASE WHEN floor(q * {BANDS}) < coalesce(band, {BANDS + 1}) THEN true WHEN floor(q * {BANDS}) = band THEN through - size / 2.0::DOUBLE <= due ELSE false END AS more FROM p JOIN cut ON p.source {same} cut.source),
 g AS (SELECT source, any_value(due) - sum(CASE WHEN more THEN size ELSE 0 END) AS gap FROM d GROUP BY 1),
 m AS (SELECT d.*, gap, abs(gap - CASE WHEN more THEN -size ELSE size END) AS miss FROM d JOIN g ON d.source {same} g.source),
-b AS (SELECT source, q, doc_id, key FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, q, doc_id NULLS FIRST, key) AS n FROM m WHERE miss < abs(gap)) WHERE n = 1),
-f AS (SELECT d.doc_id, d.source, d.key, d.size, d.source_size, d.target, d.base, CASE WHEN b.q IS NULL THEN more ELSE NOT more END AS more FROM d LEFT JOIN b ON d.source {same} b.source AND d.q = b.q AND d.doc_id {same} b.doc_id AND d.key = b.key
+b AS (SELECT source, q, doc_id, key, twin FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, q, doc_id NULLS FIRST, key, twin) AS n FROM m WHERE miss < abs(gap)) WHERE n = 1),
+f AS (SELECT d.doc_id, d.source, d.key, d.size, d.source_size, d.target, d.base, CASE WHEN b.q IS NULL THEN more ELSE NOT more END AS more FROM d LEFT JOIN b ON d.source {same} b.source AND d.q = b.q AND d.doc_id {same} b.doc_id AND d.key = b.key AND d.twin = b.twin
   UNION ALL SELECT doc_id, source, key, size, source_size, target, base, certain FROM q WHERE NOT drawn)
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN base + more::BIGINT ELSE 0 END * size AS taken, source, CASE WHEN size > 0 THEN base + more::BIGINT ELSE 0 END AS copies FROM f"""
