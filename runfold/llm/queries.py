@@ -9,6 +9,10 @@ from runfold.llm import audio, minhash, mixing, packing, perplexity, quality_cnn
 from runfold.session import ship
 
 
+#: Rate of the PCM that op7 stores: a quarter of the operator's default, as disk is limited to 1.5 times the input.
+PCM_RATE = 4000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,7 +72,7 @@ def op4_ngram_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_documents(table(spark, sf_dir, "documents"))
+    return audio.media_documents(table(spark, sf_dir, "documents"), PCM_RATE)
 
 
 def op10_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from runfold.llm import audio, minhash, mixing, packing, perplexity, quality_cnn, sample, sharding, toxicity, url_filter, warc
+from runfold.llm import audio, common, minhash, mixing, packing, perplexity, quality_cnn, sample, sharding, toxicity, url_filter, warc
 from runfold.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,6 +54,46 @@ def test_word_encoder_equals_the_tokenizer():
         assert words.encode(t) == array("I", whole.encode(t, add_special_tokens=False).ids).tobytes(), t
 
 
+def test_other_tokenizers_are_not_split(tmp_path):
+    """A tokenizer file with other rules, here one that keeps capitals, gives its own ids."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path()) as f:
+        file = json.load(f)
+    file["normalizer"]["normalizers"].pop()
+    path = f"{tmp_path}/other.json"
+    with open(path, "w") as f:
+        json.dump(file, f)
+    whole, other, own = Tokenizer.from_file(path), packing.WordEncoder(path), packing.WordEncoder(tokenizer_path())
+    assert own.by_word and not other.by_word
+    for t in ("Some CAPITALS here", "x  y", ""):
+        assert other.encode(t) == array("I", whole.encode(t, add_special_tokens=False).ids).tobytes()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sums_find_what_a_search_finds(seed):
+    import itertools
+
+    r = random.Random(seed)
+    left = np.zeros(31, np.int64)
+    for _ in range(14):
+        left[r.randint(1, 30)] += r.randint(1, 2)
+    sums = packing.Sums(left)
+    for _ in range(60):
+        length = r.choice(np.flatnonzero(left).tolist() or [1])
+        if not left[length]:
+            break
+        for parts in (1, 2, 3):
+            found = sums.complement(length, 30 - length, parts)
+            pool = [k for k in range(1, 31) for _ in range(int(left[k]) - (k == length))]
+            assert (found is not None) == any(sum(c) == 30 - length for c in itertools.combinations(pool, parts))
+            if found:
+                assert sum(found) == 30 - length and all(left[k] >= n for k, n in collections.Counter((length, *found)).items())
+        left[length] -= 1
+
+
 def test_pack(spark):
     from tokenizers import Tokenizer
 
@@ -199,9 +239,35 @@ PAGES = [
     (None, "http://friend.net/z", ""),
     (5, "http://friend.net/", "x"),
     (12, "http://org/", ""),
+    (13, "http://u:p@evil.com:8080/x", "<a href='http://me@target.biz:81/'>"),
+    (14, "http://target.biz/", None),
 ]
 
 
+def test_page_rank_equals_many_plain_rounds(spark):
+    """A long chain with dead ends and two parts: the same scores as 400 rounds of the rule, dead ends giving back to the seeds."""
+    edges = [(f"h{i}", f"h{i + 1}", 1 + i % 3) for i in range(40)] + [("h3", "x", 2), ("y", "h0", 1), ("h9", "h2", 5)]
+    seeds = [("trust", "h0", 3.0), ("trust", "y", 1.0), ("distrust", "h40", 2.0)]
+    got = {(r.kind, r.host): r.score for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "kind string, host string, score double")).collect()}
+    for kind in ("trust", "distrust"):
+        out = collections.defaultdict(list)
+        for a, b, n in edges:
+            out[a if kind == "trust" else b].append((b if kind == "trust" else a, n))
+        base = {h: s / sum(x for k, _, x in seeds if k == kind) for k, h, s in seeds if k == kind}
+        rank = dict(base)
+        for _ in range(400):
+            after = collections.defaultdict(float)
+            lost = sum(s for h, s in rank.items() if not out[h])
+            for h, s in base.items():
+                after[h] += (0.15 + 0.85 * lost) * s
+            for h, s in rank.items():
+                for to, n in out[h]:
+                    after[to] += 0.85 * s * n / sum(m for _, m in out[h])
+            rank = after
+        assert {h for k, h in got if k == kind} >= {h for h, s in rank.items() if s > 1e-12}
+        assert all(abs(got.get((kind, h), 0) - s) < 1e-6 for h, s in rank.items())
+
+
 def test_url_filter(spark):
     pages = frame(spark, PAGES, "page_id long, url string, html string")
     got = url_filter.filter_urls(pages).toPandas()
@@ -216,6 +282,7 @@ def test_url_filter(spark):
     assert by[8]["verdict"] == "block" and by[8]["rule"] is None  # a blocked host's other page
     assert by[6]["verdict"] == "block"  # links to blocked pages
     assert by[5]["verdict"] == "allow" and by[9]["verdict"] == "allow" and by[9]["host"] == ""
+    assert by[13]["verdict"] == "block" and by[13]["host"] == "u:p@evil.com:8080"  # the same host in the graph
     assert url_filter.filter_urls(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
@@ -591,16 +658,28 @@ def test_adpcm_blocks_and_round_trip():
 
 
 def test_media_documents(spark):
+    """Each codec through the query, against its own plain decoder."""
     docs = corpus()
-    got = rows_of(audio.media_documents(frame(spark, docs)))
+    got = rows_of(audio.media_documents(frame(spark, docs), 4000))
     assert len(got) == len(docs)
-    by = {d[0]: d[1] or "" for d in docs}
+    by, seen = {d[0]: d[1] or "" for d in docs}, set()
     for g in got:
         raw = by[g["doc_id"]].encode()
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (g["n_bytes"], g["payload_bytes"]) == (len(raw), len(payload))
         assert g["payload_sha256"] == hashlib.sha256(payload).hexdigest() and g["tail_crc32"] == zlib.crc32(payload[-64:])
-        assert g["media_sha256"] == hashlib.sha256(audio.wave(audio.MULAW, payload)).hexdigest()
+        codec = zlib.crc32(payload) % 3
+        seen.add(codec)
+        if codec == 2:
+            media = audio.wave(audio.IMA_ADPCM, payload, 8000, 4, 64, b"\x79\0")
+            samples = [v for i in range(0, len(payload), 64) for v in one_block(payload[i : i + 64])]
+        else:
+            media = audio.wave((audio.MULAW, audio.ALAW)[codec], payload)
+            samples = [int((audio.MULAW_TABLE, audio.ALAW_TABLE)[codec][c]) for c in payload]
+        assert g["media_sha256"] == hashlib.sha256(media).hexdigest() and g["media_bytes"] == len(media)
+        pcm = np.array(samples[::2], "<i2")  # half the rate
+        assert g["feature"].startswith(f"rate=4000 n={len(pcm)} peak={max(abs(int(x)) for x in pcm)} ") and g["feature"].endswith(f"pcm={zlib.crc32(pcm.tobytes()):08x}")
+    assert seen == {0, 1, 2}
     rows = spark.createDataFrame([(1, audio.wave(audio.ALAW, bytes(range(256)))), (2, None), (3, b"junk")], "id long, media binary")
     pcm = {r["id"]: r["pcm"] for r in audio.pcm_column(rows).collect()}
     assert pcm[2] is None and pcm[3] is None and len(audio.decode(bytes(pcm[1]))[0]) == 512
@@ -645,6 +724,36 @@ def test_mix(spark):
     assert mixing.mix_documents(frame(spark, [])).count() == 0
 
 
+def against_sql(spark, docs, got):
+    con = duckdb.connect()
+    con.register("documents", frame(spark, docs, clash=False).toPandas())
+    want = con.execute(mixing.oracle()).df()
+    count = lambda rows: collections.Counter((None if r["doc_id"] is None or r["doc_id"] != r["doc_id"] else int(r["doc_id"]), r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in rows)
+    assert count(got) == count(want.to_dict("records"))
+
+
+def test_mix_equals_its_sql_on_repeated_rows(spark):
+    """Rows equal in all that the mix looks at: one of them changes, not all."""
+    r = random.Random(3)
+    docs = [(1, " ".join(["w"] * 10), "en", "a", 1)] * 6 + [(i, " ".join(["w"] * r.randint(1, 40)), "en", r.choice("abc"), 1) for i in range(10, 60)]
+    docs += [(2, " ".join(["v"] * 30), "en", "b", 1)] * 20
+    got = rows_of(mixing.mix_documents(frame(spark, docs, clash=False)))
+    against_sql(spark, docs, got)
+    rows = spark.createDataFrame([(1, "a", 10, "k")] * 6 + [(2, "b", 30, "k")], "doc_id long, source string, size long, key string")
+    taken = collections.Counter()
+    for g in rows_of(mixing.mix(rows, (7.0, 2.0))):
+        taken[g["source"]] += g["taken"]
+    assert taken["a"] == 70 and taken["b"] == 30  # targets 70 and 20
+
+
+def test_running_sums(spark):
+    rows = [(r, r * 3) for r in range(500)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "n long, v long").repartition(5)
+    got = common.running(df, [common.F.col("n").desc()], {"before": common.F.col("v"), "nth": common.F.lit(1)}).collect()
+    assert all((r.before, r.nth) == (sum(3 * x for x in range(r.n + 1, 500)), 499 - r.n) for r in got) and len(got) == 500
+
+
 def test_large_documents_are_more_likely(spark):
     rows = spark.createDataFrame([(i, "a" if i < 3000 else "b", 10 if i % 2 else 40, "k") for i in range(6000)], "doc_id long, source string, size long, key string")
     got = rows_of(mixing.mix(rows, (1.0, 4.0)))
