@@ -32,12 +32,12 @@ from runfold.llm import common
 from runfold.session import ship
 
 BANDS, ROWS = 32, 5
-#: Classes in a block of step 4, and members of a centre that share one copy of it.
-BLOCK, STAR = 2048, 256
+#: Classes and shingles in a block of step 4 (16 classes at least), and members of a centre that share one copy of it.
+BLOCK, SHINGLES, STAR = 1024, 2_000_000, 256
 #: Probability that a pair at the threshold is lost to the comparison of minima.
 MISS = 1e-6
 #: So many ids, or rows of three numbers, at most are sent to every executor.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = np.random.default_rng(1).integers(1, 1 << 64, 256, np.uint64) | np.uint64(1)
@@ -211,20 +211,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def size_base(percent: int) -> float:
+    return max(math.log(100 / percent), 1e-3) * (1 + 1e-9)
+
+
 def size_class(n: Column, percent: int) -> Column:
     """Classes of set sizes such that two sets of the similarity are in one class or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / (max(math.log(100 / percent), 1e-3) * (1 + 1e-9))).cast("int")
+    return F.floor(F.log(n.cast("double")) / size_base(percent)).cast("int")
 
 
 def inside_blocks(members: DataFrame, main: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Step 4: pairs (a, b) of different components of a bucket whose minima agree often enough, each once.
+    """Step 4: the classes with a partner in each block of a bucket: rows (bucket, i, j, rep, component, minima, block).
 
     members: (bucket, rep, component, n_shingles, minima); main: (bucket, main), its largest component.
     A bucket is parted by `size_class` and by whether a class is of the main component, and each part into blocks.
     Blocks meet those of the same and of the neighbouring size classes, but main ones do not meet each other. A class goes
     to as many tasks as there are blocks that it meets, with its minima only.
     """
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    room = lambda part: F.least(F.lit(float(BLOCK)), F.greatest(F.lit(16.0), SHINGLES / F.exp((F.floor(part / 2) + 1) * size_base(percent))))
+    blocks = lambda part, n: F.ceil(n / room(part)).cast("int")
     placed = members.join(main, "bucket").withColumn("part", 2 * size_class(F.col("n_shingles"), percent) + (F.col("component") == F.col("main")).cast("int")).drop("main")
     parts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.collect_list(F.struct("part", "n")).alias("parts"))
     placed = placed.join(parts, "bucket")
@@ -232,24 +237,38 @@ def inside_blocks(members: DataFrame, main: DataFrame, percent: int, bands: int)
     own = F.filter("parts", lambda p: p["part"] == F.col("part"))[0]["n"]
     near = lambda p: F.abs(F.floor(p["part"] / 2) - F.floor(F.col("part") / 2)) <= 1
     met = F.filter("parts", lambda p: near(p) & ((p["part"] % 2 == 0) | (F.col("part") % 2 == 0)) & ((p["part"] != F.col("part")) | (p["n"] > 1)))
-    others = F.flatten(F.transform(met, lambda p: F.transform(F.sequence(F.lit(0), blocks(p["n"]) - 1), lambda k: number(p["part"], k))))
-    placed = placed.withColumn("block", number(F.col("part"), F.pmod(F.xxhash64("rep"), blocks(own))))
+    others = F.flatten(F.transform(met, lambda p: F.transform(F.sequence(F.lit(0), blocks(p["part"], p["n"]) - 1), lambda k: number(p["part"], k))))
+    placed = placed.withColumn("block", number(F.col("part"), F.pmod(F.xxhash64("rep"), blocks(F.col("part"), own))))
     dealt = placed.select("bucket", "rep", "component", "minima", "block", F.explode(others).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "block", "minima")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "minima", "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for rows in runs_of(batches, ("bucket", "i", "j")):
-            for pair in block_pairs(rows, percent, bands):
-                found.append(pair)
-                if len(found) >= 10_000:
-                    yield pairs_batch(found)
-                    found = []
-        yield pairs_batch(found)
+        for rows in runs_of(batches, CELL):
+            some = sorted({n for x, ys in partners(rows, percent, bands) for n in (x, *ys)})
+            if some:
+                yield pa.RecordBatch.from_pylist([rows[n] for n in some], PARTNERS)
 
     # dealt by block as well: a hot bucket's blocks go to many tasks
-    keys = ("bucket", "i", "j")
-    return dealt.repartition(common.shuffle_parts(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    return dealt.repartition(common.shuffle_parts(members.sparkSession), *CELL).sortWithinPartitions(*CELL).mapInArrow(compare, "bucket long, i long, j long, rep long, component long, minima binary, block long")
+
+
+CELL = ("bucket", "i", "j")
+PARTNERS = pa.schema([("bucket", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("rep", pa.int64()), ("component", pa.int64()), ("minima", pa.binary()), ("block", pa.int64())])
+
+
+def partner_links(found: DataFrame, texts: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
+    """Links (a, b) between components, no more than connect them in a block; found: rows of `inside_blocks`, texts: (id, data)."""
+    reps = common.materialize(found.select(F.col("rep").alias("id")).distinct(), "reps")
+    texts = texts.join(F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps, "id", "left_semi")
+    joined = found.join(texts, found["rep"] == texts["id"]).drop("id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, CELL):
+            links = block_links(rows, k, percent, bands)
+            if links:
+                yield pairs_batch(links)
+
+    return joined.repartition(common.shuffle_parts(found.sparkSession), *CELL).sortWithinPartitions(*CELL).mapInArrow(compare, "a long, b long")
 
 
 def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -270,28 +289,56 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield run
 
 
-def block_pairs(rows: list[dict], percent: int, bands: int) -> Iterator[tuple[int, int]]:
-    """Pairs of different components between two blocks of a bucket that their minima leave.
+def partners(rows: list[dict], percent: int, bands: int) -> Iterator[tuple[int, list[int]]]:
+    """Between two blocks of a bucket, for each row those of other components whose minima agree often enough, the nearest first.
 
-    A pair that shares several bands is emitted from the first one's bucket alone: both its
+    A pair that shares several bands is looked at in the first one's bucket alone: both its
     classes are there, and with them in different components that bucket is open too.
     """
     m = np.stack([np.frombuffer(r["minima"], np.uint16) for r in rows])
-    block, component, rep = (np.array([r[c] for r in rows], np.int64) for c in ("block", "component", "rep"))
+    block, component = (np.array([r[c] for r in rows], np.int64) for c in ("block", "component"))
     i, j, band = rows[0]["i"], rows[0]["j"], rows[0]["bucket"] & ((1 << max(1, (bands - 1).bit_length())) - 1)
     low = least_matches(m.shape[1], percent)
     xs, ys = np.flatnonzero(block == i), np.flatnonzero(block == j)
     right, theirs = m[ys], component[ys]
     for x in xs:
         equal = right == m[x]
-        good = (np.count_nonzero(equal, axis=1) >= low) & (theirs != component[x])
+        same = np.count_nonzero(equal, axis=1)
+        good = (same >= low) & (theirs != component[x])
         if i == j:
             good &= ys > x
         hit = np.flatnonzero(good)
         if len(hit):
             first = equal[hit].reshape(len(hit), bands, -1).all(axis=2).argmax(axis=1)
-            for y in ys[hit[first == band]]:
-                yield int(rep[x]), int(rep[y])
+            hit = hit[first == band]
+            if len(hit):
+                yield int(x), ys[hit[np.argsort(-same[hit], kind="stable")]].tolist()
+
+
+def block_links(rows: list[dict], k: int, percent: int, bands: int) -> list[tuple[int, int]]:
+    """Links between the components of two blocks, confirmed on full sets, no more than connect them."""
+    head: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in head:
+            c = head[c]
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+
+    def of(n: int) -> np.ndarray:
+        if n not in sets:
+            sets[n] = shingle_set(rows[n]["data"] or "", k)
+        return sets[n]
+
+    links = []
+    for x, ys in partners(rows, percent, bands):
+        for y in ys:
+            a, b = root(rows[x]["component"]), root(rows[y]["component"])
+            if a != b and alike(of(x), of(y), percent):
+                head[b] = a
+                links.append((rows[x]["rep"], rows[y]["rep"]))
+    return links
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -342,7 +389,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     rest = common.materialize(inside_blocks(members, open_, percent, bands), "rest")
     common.drop(banded, centres, shared, labelled, open_, reps, likely)
     if not rest.isEmpty():
-        more = common.materialize(alike_texts(rest, texts, k, percent), "confirmed")
+        more = common.materialize(partner_links(rest, texts, k, percent, bands), "confirmed")
         if not more.isEmpty():
             found = common.materialize(components(links.unionByName(more)), "components")
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

@@ -339,9 +339,6 @@ def test_kneser_ney_by_hand():
     assert np.allclose(np.exp(model.logp(probe)), [prob(3, int(k)) for k in probe], rtol=1e-4)
 
 
-NOT_HEAVY = perplexity.Heavy(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
 def word_model():
     r = random.Random(6)
     names = ["the", "cat", "a", "dog", "Sat", "über", "ran", "x1"]
@@ -350,69 +347,102 @@ def word_model():
     return texts, perplexity.fit(np.array(sorted(tri)), np.array([tri[k] for k in sorted(tri)]))
 
 
-def test_word_bigrams_by_hand():
-    """The sum of each document's log-probabilities as the formula has it, over dictionaries, with any cut into chunks."""
-    texts, model = word_model()
+def scores_by_hand(texts, model):
+    """The sum of each document's log-probabilities over dictionaries, each document left out of the counts of its own bigrams."""
     lists = [["", *t.lower().split()] for t in texts]
-    bi = collections.Counter(p for w in lists for p in zip(w[:-1], w[1:], strict=True))
-    d = perplexity.discounts(np.array(list(bi.values())))
+    pairs = [list(zip(w[:-1], w[1:], strict=True)) for w in lists]
+    bi = collections.Counter(p for x in pairs for p in x)
+    followed = collections.Counter(b for _, b in bi)
+    d2, d1 = perplexity.discounts(np.array(list(bi.values()))), perplexity.discounts(np.array(list(followed.values())))
     total, left = collections.Counter(), collections.Counter()
     for (a, _), n in bi.items():
         total[a] += n
-        left[a] += d[min(n, 3)]
-    spell = {b: math.exp(perplexity.STEP * round(model.spelling([b])[0] / perplexity.STEP)) for _, b in bi}
-    want = [sum(math.log((bi[p] - d[min(bi[p], 3)] + left[p[0]] * spell[p[1]]) / total[p[0]]) for p in zip(w[:-1], w[1:], strict=True)) for w in lists]
-    rows = [(i, "en", t) for i, t in enumerate(texts)]
-    for step in (7, 60):
-        blocks = [b for at in range(0, 60, step) for _, b in perplexity.chunk_blocks(rows[at : at + step], model, 1, NOT_HEAVY)]
-        got, words = collections.Counter(), 0
-        for ids, sums, n in perplexity.bucket_scores(blocks, NOT_HEAVY):
-            words += n.sum()
-            for i, s in zip(ids.tolist(), sums, strict=True):
-                got[i] += s
-        assert np.allclose([got[i] for i in range(60)], want, rtol=1e-4)
-        assert words == sum(len(w) - 1 for w in lists)
-
-
-def test_heavy_context_is_split():
-    """A heavy context's words go to several buckets, with the context's whole total; no word is lost."""
+        left[a] += d2[min(n, 3)]
+    left1 = sum(d1[min(n, 3)] for n in followed.values()) / len(bi)
+    spell = {b: math.exp(perplexity.STEP * round(model.spelling([b])[0] / perplexity.STEP)) for b in followed}
+    want = []
+    for x in pairs:
+        own, s = collections.Counter(x), 0.0
+        for p in x:
+            n, rest = bi[p] - own[p], total[p[0]] - own[p]
+            k = followed[p[1]] - (n == 0)
+            p1 = (k - d1[min(k, 3)]) / len(bi) + left1 * spell[p[1]]
+            s += math.log((n - d2[min(n, 3)]) / rest + min(left[p[0]] / rest, 1) * p1 if rest else p1)
+        want.append(s)
+    return want
+
+
+def scores_in_buckets(texts, model, buckets, step, heavy):
+    blocks, of = [], collections.defaultdict(list)
+    for at in range(0, len(texts), step):
+        rows = [(i, texts[i], 1) for i in range(at, min(at + step, len(texts)))]
+        for bucket, block in perplexity.chunk_blocks(rows, "en", model, buckets, heavy):
+            of[bucket].append((at, block))
+    split = np.array(sorted({k >> 32 for k in heavy}), np.uint64)
+    names = [x.split()[0] for x in perplexity.QUESTIONS.split(", ")]
+    asked = [dict(zip(names, q, strict=True)) for n, found in of.items() for q in perplexity.questions("en", n, perplexity.Bucket([b for _, b in found]), 3, split)]
+    told = [dict(zip(names, t, strict=True)) for part in range(3) for t in perplexity.answers([q for q in asked if q["part"] == part])]
+    got = np.zeros(len(texts))
+    for n, found in of.items():
+        for (at, _), (places, sums) in zip(found, perplexity.bucket_scores([b for _, b in found], [t for t in told if t["bucket"] == n]), strict=True):
+            got[at + np.cumsum(np.frombuffer(places, np.uint32))] += np.frombuffer(sums, np.float32)
+    return got, of
+
+
+def test_word_scores_by_hand():
+    """The formula over dictionaries, with any cut into chunks and buckets, and contexts that are split."""
     texts, model = word_model()
-    rows = [(i, "en", t) for i, t in enumerate(texts)]
-    contexts = collections.Counter(c for t in texts for c in perplexity.contexts_of(word_hashes_of(t), "en").tolist())
-    buckets, total = 8, sum(contexts.values())
-    hot = sorted(c for c, n in contexts.items() if n * buckets > total)
+    want = scores_by_hand(texts, model)
+    contexts = collections.Counter(c for t in texts for c in perplexity.contexts_of(minhash.word_hashes(t), "en").tolist())
+    hot = {c: 4 for c, n in contexts.items() if n * 8 > sum(contexts.values())}
     assert hot
-    heavy = perplexity.Heavy(np.array(hot, np.uint64), np.array([contexts[c] for c in hot]), np.array([-(-contexts[c] * buckets // total) for c in hot]))
-    of = collections.defaultdict(list)
-    for bucket, block in perplexity.chunk_blocks(rows, model, buckets, heavy):
-        of[bucket].append(block)
-    places = collections.defaultdict(set)
-    words = 0
-    for bucket, blocks in of.items():
-        for block in blocks:
-            for place in set(perplexity.unpacked(block)[2].tolist()) - {0}:
-                places[place].add(bucket)
-        for _, sums, n in perplexity.bucket_scores(blocks, heavy):
-            words += n.sum()
-            assert (sums < 0).all()
-    assert words == total and max(map(len, places.values())) > 1
-
-
-def word_hashes_of(text):
-    return minhash.word_hashes(text)
-
-
-def test_heavy_contexts(spark):
-    """Those with more than a bucket's share of all words, with exact totals, over any partitions."""
+    for buckets, step, heavy in ((1, 60, {}), (1, 7, {}), (5, 60, {}), (8, 13, {}), (8, 13, hot), (8, 60, hot)):
+        got, of = scores_in_buckets(texts, model, buckets, step, heavy)
+        assert np.allclose(got, want, rtol=1e-4), (buckets, step)
+        assert len(of) > 1 or buckets == 1
+
+
+def test_bucket_memory_is_bounded():
+    """A bucket of BUCKET_BYTES of text, all words rare, takes less than 300 MB."""
+    import tracemalloc
+
+    _, model = word_model()
+    r, blocks = random.Random(1), []
+    for at in range(0, perplexity.BUCKET_BYTES, perplexity.CHUNK_CHARS):
+        rows = [(i, " ".join(f"w{r.randrange(200_000)}" for _ in range(330)), 1) for i in range(perplexity.CHUNK_CHARS // 2000)]
+        tracemalloc.start()
+        blocks += [b for _, b in perplexity.chunk_blocks(rows, "en", model, 1, {})]
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20
+        tracemalloc.stop()
+    names = [x.split()[0] for x in perplexity.QUESTIONS.split(", ")]
+    tracemalloc.start()
+    asked = [dict(zip(names, q, strict=True)) for q in perplexity.questions("en", 0, perplexity.Bucket(blocks), 1, np.zeros(0, np.uint64))]
+    told = [dict(zip(names, t, strict=True)) for t in perplexity.answers(asked)]
+    for _ in perplexity.bucket_scores(blocks, told):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_frequent_contexts(spark):
+    """Those with more than a bucket's share of all words are split, over any partitions; no small bucket count splits any."""
     texts, _ = word_model()
-    n = collections.Counter(c for t in texts for c in perplexity.contexts_of(word_hashes_of(t), "en").tolist())
-    total = sum(n.values())
-    for parts in (1, 7, 60):
-        docs = spark.createDataFrame([("en", t) for t in texts], "model string, text string").repartition(parts)
-        for buckets in (4, 16):
-            heavy = perplexity.heavy_contexts(docs, buckets)
-            assert dict(zip(heavy.keys.tolist(), heavy.totals.tolist(), strict=True)) == {k: v for k, v in n.items() if v * buckets > total}
-    assert len(perplexity.heavy_contexts(docs.limit(0), 4).keys) == 0
+    n = collections.Counter(c for t in texts for c in perplexity.contexts_of(minhash.word_hashes(t), "en").tolist())
+    for parts in (1, 7):
+        docs = spark.createDataFrame([("en", 16, t, 1) for t in texts], "model string, buckets long, text string, copies long").repartition(parts)
+        heavy = perplexity.frequent_contexts(docs)
+        assert heavy.keys() >= {k for k, v in n.items() if v * 16 > sum(n.values())} and all(1 < v <= 16 for v in heavy.values())
+    assert perplexity.frequent_contexts(docs.withColumn("buckets", perplexity.F.lit(1).cast("long"))) == {}
+
+
+def test_blocks_are_shuffled_once(spark):
+    texts, model = word_model()
+    docs = spark.createDataFrame([(i, "en", 2, t, 1) for i, t in enumerate(texts)], "row_key long, model string, buckets long, text string, copies long")
+    scored = perplexity.word_scores(perplexity.bigram_blocks(docs, {"en": model}, {}), {"en": 2}, {})
+    got = {r.row_key: r.total for r in scored.collect()}
+    assert np.allclose([got[i] for i in range(60)], scores_by_hand(texts, model), rtol=1e-4)
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow pack") == 1 and "ReusedExchange" in plan
 
 
 def test_quality_rules(spark):
@@ -430,8 +460,9 @@ def test_quality_rules(spark):
     many = [(i, prose(random.Random(i), 200), "en", "a", 1) for i in range(80)]
     kept = {g["doc_id"]: g["kept"] for g in rows_of(perplexity.quality_rules(frame(spark, many + noise)))}
     assert not kept[9000] and all(v for k, v in kept.items() if k != 9000)
-    cut = {g["doc_id"]: g for g in rows_of(perplexity.quality_rules(frame(spark, many + noise), bucket_bytes=2000))}
+    one, cut = ({g["doc_id"]: g for g in rows_of(perplexity.quality_rules(frame(spark, many + noise), bucket_bytes=n))} for n in (1 << 30, 3000))
     assert len(cut) == 81 and not cut[9000]["kept"] and all(g["perplexity"] > 1 for g in cut.values())
+    assert all(cut[k]["kept"] == g["kept"] and math.isclose(cut[k]["perplexity"], g["perplexity"], rel_tol=1e-5) for k, g in one.items())
     # a row twice, and rows that share an id, are judged like others
     again = rows_of(perplexity.quality_rules(frame(spark, [*many, *many[:5], (0, None, None, None, 0), (None, "a b " * 60, None, None, 0)])))
     assert len(again) == 87 and len({(g["doc_id"], g["n_words"], g["perplexity"]) for g in again}) == 82
@@ -863,8 +894,20 @@ def test_bucket_of_many_unlinked_classes(spark):
         m[2 * i + 1, rng.choice(np.arange(85, 160), 20, False)] += 1
     members = spark.createDataFrame([(0, i, i, 100 + i // 2 % 50, x.tobytes()) for i, x in enumerate(m)], "bucket long, rep long, component long, n_shingles long, minima binary")
     main = spark.createDataFrame([(0, n - 1)], "bucket long, main long")
-    got = sorted(tuple(sorted(r)) for r in minhash.inside_blocks(members, main, 80, bands).collect())
-    assert got == [(2 * i, 2 * i + 1) for i in range(50)]
+    got = minhash.inside_blocks(members, main, 80, bands).collect()
+    assert sorted(r.rep for r in got) == list(range(100)) and all(r.component == r.rep for r in got)
+
+
+def test_near_copies_leave_a_block_as_links_only(spark):
+    """A group of near copies that all fit each other: as many links as connect it."""
+    r = random.Random(2)
+    base = prose(r, 60).split()
+    texts = [" ".join(base[:20] + [f"n{i}"] + base[20:]) for i in range(200)]
+    a, b = minhash.universal(32, 5)
+    rows = [{"bucket": 0, "i": 0, "j": 0, "block": 0, "rep": i, "component": i, "data": t, "minima": minhash.minima(minhash.shingle_set(t, 2), a, b).tobytes()} for i, t in enumerate(texts)]
+    links = [x for band in range(32) for x in minhash.block_links([{**r, "bucket": band} for r in rows], 2, 80, 32)]
+    assert 199 <= len(links) < 199 * 32
+    assert all(len(minhash.block_links([{**r, "bucket": band} for r in rows], 2, 80, 32)) <= 199 for band in (0, 7))
 
 
 def test_size_classes(spark):
