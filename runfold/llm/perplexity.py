@@ -1,25 +1,28 @@
 """Quality rules: counts of words and repeats, and bands of n-gram perplexity.
 
-The language model is modified Kneser-Ney over words: bigrams, over a base that spells a word by
-a modified Kneser-Ney trigram model of characters. Spark counts both in every whole document. The
-word model grows with the input and is never in one place:
+The language model is modified Kneser-Ney over words, one for each language: bigrams, then words by the number of
+different words before them (continuation counts), then a base that spells a word by a modified Kneser-Ney trigram model of
+characters. Spark counts all three in every whole document. The word model grows with the input and is never in one place:
 
-1. Tasks count character trigrams and frequent contexts; Spark adds them up. Characters are folded to 64
+1. Tasks count character trigrams; Spark adds them up. Characters are folded to 64
    classes, so a base has at most 64 ** 3 entries, and it alone is sent to every task. A
-   language with at least ``SHARE`` of the documents has its own base, the others share one. Contexts, counts of
-   words, quartiles and bands are each language's own, however small its share.
-2. Tasks pack the distinct bigrams of many documents, with the documents each is in, into one block for
-   each bucket of contexts, and Spark deals the blocks by bucket. The number of buckets grows with the input.
-3. A bucket adds its blocks up into one array of sorted bigram hashes with their counts. What the
-   model needs of a context is there, so each bigram is scored in place, and all that leaves
-   the bucket is a sum for each document. A hash has 48 bits besides those of the bucket.
-
-A context with more than a bucket's share (at most as many as there are buckets) is split over several by the
-hash of the next word: its total is known from step 1, and the weight that it leaves to the base
-is taken in each part for the whole. Discounts come from each bucket's own counts.
-
-Each distinct text of a language counts once in all of these: a row weighs one in so many as
-there are rows of its text, so a text's perplexity does not fall with its copies.
+   language with at least ``SHARE`` of the documents has its own base, the others share one. All else is each language's own, however small its share.
+2. Tasks pack the bigrams of many documents of a language, with the documents each is in, into one block for
+   each bucket of contexts, and Spark deals the blocks by language and bucket, once. The number of buckets grows with the input.
+3. A bucket adds its blocks up into one array of sorted bigram hashes with their counts. It asks for what other buckets
+   know as well: how often counts are 1, 2, 3, 4 in the language (the discounts), in how many contexts each of its words
+   is, and the sums of contexts that are split. These questions are dealt by word, added up and go back to the buckets. So every
+   number is exact for the language, and no verdict depends on the number of buckets.
+4. The bucket, read a second time from the same shuffle, scores each bigram of each document where its counts are; what leaves is a
+   number for each document and block.
+
+A document is scored as if it were not in the corpus: its own occurrences of a bigram are taken from the
+bigram's and the context's count, and a word that follows a context in no other text has one context less. So text that repeats itself or
+stands alone is not expected because it was counted. Each distinct text of a language counts once: a row weighs one in so many as
+there are rows of its text.
+
+A context with more than a bucket's share is split over several by the hash of the next word. Words and contexts are told apart by
+40 and 32 bits of a hash, contexts besides the bits of the bucket.
 
 A document is rejected where the log of its perplexity lies outside its language's band. Above, that
 is ``UPPER`` interquartile ranges over the median; below, a ratio to it: the first quartile over the third, to the power
@@ -29,6 +32,7 @@ over the distinct texts of the language that pass the base rules.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -53,10 +57,10 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 #: The base of the languages without one of their own, and the language of documents that name none.
 POOL = ""
-#: Bytes of text for each bucket of contexts, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 48 << 20, 16
-#: Characters of text, and documents, whose bigrams are packed together.
-CHUNK_CHARS, CHUNK_DOCS = 4_000_000, 50_000
+#: Bytes of text for each bucket of contexts.
+BUCKET_BYTES = 12 << 20
+#: Characters of text, and documents, whose bigrams are packed together; fewer than 2 ** 20 words.
+CHUNK_CHARS, CHUNK_DOCS = 2_000_000, 30_000
 #: Words that are spelled at a time.
 SPELLED = 50_000
 #: Tables of at most so many texts with copies are sent to every executor.
@@ -157,36 +161,6 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
     return weighed(docs).select("model", "text", "copies").mapInArrow(count, "model string, key int, n double").groupBy("model", "key").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
-def context_counts(docs: DataFrame, shares: int, among: np.ndarray | None = None) -> DataFrame:
-    """(key, n) of contexts in docs (model, text, copies): the totals of those in ``among`` (sorted), else of the frequent ones.
-
-    Of each batch the frequent contexts, with more than one in ``shares`` of its words, are counted. The row
-    with a null key counts all words. A text's copies count as one.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            models, copies = batch.column("model").to_pylist(), batch.column("copies").to_pylist()
-            found = [(contexts_of(h, model), c) for model, c, h in zip(models, copies, map(word_hashes, common.texts(batch)), strict=True) if len(h)]
-            if found:
-                every = np.concatenate([x for x, _ in found])
-                weight = np.repeat([1 / c for _, c in found], [len(x) for x, _ in found])
-                words, key = float(weight.sum()), among
-                if key is None:
-                    key, n = np.unique(every, return_counts=True)
-                    key = key[n * shares > words]  # weighed, they are fewer
-                n = np.zeros(len(key))
-                if len(key):
-                    at = np.minimum(np.searchsorted(key, every), len(key) - 1)
-                    hit = np.flatnonzero(key[at] == every)
-                    n = np.bincount(at[hit], weight[hit], len(key))
-                if among is None:
-                    key, n = key[n * shares > words], n[n * shares > words]
-                yield pa.RecordBatch.from_pydict({"key": pa.array([*key.view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n.tolist(), words], pa.float64())})
-
-    return weighed(docs).select("model", "text", "copies").mapInArrow(count, "key long, n double").groupBy("key").agg(F.round(F.sum("n")).cast("long").alias("n"))
-
-
 @dataclass
 class Model:
     """Log-probabilities by sorted n-gram hash; ``back`` holds a context's log of what is left for shorter ones."""
@@ -225,12 +199,16 @@ class Model:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """What modified Kneser-Ney takes from counts of 0, 1, 2, and 3 or more."""
-    n = [0, *(float((counts == i).sum()) for i in range(1, 5))]
-    if not (n[1] and n[2]):
+    return discounts_of(*(float((counts == i).sum()) for i in range(1, 5)))
+
+
+def discounts_of(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """The same from how many counts are 1, 2, 3 and 4."""
+    if not (n1 and n2):
         return np.array([0, 0.5, 0.5, 0.5])
-    y = n[1] / (n[1] + 2 * n[2])
-    d = [0.0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * (n[4] / n[3] if n[3] else 0)]
-    return np.array([0, *(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d[1:], 1))])
+    y = n1 / (n1 + 2 * n2)
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * (n4 / n3 if n3 else 0)]
+    return np.array([0, *(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))])
 
 
 def level(context: np.ndarray, counts: np.ndarray, shorter: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,102 +245,118 @@ def models_of(docs: DataFrame) -> dict[str, Model]:
     return found
 
 
-@dataclass
-class Heavy:
-    """Contexts of more than a bucket's share: their sorted hashes, totals, and over how many buckets each is split."""
-
-    keys: np.ndarray
-    totals: np.ndarray
-    parts: np.ndarray
-
+#: Into how many buckets a frequent context is split, by its hash.
+Heavy = dict[int, int]
 
-def heavy_contexts(docs: DataFrame, buckets: int) -> Heavy:
-    """The contexts with more than a bucket's share of the words of docs (model, text, copies): fewer than ``buckets``."""
-    # a batch leaves out at most a quarter of a bucket's share, so of a heavy context three quarters are counted here
-    frequent = common.materialize(context_counts(docs, 4 * buckets), "frequent")
-    words = frequent.where("key is null").agg(F.sum("n")).first()[0] or 0
-    likely = frequent.where("key is not null").where(F.col("n") * (4 * buckets) > 3 * words).select("key").collect()  # at most 4 / 3 * buckets
-    keys = np.sort(np.array([r.key for r in likely], np.int64).view(np.uint64))
-    if not len(keys):
-        return Heavy(keys, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    rows = context_counts(docs, buckets, keys).collect()
-    total = next(r.n for r in rows if r.key is None)
-    hot = sorted((r.key % (1 << 64), r.n) for r in rows if r.key is not None and r.n * buckets > total)
-    n = np.array([x[1] for x in hot], np.int64)
-    return Heavy(np.array([x[0] for x in hot], np.uint64), n, np.minimum(-(-n * buckets // total), buckets))
 
+def frequent_contexts(docs: DataFrame) -> Heavy:
+    """The contexts with more than a bucket's share of their language's words, over how many buckets each is split; docs: (model, buckets, text, copies).
 
-def bigram_blocks(docs: DataFrame, models: dict[str, Model], buckets: int, heavy: Heavy) -> DataFrame:
-    """Step 2: rows (bucket, block); docs: (row_key, model, text, copies)."""
+    This decides only where a context is counted. In each batch those are looked at that may have the share, so all that have it are
+    found; there are fewer than four for each bucket.
+    """
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: list[tuple[int, str, str, int]] = []
-        chars = 0
-        for batch in common.small_batches(batches):
-            for row in zip(batch.column("row_key").to_pylist(), batch.column("model").to_pylist(), common.texts(batch), batch.column("copies").to_pylist(), strict=True):
-                chunk.append(row)
-                chars += len(row[2])
-                if chars >= CHUNK_CHARS or len(chunk) >= CHUNK_DOCS:
-                    yield packed(chunk)
-                    chunk, chars = [], 0
-        yield packed(chunk)
-
-    def packed(chunk: list[tuple[int, str, str, int]]) -> pa.RecordBatch:
-        by_base: dict[str, list[tuple[int, str, str, int]]] = {}
-        for row in chunk:
-            by_base.setdefault(row[1] if row[1] in models else POOL, []).append(row)
-        parts = [block for base, rows in by_base.items() for block in chunk_blocks(rows, models.get(base), buckets, heavy)]
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int64()), "block": pa.array([x for _, x in parts], pa.binary())})
-
-    return docs.select("row_key", "model", "text", "copies").mapInArrow(pack, "bucket long, block binary")
-
-
-#: A bigram's hash in a bucket: so many bits each of its context and its word, besides the bucket's own.
-BITS = np.uint64(24)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of: dict[tuple[str, int], list[np.ndarray]] = {}
+            for model, buckets, text in zip(batch.column("model").to_pylist(), batch.column("buckets").to_pylist(), common.texts(batch), strict=True):
+                if buckets > 1 and len(h := word_hashes(text)):
+                    of.setdefault((model, buckets), []).append(contexts_of(h, model))
+            for (model, buckets), found in of.items():
+                every = np.concatenate(found)
+                key, n = np.unique(every, return_counts=True)
+                key, n = key[n * 4 * buckets > len(every)], n[n * 4 * buckets > len(every)]
+                yield pa.RecordBatch.from_pydict({"model": pa.array([model] * (len(key) + 1), pa.string()), "key": pa.array([*key.view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n.tolist(), len(every)], pa.int64()), "buckets": pa.array([buckets] * (len(key) + 1), pa.int64())})
+
+    sums = docs.select("model", "buckets", "text").where("buckets > 1").mapInArrow(count, "model string, key long, n long, buckets long").groupBy("model", "key").agg(F.sum("n").alias("n"), F.max("buckets").alias("buckets"))
+    sums = common.materialize(sums, "frequent")
+    words = sums.where("key is null").select("model", F.col("n").alias("words"))
+    parts = F.least(F.ceil(F.col("n") * F.col("buckets") / F.col("words")), F.col("buckets")).alias("parts")
+    hot = sums.where("key is not null").join(words, "model").where(2 * F.col("n") * F.col("buckets") > F.col("words")).select("key", parts).where("parts > 1")
+    return {r.key % (1 << 64): int(r.parts) for r in hot.collect()}
+
+
+BLOCKS = "model string, bucket long, chunk long, block binary, ids binary"
+#: The arrays of a block: per word that follows, the difference of its hash from the one before and its base's log-probability in steps; per bigram the difference of its code (32 bits of the context, then the word's place) from the one before and its number of documents; per bigram and document the document's place and the count; per document the difference of its place in the chunk from the one before and how many copies it has besides itself.
+BLOCK = (np.uint64, np.uint8, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
 #: Log-probabilities of spellings are rounded to this.
 STEP = 0.25
-#: The arrays of a block: per bigram the difference of its hash from the one before, its base's log-probability in steps, its place in Heavy plus 1, and its number of documents; per bigram and document the document's place and the count; the documents and how many copies each has besides itself.
-BLOCK = (np.uint64, np.uint8, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.uint32)
+PLACE = np.uint64(20)
+WORD_BITS, CONTEXT_BITS = np.uint64(40), np.uint64(32)
+
 
+def bigram_blocks(docs: DataFrame, models: dict[str, Model], heavy: Heavy) -> DataFrame:
+    """Step 2: rows (model, bucket, chunk, block, ids); docs: (row_key, model, buckets, text, copies). The ids of a chunk are in one of its blocks."""
 
-def chunk_blocks(rows: list[tuple], model: Model | None, buckets: int, heavy: Heavy) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block) of documents (row_key, model, text, and copies if there are several) of one base."""
-    hashes, contexts, spelled = [], [], []
-    for _, name, text, *_ in rows:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[tuple[str, int], list[tuple[int, str, int]]] = {}
+        chars = rows = 0
+        for batch in common.small_batches(batches):
+            for row_key, model, buckets, text, copies in zip(*(batch.column(c).to_pylist() for c in ("row_key", "model", "buckets")), common.texts(batch), batch.column("copies").to_pylist(), strict=True):
+                chunks.setdefault((model, buckets), []).append((row_key, text, copies))
+                chars += len(text)
+                rows += 1
+                if chars >= CHUNK_CHARS or rows >= CHUNK_DOCS:
+                    yield from packed(chunks)
+                    chunks, chars, rows = {}, 0, 0
+        yield from packed(chunks)
+
+    def packed(chunks: dict) -> Iterator[pa.RecordBatch]:
+        for (model, buckets), rows in chunks.items():
+            parts = list(chunk_blocks(rows, model, models[model if model in models else POOL], buckets, heavy))
+            if parts:
+                ids = np.array([r[0] for r in rows], np.int64).tobytes()
+                number = int.from_bytes(hashlib.blake2b(ids, digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_pydict({"model": [model] * len(parts), "bucket": pa.array([b for b, _ in parts], pa.int64()), "chunk": pa.array([number] * len(parts), pa.int64()), "block": pa.array([x for _, x in parts], pa.binary()), "ids": pa.array([ids] + [None] * (len(parts) - 1), pa.binary())})
+
+    return docs.select("row_key", "model", "buckets", "text", "copies").mapInArrow(pack, BLOCKS)
+
+
+def chunk_blocks(rows: list[tuple[int, str, int]], name: str, model: Model, buckets: int, heavy: Heavy) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block) of documents (row_key, text, copies) of one language."""
+    hashes, spelled = [], []
+    for _, text, _ in rows:
         hashes.append(word_hashes(text))
         if len(hashes[-1]):
-            contexts.append(contexts_of(hashes[-1], name))
             spelled += text.encode().lower().split()
-    if not contexts:
+    sizes = [len(h) for h in hashes]
+    if not sum(sizes):
         return
-    doc = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
+    contexts = np.concatenate([contexts_of(h, name) for h in hashes if len(h)])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     words, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    hashes.clear()
     base = np.concatenate([-model.spelling([spelled[i].decode() for i in first[at : at + SPELLED]]) / STEP for at in range(0, len(first), SPELLED)])
     base = np.minimum(base, 255).round().astype(np.uint8)
     spelled.clear()
-    context, low = np.concatenate(contexts), (words >> (np.uint64(64) - BITS))[which]
-    bucket = ((context & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-    place = np.zeros(len(context), np.uint32)
-    if len(heavy.keys):
-        at = np.minimum(np.searchsorted(heavy.keys, context), len(heavy.keys) - 1)
-        hit = np.flatnonzero(heavy.keys[at] == context)
-        place[hit] = at[hit] + 1
-        bucket[hit] = (bucket[hit] + low[hit].astype(np.int64) % heavy.parts[at[hit]]) % buckets
-    key = (context >> (np.uint64(64) - BITS) << BITS) | low
+    words >>= np.uint64(64) - WORD_BITS
+    bucket = ((contexts & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    if heavy and buckets > 1:
+        keys = np.sort(np.fromiter(heavy, np.uint64, len(heavy)))
+        parts = np.array([heavy[int(k)] for k in keys], np.int64)
+        at = np.minimum(np.searchsorted(keys, contexts), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == contexts)
+        bucket[hit] = (bucket[hit] + words[which[hit]].astype(np.int64) % parts[at[hit]]) % buckets
+    key = (contexts >> (np.uint64(64) - CONTEXT_BITS) << PLACE) | which.astype(np.uint64)
+    del contexts
     # stable: the documents of a bigram stay in order
-    order = np.lexsort((key, bucket.astype(np.uint16) if buckets < 1 << 16 else bucket))
+    order = np.argsort(key, kind="stable") if buckets == 1 else np.lexsort((key, bucket.astype(np.uint16) if buckets < 1 << 16 else bucket))
     key, doc, bucket = key[order], doc[order], bucket[order]
+    del order
     other = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
     new = np.flatnonzero(other | np.concatenate(([True], doc[1:] != doc[:-1])))
     count = np.diff(np.append(new, len(key)))
-    key, doc, bucket, order, other = key[new], doc[new], bucket[new], order[new], other[new]
-    base, place = base[which[order]], place[order]
-    ids, more = np.array([r[0] for r in rows], np.int64), np.array([sum(r[3:]) or 1 for r in rows], np.uint32) - np.uint32(1)
+    key, doc, bucket, other = key[new], doc[new], bucket[new], other[new]
+    more = np.array([r[2] for r in rows], np.int64) - 1
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         head = np.flatnonzero(other[a:b])
+        code = key[a:b][head]
+        next_, place = np.unique(code & np.uint64((1 << int(PLACE)) - 1), return_inverse=True)
+        next_ = next_.astype(np.int64)
         here, local = np.unique(doc[a:b], return_inverse=True)
-        arrays = (np.diff(key[a:b][head], prepend=np.uint64(0)), base[a:b][head], place[a:b][head], np.diff(np.append(head, b - a)), local, count[a:b], ids[here], more[here])
+        code = (code >> PLACE << PLACE) | place.astype(np.uint64)
+        arrays = (np.diff(words[next_], prepend=np.uint64(0)), base[next_], np.diff(code, prepend=np.uint64(0)), np.diff(np.append(head, b - a)), local, count[a:b], np.diff(here, prepend=0), more[here])
         yield int(bucket[a]), packed_arrays(arrays)
 
 
@@ -370,77 +364,190 @@ def packed_arrays(arrays: tuple[np.ndarray, ...]) -> bytes:
     """The arrays compressed, each byte of their numbers by itself; bytes that are all zero take no place."""
     planes = [plane for x, t in zip(arrays, BLOCK, strict=True) for plane in x.astype(t).view(np.uint8).reshape(len(x), -1).T]
     data = [zstandard.compress(plane.tobytes(), 1) if plane.any() else b"" for plane in planes]
-    return np.array([*(len(arrays[i]) for i in (0, 4, 6)), *map(len, data)], np.uint32).tobytes() + b"".join(data)
+    return np.array([*(len(arrays[i]) for i in (0, 2, 4, 6)), *map(len, data)], np.uint32).tobytes() + b"".join(data)
 
 
 def unpacked(block: bytes, only: tuple[int, ...] | range = range(len(BLOCK))) -> list[np.ndarray]:
-    """The arrays of a block that ``only`` names."""
+    """The arrays of a block that ``only`` names; differences are summed up again."""
     types = [np.dtype(t) for t in BLOCK]
-    head = np.frombuffer(block, np.uint32, 3 + sum(t.itemsize for t in types)).astype(np.int64)
-    rows = [*[head[0]] * 4, *[head[1]] * 2, *[head[2]] * 2]
-    ends, plane, out = 4 * len(head) + np.cumsum(head[3:]), 0, []
+    head = np.frombuffer(block, np.uint32, 4 + sum(t.itemsize for t in types)).astype(np.int64)
+    rows = np.repeat(head[:4], 2)
+    ends, plane, out = 4 * len(head) + np.cumsum(head[4:]), 0, []
     for i, t in enumerate(types):
         if i in only:
             x = np.zeros((t.itemsize, rows[i]), np.uint8)
             for j in range(t.itemsize):
-                if size := head[3 + plane + j]:
+                if size := head[4 + plane + j]:
                     x[j] = np.frombuffer(zstandard.decompress(block[ends[plane + j] - size : ends[plane + j]]), np.uint8)
             x = np.ascontiguousarray(x.T).view(t).ravel()
-            out.append(np.cumsum(x, dtype=np.uint64) if i == 0 else x)
+            out.append(np.cumsum(x, dtype=t) if i in (0, 2, 6) else x)
         plane += t.itemsize
     return out
 
 
-def bucket_scores(blocks: list[bytes], heavy: Heavy) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Step 3 for a bucket: per block its documents, the sums of their words' log-probabilities, and how many words these are.
-
-    Bigrams are added up first; what they are in is unpacked block by block after that.
+class Bucket:
+    """The blocks of a bucket added up: ``words`` that follow (sorted) with their ``base``, bigrams as sorted codes (context, place of the word) and their counts ``n``; ``at``: the bigram of each of the blocks' bigrams in turn."""
+
+    def __init__(self, blocks: list[bytes]):
+        parts, self.ends = [], []
+        for block in blocks:
+            words, base, code, docs_of, doc, count, _, more = unpacked(block)
+            weight = np.add.reduceat(count / (1.0 + more)[doc], np.cumsum(docs_of, dtype=np.int64) - docs_of)
+            parts.append((words, base, code, weight))
+            self.ends.append(len(code))
+        self.ends = np.cumsum(self.ends)
+        words = np.concatenate([x[0] for x in parts])
+        self.words, first, place = np.unique(words, return_index=True, return_inverse=True)
+        self.base = np.concatenate([x[1] for x in parts])[first]
+        low, begin, codes = np.uint64((1 << int(PLACE)) - 1), 0, []
+        for x in parts:
+            of = place[begin : begin + len(x[0])].astype(np.uint64)
+            begin += len(x[0])
+            codes.append((x[2] >> PLACE << CONTEXT_BITS) | of[(x[2] & low).astype(np.int64)])
+        code, weight = np.concatenate(codes), np.concatenate([x[3] for x in parts])
+        del parts, codes
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        new = np.concatenate(([True], code[1:] != code[:-1]))
+        self.at = np.empty(len(code), np.int32)
+        self.at[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.n = np.maximum(np.rint(np.add.reduceat(weight[order], np.flatnonzero(new))).astype(np.int64), 1)  # whole, as copies meet
+        self.code = code[new]
+        self.word = (self.code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        context = self.code >> CONTEXT_BITS
+        self.of = np.cumsum(np.concatenate(([False], context[1:] != context[:-1])))
+        self.contexts = context[np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))]
+
+    def sums(self) -> np.ndarray:
+        """Per context its total and how many of its bigrams have the counts 1, 2, and more."""
+        return np.stack([np.bincount(self.of, self.n), *(np.bincount(self.of, x) for x in (self.n == 1, self.n == 2, self.n > 2))], axis=1).astype(np.int64)
+
+
+QUESTIONS = "model string, part long, bucket long, words binary, followed binary, contexts binary, sums binary, counts binary"
+
+
+def counted(n: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3 and 4, and how many there are."""
+    return np.array([*((n == i).sum() for i in range(1, 5)), len(n)], np.int64)
+
+
+def questions(name: str, number: int, bucket: Bucket, parts: int, split: np.ndarray) -> Iterator[tuple]:
+    """Step 3: what a bucket has of numbers that others have as well, one row for each part of the words; contexts and counts are in part 0."""
+    of = (bucket.words % np.uint64(parts)).astype(np.int64)
+    followed = np.bincount(bucket.word, minlength=len(bucket.words))
+    shared = np.flatnonzero(np.isin(bucket.contexts, split))
+    for part in range(parts):
+        mine = of == part
+        first = part == 0
+        yield name, part, number, bucket.words[mine].tobytes(), followed[mine].tobytes(), bucket.contexts[shared].tobytes() if first else b"", bucket.sums()[shared].tobytes() if first else b"", counted(bucket.n).tobytes() if first else b""
+
+
+def answers(rows: list[dict]) -> Iterator[tuple]:
+    """The questions of a part added up, a row for each bucket that asked; ``counts`` has those of words in this part, then in part 0 those of bigrams."""
+
+    def added(keys: str, values: str, width: int, kind: type) -> list[bytes]:
+        key = [np.frombuffer(r[keys], kind) for r in rows]
+        every, place = np.unique(np.concatenate(key), return_inverse=True)
+        value = np.concatenate([np.frombuffer(r[values], np.int64).reshape(-1, width) for r in rows])
+        total = np.zeros((len(every), width), np.int64)
+        np.add.at(total, place, value)
+        ends = np.cumsum([len(k) for k in key])
+        return [total, *(total[place[a:b]].tobytes() for a, b in zip(ends - [len(k) for k in key], ends, strict=True))]
+
+    words, contexts = added("words", "followed", 1, np.uint64), added("contexts", "sums", 4, np.uint64)
+    counts = counted(words[0].ravel()).tobytes()
+    if rows[0]["part"] == 0:
+        counts += sum(np.frombuffer(r["counts"], np.int64) for r in rows).tobytes()
+    for r, followed, sums in zip(rows, words[1:], contexts[1:], strict=True):
+        yield r["model"], r["part"], r["bucket"], r["words"], followed, r["contexts"], sums, counts
+
+
+def bucket_scores(blocks: list[bytes], told: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+    """Step 4 for a bucket: per block the differences of its documents' places and the sums of their words' log-probabilities."""
+    bucket = Bucket(blocks)
+    words, followed = (np.concatenate([np.frombuffer(t[c], k) for t in told]) for c, k in (("words", np.uint64), ("followed", np.int64)))
+    order = np.argsort(words)
+    followed = followed[order][np.searchsorted(words[order], bucket.words)]
+    word_counts = sum(np.frombuffer(t["counts"], np.int64)[:5] for t in told)
+    zero = next(t for t in told if t["part"] == 0)
+    bigram_counts = np.frombuffer(zero["counts"], np.int64)[5:]
+    sums = bucket.sums()
+    shared, whole = np.frombuffer(zero["contexts"], np.uint64), np.frombuffer(zero["sums"], np.int64).reshape(-1, 4)
+    sums[np.searchsorted(bucket.contexts, shared)] = whole
+    d1, d2 = discounts_of(*word_counts[:4]), discounts_of(*bigram_counts[:4])
+    kinds, m = int(bigram_counts[4]), word_counts
+    left1 = (d1[1] * m[0] + d1[2] * m[1] + d1[3] * (m[4] - m[0] - m[1])) / kinds
+    spelled = left1 * np.exp(-STEP * bucket.base.astype(np.float64))
+    known = lambda n: (n - d1[np.minimum(n, 3)]) / kinds + spelled
+    p1, p1_less = known(followed), known(np.maximum(followed - 1, 0))
+    total, left2 = sums[:, 0], sums[:, 1:] @ d2[1:]
+    del words, followed, order
+    for block, a, b in zip(blocks, np.append(0, bucket.ends[:-1]), bucket.ends, strict=True):
+        docs_of, doc, count, here = unpacked(block, range(3, 7))
+        at = np.repeat(bucket.at[a:b], docs_of)
+        own = bucket.n[at] - count
+        np.maximum(own, 0, out=own)
+        context, word = bucket.of[at], bucket.word[at]
+        rest = np.maximum(total[context] - count, 0)
+        shorter = np.where(own > 0, p1[word], p1_less[word])
+        some = np.maximum(rest, 1)
+        p = np.where(rest > 0, (own - d2[np.minimum(own, 3)]) / some + np.minimum(left2[context] / some, 1.0) * shorter, shorter)
+        scored = np.bincount(doc, np.log(np.maximum(p, 1e-300)) * count, len(here))
+        yield np.diff(here.astype(np.int64), prepend=0).astype(np.uint32).tobytes(), scored.astype(np.float32).tobytes()
+
+
+SCORED = "chunk long, ids binary, places binary, sums binary"
+
+
+def rows_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def word_scores(blocks: DataFrame, buckets: dict[str, int], heavy: Heavy) -> DataFrame:
+    """(row_key, total): the sum of the log-probabilities of each document's words.
+
+    The blocks are shuffled once: their buckets are read for the questions and again for the scores from the same exchange.
     """
-    parts: list[tuple[np.ndarray, ...]] = []
-    for block in blocks:
-        key, base, place, docs_of, doc, count, more = unpacked(block, (*range(6), 7))
-        parts.append((key, base, place, np.add.reduceat(count / (1.0 + more)[doc], np.cumsum(docs_of, dtype=np.int64) - docs_of)))
-    ends = np.cumsum([len(x[0]) for x in parts])
-    key, base, place, count = map(np.concatenate, zip(*parts, strict=True))
-    parts.clear()
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    at = np.empty(len(key), np.int32)
-    at[order] = np.cumsum(new, dtype=np.int32) - 1
-    n = np.maximum(np.rint(np.add.reduceat(count[order], np.flatnonzero(new))).astype(np.int64), 1)  # whole, as copies meet
-    bigram = key[new]
-    del order, key, new, count
-    d = discounts(n)[np.minimum(n, 3)]
-    context = bigram >> BITS
-    of = np.cumsum(np.concatenate(([False], context[1:] != context[:-1])))
-    total, left = np.bincount(of, n), np.bincount(of, d)
-    split = np.full(len(total), -1)
-    some = np.flatnonzero(place)
-    np.maximum.at(split, of[at[some]], place[some].astype(np.int64) - 1)
-    hot = np.flatnonzero(split >= 0)
-    total[hot] = np.maximum(heavy.totals[split[hot]], total[hot])
-    left[hot] = np.minimum(left[hot] * heavy.parts[split[hot]], total[hot])
-    seen, rest = (n - d) / total[of], (left / total)[of]
-    spelled = np.exp(-STEP * np.arange(256))
-    for block, a, b in zip(blocks, np.append(0, ends[:-1]), ends, strict=True):
-        docs_of, doc, count, ids = unpacked(block, range(3, 7))
-        logp = np.log(seen[at[a:b]] + rest[at[a:b]] * spelled[base[a:b]])
-        yield ids, np.bincount(doc, np.repeat(logp, docs_of) * count, len(ids)), np.bincount(doc, count, len(ids)).astype(np.int64)
-
-
-def word_scores(blocks: DataFrame, buckets: int, heavy: Heavy) -> DataFrame:
-    """(row_key, logp): the mean log-probability of a word in each document. Repeated rows leave the mean as it is."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs_of(batches, ("bucket",)):
-            for ids, sums, n in bucket_scores([r["block"] for r in rows], heavy):
-                yield pa.RecordBatch.from_pydict({"row_key": pa.array(ids), "total": pa.array(sums), "words": pa.array(n)})
-
-    # few buckets share a partition, however many there are
-    dealt = blocks.repartition(max(common.shuffle_parts(blocks.sparkSession), 2 * buckets), "bucket").sortWithinPartitions("bucket")
-    sums = dealt.mapInArrow(score, "row_key long, total double, words long").groupBy("row_key").agg(F.sum("total").alias("total"), F.sum("words").alias("words"))
-    return sums.select("row_key", (F.col("total") / F.col("words")).alias("logp"))
+    spark = blocks.sparkSession
+    tasks = max(common.shuffle_parts(spark), 2 * sum(buckets.values()))
+    split = np.array(sorted({k >> (64 - int(CONTEXT_BITS)) for k in heavy}), np.uint64)
+    parts = {m: max(1, n // 8) for m, n in buckets.items()}
+    key = ["model", "bucket"]
+    dealt = blocks.repartition(tasks, *key)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, ("model", "bucket")):
+            name, number = rows[0]["model"], rows[0]["bucket"]
+            found = Bucket([r["block"] for r in rows])
+            rows.clear()
+            yield rows_batch(list(questions(name, number, found, parts[name], split)), QUESTIONS)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, ("model", "part")):
+            yield rows_batch(list(answers(rows)), QUESTIONS)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        given = list(zip(*(left.column(c).to_pylist() for c in ("chunk", "block", "ids")), strict=True))
+        found = bucket_scores([g[1] for g in given], right.to_pylist())
+        return pa.Table.from_batches([rows_batch([(g[0], g[2], places, sums) for g, (places, sums) in zip(given, found, strict=True)], SCORED)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches, ("chunk",)):
+            ids = np.frombuffer(next(r["ids"] for r in rows if r["ids"] is not None), np.int64)
+            total, seen = np.zeros(len(ids)), np.zeros(len(ids), bool)
+            for r in rows:
+                places = np.cumsum(np.frombuffer(r["places"], np.uint32), dtype=np.int64)
+                total[places] += np.frombuffer(r["sums"], np.float32)
+                seen[places] = True
+            yield pa.RecordBatch.from_pydict({"row_key": pa.array(ids[seen]), "total": pa.array(total[seen])})
+
+    asked = dealt.sortWithinPartitions(*key).mapInArrow(ask, QUESTIONS).repartition(tasks, "model", "part")
+    told = asked.sortWithinPartitions("model", "part").mapInArrow(answer, QUESTIONS)
+    scored = dealt.groupBy(*key).cogroup(told.groupBy(*key)).applyInArrow(score, SCORED)
+    sums = scored.repartition(common.shuffle_parts(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(add, "row_key long, total double")
+    return sums.groupBy("row_key").agg(F.avg("total").alias("total"))  # repeated rows have equal sums
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -481,27 +588,31 @@ def measure(docs: DataFrame, least_words: int = 50, most_repeat: int = 50) -> Da
     return docs.select("row_key", "text_key", "doc_id", "model", "text").mapInArrow(apply, MEASURED)
 
 
-def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, share: float = SHARE, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
+def quality_rules(docs: DataFrame, lower: float = LOWER, upper: float = UPPER, share: float = SHARE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Base counts, base_failed, kept, perplexity (of a character) and its band for each row of ``docs`` (doc_id, text, lang).
 
     A null text has no words and fails the base rules; texts without a word have no perplexity. A
     lang with less than ``share`` of the documents uses the pooled spelling base, and nothing else of other langs; a
     null lang is the empty one. Repeated rows are judged alike. Rows are joined with their scores by a 64-bit hash of id and text.
+    ``bucket_bytes`` changes memory and shuffles, no result.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs = common.materialize(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "langs")
-    total, size = langs.agg(F.sum("n"), F.sum("bytes")).first()
-    own = [r.lang for r in langs.where(F.col("lang").isNotNull() & (F.col("lang") != POOL) & (F.col("n") >= share * (total or 0))).collect()]  # at most 1 / share
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(POOL)).alias("model"))
+    langs = docs.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    langs = common.materialize(langs.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.coalesce("bytes", F.lit(0)) / bucket_bytes)).cast("long")), "langs")
+    total = langs.agg(F.sum("n")).first()[0]
+    own = [r.model for r in langs.where((F.col("model") != POOL) & (F.col("n") >= share * (total or 0))).collect()]  # at most 1 / share
+    buckets = {r.model: r.buckets for r in langs.select("model", "buckets").collect()}  # two short values a language
     few = langs.count() <= BROADCAST_LANGS
-    docs = docs.withColumn("model", F.coalesce("lang", F.lit(POOL))).withColumn("row_key", F.xxhash64("doc_id", "model", "text")).withColumn("text_key", F.xxhash64("model", "text"))
+    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "model", "text")).withColumn("text_key", F.xxhash64("model", "text"))
     docs = with_copies(docs)
-    buckets = max(least_buckets, -(-(size or 0) // bucket_bytes))
-    heavy = heavy_contexts(docs, buckets)
+    sizes = langs.select("model", "buckets")
+    dealt = docs.join(F.broadcast(sizes) if few else sizes, "model")
+    heavy = frequent_contexts(dealt)
     bases = models_of(docs.withColumn("model", F.when(F.col("model").isin(own), F.col("model")).otherwise(F.lit(POOL))))
-    scores = common.materialize(word_scores(bigram_blocks(docs, bases, buckets, heavy), buckets, heavy), "scores")
-    log_ppl = F.round(-F.col("logp") * F.col("n_words") / (F.col("word_chars") + F.col("n_words")), 9)
-    measured = common.materialize(measure(docs).join(scores, "row_key", "left").withColumn("log_ppl", log_ppl).drop("row_key", "logp"), "measured")
+    scores = common.materialize(word_scores(bigram_blocks(dealt, bases, heavy), buckets, heavy), "scores")
+    log_ppl = F.round(-F.col("total") / (F.col("word_chars") + F.col("n_words")), 7)
+    measured = common.materialize(measure(docs).join(scores, "row_key", "left").withColumn("log_ppl", log_ppl).drop("row_key", "total"), "measured")
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
     distinct = measured.where(~F.col("base_failed")).groupBy("model", "text_key").agg(F.min("log_ppl").alias("log_ppl"))
     quart = distinct.groupBy("model").agg(q.alias("q")).where("q is not null")
