@@ -35,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,7 +61,9 @@ POOL = ""
 #: Bytes of text for each bucket of contexts.
 BUCKET_BYTES = 12 << 20
 #: Characters of text, and documents, whose bigrams are packed together; fewer than 2 ** 20 words.
-CHUNK_CHARS, CHUNK_DOCS = 2_000_000, 30_000
+CHUNK_CHARS, CHUNK_DOCS = 3_000_000, 30_000
+#: Characters of text that wait in a task for their language's chunk to be full.
+WAITING_CHARS = 9_000_000
 #: Words that are spelled at a time.
 SPELLED = 50_000
 #: Tables of at most so many texts with copies are sent to every executor.
@@ -290,24 +293,29 @@ def bigram_blocks(docs: DataFrame, models: dict[str, Model], heavy: Heavy) -> Da
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[tuple[str, int], list[tuple[int, str, int]]] = {}
-        chars = rows = 0
+        chars: Counter[tuple[str, int]] = Counter()
         for batch in common.small_batches(batches):
             for row_key, model, buckets, text, copies in zip(*(batch.column(c).to_pylist() for c in ("row_key", "model", "buckets")), common.texts(batch), batch.column("copies").to_pylist(), strict=True):
-                chunks.setdefault((model, buckets), []).append((row_key, text, copies))
-                chars += len(text)
-                rows += 1
-                if chars >= CHUNK_CHARS or rows >= CHUNK_DOCS:
-                    yield from packed(chunks)
-                    chunks, chars, rows = {}, 0, 0
-        yield from packed(chunks)
-
-    def packed(chunks: dict) -> Iterator[pa.RecordBatch]:
-        for (model, buckets), rows in chunks.items():
-            parts = list(chunk_blocks(rows, model, models[model if model in models else POOL], buckets, heavy))
-            if parts:
-                ids = np.array([r[0] for r in rows], np.int64).tobytes()
-                number = int.from_bytes(hashlib.blake2b(ids, digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_pydict({"model": [model] * len(parts), "bucket": pa.array([b for b, _ in parts], pa.int64()), "chunk": pa.array([number] * len(parts), pa.int64()), "block": pa.array([x for _, x in parts], pa.binary()), "ids": pa.array([ids] + [None] * (len(parts) - 1), pa.binary())})
+                of = (model, buckets)
+                chunks.setdefault(of, []).append((row_key, text, copies))
+                chars[of] += len(text) + 1
+                if chars[of] >= CHUNK_CHARS or len(chunks[of]) >= CHUNK_DOCS:
+                    chars.pop(of)
+                    yield from packed(of, chunks.pop(of))
+                elif chars.total() >= WAITING_CHARS:
+                    of = max(chars, key=chars.__getitem__)
+                    chars.pop(of)
+                    yield from packed(of, chunks.pop(of))
+        while chunks:
+            yield from packed(*chunks.popitem())
+
+    def packed(of: tuple[str, int], rows: list[tuple[int, str, int]]) -> Iterator[pa.RecordBatch]:
+        model, buckets = of
+        parts = list(chunk_blocks(rows, model, models[model if model in models else POOL], buckets, heavy))
+        if parts:
+            ids = np.array([r[0] for r in rows], np.int64).tobytes()
+            number = int.from_bytes(hashlib.blake2b(ids, digest_size=8).digest(), "little", signed=True)
+            yield pa.RecordBatch.from_pydict({"model": [model] * len(parts), "bucket": pa.array([b for b, _ in parts], pa.int64()), "chunk": pa.array([number] * len(parts), pa.int64()), "block": pa.array([x for _, x in parts], pa.binary()), "ids": pa.array([ids] + [None] * (len(parts) - 1), pa.binary())})
 
     return docs.select("row_key", "model", "buckets", "text", "copies").mapInArrow(pack, BLOCKS)
 
@@ -431,6 +439,16 @@ def counted(n: np.ndarray) -> np.ndarray:
     return np.array([*((n == i).sum() for i in range(1, 5)), len(n)], np.int64)
 
 
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Numbers of 0 or more, each byte of them by itself and compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(len(x), 8).T).tobytes(), 1)
+
+
+def numbers(data: bytes) -> np.ndarray:
+    x = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def questions(name: str, number: int, bucket: Bucket, parts: int, split: np.ndarray) -> Iterator[tuple]:
     """Step 3: what a bucket has of numbers that others have as well, one row for each part of the words; contexts and counts are in part 0."""
     of = (bucket.words % np.uint64(parts)).astype(np.int64)
@@ -439,35 +457,35 @@ def questions(name: str, number: int, bucket: Bucket, parts: int, split: np.ndar
     for part in range(parts):
         mine = of == part
         first = part == 0
-        yield name, part, number, bucket.words[mine].tobytes(), followed[mine].tobytes(), bucket.contexts[shared].tobytes() if first else b"", bucket.sums()[shared].tobytes() if first else b"", counted(bucket.n).tobytes() if first else b""
+        yield name, part, number, packed_numbers(np.diff(bucket.words[mine], prepend=np.uint64(0))), packed_numbers(followed[mine]), bucket.contexts[shared].tobytes() if first else b"", bucket.sums()[shared].tobytes() if first else b"", counted(bucket.n).tobytes() if first else b""
 
 
 def answers(rows: list[dict]) -> Iterator[tuple]:
     """The questions of a part added up, a row for each bucket that asked; ``counts`` has those of words in this part, then in part 0 those of bigrams."""
 
-    def added(keys: str, values: str, width: int, kind: type) -> list[bytes]:
-        key = [np.frombuffer(r[keys], kind) for r in rows]
+    def added(key: list[np.ndarray], value: list[np.ndarray], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
         every, place = np.unique(np.concatenate(key), return_inverse=True)
-        value = np.concatenate([np.frombuffer(r[values], np.int64).reshape(-1, width) for r in rows])
         total = np.zeros((len(every), width), np.int64)
-        np.add.at(total, place, value)
+        np.add.at(total, place, np.concatenate(value))
         ends = np.cumsum([len(k) for k in key])
-        return [total, *(total[place[a:b]].tobytes() for a, b in zip(ends - [len(k) for k in key], ends, strict=True))]
+        return total, [total[place[a:b]] for a, b in zip(ends - [len(k) for k in key], ends, strict=True)]
 
-    words, contexts = added("words", "followed", 1, np.uint64), added("contexts", "sums", 4, np.uint64)
-    counts = counted(words[0].ravel()).tobytes()
+    words, followed = added([np.cumsum(numbers(r["words"]), dtype=np.uint64) for r in rows], [numbers(r["followed"]).astype(np.int64)[:, None] for r in rows], 1)
+    _, sums = added([np.frombuffer(r["contexts"], np.uint64) for r in rows], [np.frombuffer(r["sums"], np.int64).reshape(-1, 4) for r in rows], 4)
+    counts = counted(words.ravel()).tobytes()
     if rows[0]["part"] == 0:
         counts += sum(np.frombuffer(r["counts"], np.int64) for r in rows).tobytes()
-    for r, followed, sums in zip(rows, words[1:], contexts[1:], strict=True):
-        yield r["model"], r["part"], r["bucket"], r["words"], followed, r["contexts"], sums, counts
+    for r, n, whole in zip(rows, followed, sums, strict=True):
+        yield r["model"], r["part"], r["bucket"], b"", packed_numbers(n.ravel()), r["contexts"], whole.tobytes(), counts  # the bucket knows its words
 
 
 def bucket_scores(blocks: list[bytes], told: list[dict]) -> Iterator[tuple[bytes, bytes]]:
     """Step 4 for a bucket: per block the differences of its documents' places and the sums of their words' log-probabilities."""
     bucket = Bucket(blocks)
-    words, followed = (np.concatenate([np.frombuffer(t[c], k) for t in told]) for c, k in (("words", np.uint64), ("followed", np.int64)))
-    order = np.argsort(words)
-    followed = followed[order][np.searchsorted(words[order], bucket.words)]
+    parts, followed = len(told), np.zeros(len(bucket.words), np.int64)
+    of = bucket.words % np.uint64(parts)
+    for t in told:
+        followed[of == np.uint64(t["part"])] = numbers(t["followed"]).astype(np.int64)
     word_counts = sum(np.frombuffer(t["counts"], np.int64)[:5] for t in told)
     zero = next(t for t in told if t["part"] == 0)
     bigram_counts = np.frombuffer(zero["counts"], np.int64)[5:]
@@ -481,7 +499,7 @@ def bucket_scores(blocks: list[bytes], told: list[dict]) -> Iterator[tuple[bytes
     known = lambda n: (n - d1[np.minimum(n, 3)]) / kinds + spelled
     p1, p1_less = known(followed), known(np.maximum(followed - 1, 0))
     total, left2 = sums[:, 0], sums[:, 1:] @ d2[1:]
-    del words, followed, order
+    del followed, of
     for block, a, b in zip(blocks, np.append(0, bucket.ends[:-1]), bucket.ends, strict=True):
         docs_of, doc, count, here = unpacked(block, range(3, 7))
         at = np.repeat(bucket.at[a:b], docs_of)

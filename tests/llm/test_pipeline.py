@@ -93,4 +93,4 @@ def test_empty(spark, tmp_path):
 
 def test_free_name(spark):
     assert corpus_pipeline.free_name(spark.createDataFrame([(1,)], "__pipeline int")) == "__pipeline_"
-    assert toxicity.FEATURES[0] == "insult"
+    assert toxicity.FEATURES[0] == "directed"
