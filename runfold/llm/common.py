@@ -45,8 +45,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
+#: Rows of a few numbers for a task, where their count is known.
+ROWS_A_TASK = 200_000
+
+
+def materialize(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back; where at most so many ``rows`` are to come, by no more tasks than these need.
 
     This cuts the lineage: a lost executor costs only the tasks it was running, and what was
     computed once is not computed again. The table has known file sizes, so the planner sees
@@ -55,6 +59,8 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = scratch_path(spark, what)
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / ROWS_A_TASK)))
     df.write.option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch = path

@@ -193,14 +193,14 @@ def components(edges: DataFrame) -> DataFrame:
     split by adaptive execution (``spark.sql.adaptive.skewJoin.enabled``, on by default), which this needs.
     """
     now = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    before, n = None, 2 * now.count()  # rounds add no rows: each edge gives one or none
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = common.materialize(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        lower = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = common.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least", n)
+        large = common.materialize(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", n)
+        lower = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least", n)
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = common.materialize(small.unionByName(lower.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        after = common.materialize(small.unionByName(lower.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", n)
         common.drop(now, least, large, lower)
         now = after
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
