@@ -22,7 +22,7 @@ stands alone is not expected because it was counted. Each distinct text of a lan
 there are rows of its text.
 
 A context with more than a bucket's share is split over several by the hash of the next word. Words and contexts are told apart by
-40 and 32 bits of a hash, contexts besides the bits of the bucket.
+32 bits of a hash each, contexts besides the bits of the bucket.
 
 A document is rejected where the log of its perplexity lies outside its language's band. Above, that
 is ``UPPER`` interquartile ranges over the median; below, a ratio to it: the first quartile over the third, to the power
@@ -285,7 +285,7 @@ BLOCK = (np.uint64, np.uint8, np.uint64, np.uint32, np.uint32, np.uint32, np.uin
 #: Log-probabilities of spellings are rounded to this.
 STEP = 0.25
 PLACE = np.uint64(20)
-WORD_BITS, CONTEXT_BITS = np.uint64(40), np.uint64(32)
+WORD_BITS, CONTEXT_BITS = np.uint64(32), np.uint64(32)
 
 
 def bigram_blocks(docs: DataFrame, models: dict[str, Model], heavy: Heavy) -> DataFrame:
