@@ -679,6 +679,8 @@ def test_adpcm_blocks_and_round_trip():
     data = random.Random(1).randbytes(64 * 5)
     want = [v for i in range(0, len(data), 64) for v in one_block(data[i : i + 64])]
     assert audio.decode_adpcm(data, 64).tolist() == want
+    files = [audio.store(bytes([n]) * 64 * (n % 5)) for n in range(40)]
+    assert all(a.tolist() == b.tolist() and x == y for (a, x), (b, y) in zip(audio.decode_many(files), map(audio.decode, files), strict=True))
     tone = (8000 * np.sin(np.arange(3000) / 20)).astype(np.int16)
     media = audio.wave(audio.IMA_ADPCM, audio.encode_adpcm(tone), 8000, 4, 256, (505).to_bytes(2, "little"))
     back, rate = audio.decode(media)
