@@ -49,6 +49,10 @@ def scratch_path(spark: SparkSession, what: str) -> str:
 ROWS_A_TASK = 200_000
 
 
+def tasks_for(rows: int) -> int:
+    return max(1, math.ceil(rows / ROWS_A_TASK))
+
+
 def materialize(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back; where at most so many ``rows`` are to come, by no more tasks than these need.
 
@@ -60,7 +64,7 @@ def materialize(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     ship(spark)
     path = scratch_path(spark, what)
     if rows is not None:
-        df = df.coalesce(max(1, math.ceil(rows / ROWS_A_TASK)))
+        df = df.coalesce(tasks_for(rows))
     df.write.option("compression", "zstd").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch = path

@@ -72,7 +72,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     edges goes back to the seeds: that multiplies all scores of a kind by one number, so it is lost on the way and the sums are made 1
     at the end. Scores only grow, so their sum tells when a round adds nothing more; with damping 0.85
     that takes 100 rounds at most, whatever the graph. Every ``STEPS`` rounds the state is written to the shared folder, so
-    plans stay short; a hot host's edges are split by adaptive execution, which this needs.
+    plans stay short; a hot host's edges are split by adaptive execution, which this needs. A round is dealt over as many tasks as the
+    edges need: each task of each round writes files, however few its rows.
     """
     flows = [("trust", "src", "dst"), ("distrust", "dst", "src")]
     steps = None
@@ -80,14 +81,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         total = common.materialize(edges.groupBy(F.col(a).alias("__at")).agg(F.sum("n").alias("__all")), "totals")
         flow = edges.join(total, edges[a] == total["__at"]).select(F.lit(kind).alias("kind"), F.col(a).alias("host"), F.col(b).alias("to"), (F.col("n") / F.col("__all")).alias("share"))
         steps = flow if steps is None else steps.unionByName(flow)
-    steps = common.materialize(steps, "steps")
-    start = common.materialize(of_one(seeds).select("kind", "host", ((1 - damping) * F.col("score")).alias("score")), "start")
+    n = 2 * edges.count()
+    steps = common.materialize(steps, "steps", n)
+    n += seeds.count()
+    start = common.materialize(of_one(seeds).select("kind", "host", ((1 - damping) * F.col("score")).alias("score")), "start", n)
     state, before = start, start.agg(F.sum("score")).first()[0] or 0.0
     while True:
         after = state
         for _ in range(STEPS):
             moved = after.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-            after = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            after = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score")).coalesce(common.tasks_for(n))
         after = common.materialize(after, "rank")
         if state is not start:
             common.drop(state)

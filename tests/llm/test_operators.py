@@ -268,6 +268,25 @@ def test_page_rank_equals_many_plain_rounds(spark):
         assert all(abs(got.get((kind, h), 0) - s) < 1e-6 for h, s in rank.items())
 
 
+def test_rounds_of_few_hosts_take_few_tasks(spark, monkeypatch):
+    """Each task of a round writes shuffle files of its own, so many partitions of few rows fill the disk."""
+    sizes = []
+    drop = common.drop
+    monkeypatch.setattr(common, "drop", lambda *written: (sizes.extend(len(w.inputFiles()) for w in written), drop(*written)))
+    edges = spark.createDataFrame([(f"h{i}", f"h{i * 7 % 50}", 1) for i in range(50)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", f"h{i}", 1.0) for i in range(10)] + [("distrust", "h3", 1.0)], "kind string, host string, score double")
+    monkeypatch.setattr(url_filter, "STEPS", 2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        url_filter.propagate(edges, seeds, tolerance=0.05).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sizes and max(sizes) == 1
+
+
 def test_url_filter(spark):
     pages = frame(spark, PAGES, "page_id long, url string, html string")
     got = url_filter.filter_urls(pages).toPandas()
