@@ -211,6 +211,51 @@ def payload_of(text: str, unit: int = 64) -> tuple[bytes, int]:
     return raw + b"\0" * (max(unit, -(-len(raw) // unit) * unit) - len(raw)), len(raw)
 
 
+#: What 8-bit companded audio is expanded to, in ascending order.
+COMPANDED = (np.unique(MULAW_TABLE), np.unique(ALAW_TABLE))
+#: How hard the tables of media are compressed.
+LEVEL = 12
+
+
+def midpoints(even: np.ndarray) -> np.ndarray:
+    """What linear interpolation puts after each sample at twice the rate; the last one holds."""
+    wide = even.astype(np.int32)
+    return np.append((wide[:-1] + wide[1:]) >> 1, wide[-1:]).astype(np.int16)
+
+
+def pack_pcm(pcm: bytes) -> bytes:
+    """A file of bytes as small as its PCM allows; `unpack_pcm` gives the same bytes again, whatever they were.
+
+    Every other sample is stored as what interpolation of its neighbours leaves. The others take a byte each where all are values of mu-law or A-law audio.
+    """
+    tag, rate, _, data = read_wave(pcm)
+    if len(data) % 2 or wave(PCM, data, rate, 16, 2) != pcm:
+        return b"\0" + pcm
+    samples = np.frombuffer(data, "<i2").astype(np.int16)
+    even, odd = samples[0::2], samples[1::2]
+    left = (odd - midpoints(even)[: len(odd)]).astype("<i2").tobytes()
+    for kind, values in enumerate(COMPANDED, 2):
+        at = np.searchsorted(values, even).clip(max=len(values) - 1)
+        if np.array_equal(values[at], even):
+            return struct.pack("<BII", kind, rate, len(samples)) + at.astype(np.uint8).tobytes() + left
+    return struct.pack("<BII", 1, rate, len(samples)) + even.astype("<i2").tobytes() + left
+
+
+def unpack_pcm(packed: bytes) -> bytes:
+    if not packed[0]:
+        return packed[1:]
+    kind, rate, n = struct.unpack_from("<BII", packed)
+    n_even = n - n // 2
+    samples = np.empty(n, np.int16)
+    if kind == 1:
+        even = np.frombuffer(packed, "<i2", n_even, 9)
+    else:
+        even = COMPANDED[kind - 2][np.frombuffer(packed, np.uint8, n_even, 9)]
+    samples[0::2] = even
+    samples[1::2] = np.frombuffer(packed[len(packed) - n // 2 * 2 :], "<i2") + midpoints(even)[: n // 2]
+    return wave(PCM, samples.astype("<i2").tobytes(), rate, 16, 2)
+
+
 #: Bytes of an ADPCM block of stored payloads; a payload is a whole number of them.
 BLOCK = 64
 STORED = "doc_id long, n_bytes long, media binary"
@@ -249,15 +294,15 @@ def store_payloads(docs: DataFrame) -> DataFrame:
 
 
 def read_payloads(stored: DataFrame, to: int = 16000) -> DataFrame:
-    """What the stored bytes give back: payload digests, and the audio decoded, resampled and made a PCM WAVE file."""
+    """What the stored bytes give back: payload digests, and the audio decoded, resampled and made a PCM WAVE file, packed."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
             rows, files = [], batch.column("media").to_pylist()
             for doc_id, n, media, (samples, rate) in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), files, decode_many(files), strict=True):
                 payload = read_wave(media)[3]
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), pcm_wave(samples, rate, to)))
-            yield arrow_rows(rows, READ)
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), pack_pcm(pcm_wave(samples, rate, to))))
+            yield arrow_rows(sorted(rows, key=lambda r: r[-1][0]), READ)  # files packed alike lie together, which compresses better
 
     return stored.mapInArrow(unpack, READ)
 
@@ -270,23 +315,23 @@ def describe(pcm: bytes) -> str:
 
 
 def with_features(read: DataFrame) -> DataFrame:
-    """``read`` with the features of its PCM files in their place."""
+    """``read`` with the features of its packed PCM files in their place."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([describe(x) for x in batch.column("pcm").to_pylist()], pa.string())], names=[*batch.schema.names[:-1], "feature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([describe(unpack_pcm(x)) for x in batch.column("pcm").to_pylist()], pa.string())], names=[*batch.schema.names[:-1], "feature"])
 
     return read.mapInArrow(measure, FEATURES)
 
 
 def media_documents(docs: DataFrame, to: int = 16000) -> DataFrame:
-    """Store every text as telephony audio, read the table back, store its resampled PCM, and describe what is read of that.
+    """Store every text as telephony audio, read the table back, store its resampled PCM losslessly packed, and describe what is read of that.
 
     Both tables are in the shared folder; the first is dropped when the second is written. The format of a text depends on its bytes alone, so
     equal texts have equal values. Null texts are empty, which is one unit of zero bytes. Repeated rows stay repeated.
     """
     ship(docs.sparkSession)
-    media = common.materialize(store_payloads(docs), "media")
-    pcm = common.materialize(read_payloads(media, to), "pcm")
+    media = common.materialize(store_payloads(docs), "media", level=LEVEL)
+    pcm = common.materialize(read_payloads(media, to), "pcm", level=LEVEL)
     common.drop(media)
     return with_features(pcm)

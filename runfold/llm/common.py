@@ -53,7 +53,7 @@ def tasks_for(rows: int) -> int:
     return max(1, math.ceil(rows / ROWS_A_TASK))
 
 
-def materialize(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, what: str, rows: int | None = None, level: int = 3) -> DataFrame:
     """``df`` written as a table in the shared folder and read back; where at most so many ``rows`` are to come, by no more tasks than these need.
 
     This cuts the lineage: a lost executor costs only the tasks it was running, and what was
@@ -65,7 +65,7 @@ def materialize(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     path = scratch_path(spark, what)
     if rows is not None:
         df = df.coalesce(tasks_for(rows))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch = path
     return written

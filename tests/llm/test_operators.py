@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from runfold.llm import audio, common, minhash, mixing, packing, perplexity, quality_cnn, sample, sharding, toxicity, url_filter, warc
+from runfold.llm import audio, common, minhash, mixing, packing, perplexity, quality_cnn, queries, sample, sharding, toxicity, url_filter, warc
 from runfold.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -709,6 +709,27 @@ def test_adpcm_blocks_and_round_trip():
     assert len(audio.resample(np.arange(80, dtype=np.int16), 8000, 11025)) == 111
 
 
+@pytest.mark.parametrize("tag", [audio.MULAW, audio.ALAW, audio.IMA_ADPCM, audio.PCM])
+def test_packed_pcm_is_the_same_file(tag):
+    r = np.random.default_rng(tag)
+    for n in (0, 1, 2, 3, 64, 999):
+        samples, rate = audio.decode(audio.wave(tag, r.integers(0, 256, n * 64, np.uint8).tobytes(), 8000, 8, 64))
+        for to in (4000, 8000, 16000):
+            pcm = audio.pcm_wave(samples, rate, to)
+            packed = audio.pack_pcm(pcm)
+            assert audio.unpack_pcm(packed) == pcm
+            if to == 16000 and n > 1 and tag in (audio.MULAW, audio.ALAW):
+                assert not any(packed[9 + 64 * n :])  # a byte a sample and nothing left between them
+    for odd in (audio.wave(audio.PCM, b"123", 8000, 16, 2), audio.wave(audio.MULAW, b"12"), audio.wave(audio.PCM, b"1234", 8000, 8, 1)):
+        assert audio.unpack_pcm(audio.pack_pcm(odd)) == odd
+
+
+def test_query_keeps_the_rate_of_the_operator(spark, tmp_path):
+    frame(spark, [(1, "a few words", "en", "a", 1), (2, None, "en", "a", 1)], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op7_telephony_audio(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 and all(r.feature.startswith("rate=16000 ") for r in rows)
+
+
 def test_media_documents(spark):
     """Each codec through the query, against its own plain decoder."""
     docs = corpus()
