@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import functools
 import inspect
 import json
+import operator
 import random
 import re
 from collections.abc import Callable, Iterator
@@ -21,7 +23,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runfold.operators.folds import CLOSERS, OPENERS
@@ -70,9 +72,19 @@ class Outcome:
         return self.result
 
 
+ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def canonical(payload: Any) -> str:
     """JSON with sorted keys; 1 and 1.0 differ."""
-    return json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return ENCODER.encode(payload)
+
+
+def alike(a: Any, b: Any) -> bool:
+    """Whether two payloads are one in canonical JSON; objects of plain texts and whole numbers need not be written for it."""
+    if type(a) is dict and type(b) is dict and len(a) == len(b) and all(type(k) is str and k in b and type(v) is type(b[k]) and type(v) in (str, int, bool) and v == b[k] for k, v in a.items()):
+        return True
+    return canonical(a) == canonical(b)
 
 
 def satisfied(join: str, outcomes: list[Outcome]) -> bool:
@@ -106,7 +118,7 @@ class Context:
         return name, self._steps.get(name, {})
 
     def _same(self, step: str, recorded: tuple, asked: tuple) -> None:
-        if recorded[0] != asked[0] or canonical(recorded[1]) != canonical(asked[1]):
+        if recorded[0] != asked[0] or not alike(recorded[1], asked[1]):
             raise Divergence(f"{step}: recorded {recorded[0]} {canonical(recorded[1])}, replayed {asked[0]} {canonical(asked[1])}")
 
     def now(self) -> dt.datetime:
@@ -189,9 +201,14 @@ def as_object(value: Any) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+@functools.lru_cache(maxsize=64)
+def takes_input(body: Callable) -> bool:
+    return "input" in inspect.signature(body).parameters
+
+
 def arguments(body: Callable, given: dict) -> dict:
     """A run's input as a body's arguments: the whole of it for one named ``input``, else by name."""
-    return {"input": given} if "input" in inspect.signature(body).parameters else given
+    return {"input": given} if takes_input(body) else given
 
 
 def decide(run_id: str, started: dt.datetime | None, given: str | None, rows: list[dict], body: Callable[..., Any]) -> tuple:
@@ -225,31 +242,38 @@ def steps_of(log: DataFrame, key: str = "run_id") -> DataFrame:
 
     The last creation and the last opener of a wait replace what was before them. Bodies are JSON text.
     """
+    return folded(log, key, {}).where("known and step_id is not null").drop("known")
+
+
+def folded(log: DataFrame, key: str, more: dict[str, Column]) -> DataFrame:
+    """As `steps_of`, and rows of steps that a replay needs nothing of, and of what has no step; ``known`` tells them. ``more``: aggregates of each row's events."""
     kind, seq = F.col("event_type"), F.col("seq")
     final = (kind == "TASK_FAILED") & (F.get_json_object("body", "$.final") == "true")
     one = {"call": kind == "TASK_CREATED", "result": kind == "TASK_COMPLETED", "error": final, "wait": kind.isin(*OPENERS), "over": kind.isin(*CLOSERS)}
     last = [F.max(F.when(c, F.struct(seq.alias("seq"), F.coalesce("body", F.lit("{}")).alias("body"), kind.alias("kind")))).alias(n) for n, c in one.items()]
     first = [F.min(F.when(one[n], seq)).alias(f"first_{n}") for n in ("call", "result", "wait", "over")]
-    known = log.where(F.col("step_id").isNotNull()).where(F.reduce(F.array(*one.values()), F.lit(False), lambda a, c: a | F.coalesce(c, F.lit(False))))
-    seen = known.groupBy(key, "step_id").agg(*last, *first)
+    known = functools.reduce(operator.or_, [F.coalesce(c, F.lit(False)) for c in one.values()])
+    seen = log.groupBy(key, "step_id").agg(*last, *first, F.max(known).alias("known"), *[c.alias(n) for n, c in more.items()])
     since = lambda c, begin: F.when(F.coalesce(F.col(f"{c}.seq") > F.col(f"{begin}.seq"), F.lit(False)), F.col(f"{c}.body"))
     early = lambda c, begin: F.col(f"first_{c}").isNotNull() & F.coalesce(F.col(f"first_{c}") < F.col(f"first_{begin}"), F.lit(True))
     done = since("result", "call")
     broken = F.when(early("result", "call"), "completion without creation").when(early("over", "wait"), "resolution without wait")
     return seen.select(
         key, "step_id", F.col("call.body").alias("call"), done.alias("result"), F.when(done.isNull(), since("error", "call")).alias("error"),
-        F.col("wait.body").alias("wait"), F.col("wait.kind").alias("wait_kind"), since("over", "wait").alias("over"), F.col("over.kind").alias("over_kind"), broken.alias("broken"),
+        F.col("wait.body").alias("wait"), F.col("wait.kind").alias("wait_kind"), since("over", "wait").alias("over"), F.col("over.kind").alias("over_kind"), broken.alias("broken"), "known", *more,
     )
 
 
 def replay(log: DataFrame, body: Callable[..., Any], key: str = "run_id") -> DataFrame:
     """The next decision of every run: log (run_id, seq, event_type, step_id, body as JSON, created_at).
 
-    A run's row in a task holds its steps, not its events. ``key`` names a run, where the log is partitioned by another column than run_id.
+    A run's row in a task holds its steps, not its events. ``key`` names a run, where the log is partitioned by another column than run_id;
+    the log is read once.
     """
-    heads = log.groupBy(key).agg(F.first("run_id").alias("id"), F.min_by("created_at", "seq").alias("started"), F.max(F.when(F.col("event_type") == "RUN_STARTED", F.col("body"))).alias("given"))
     names = ["step_id", "call", "result", "error", "wait", "wait_kind", "over", "over_kind", "broken"]
-    steps = steps_of(log, key).groupBy(key).agg(F.collect_list(F.struct(*names)).alias("steps"))
+    of_run = {"id": F.first("run_id"), "began": F.min(F.when(F.col("seq").isNotNull(), F.struct("seq", "created_at"))), "given": F.max(F.when(F.col("event_type") == "RUN_STARTED", F.col("body")))}
+    steps = F.collect_list(F.when(F.col("known") & F.col("step_id").isNotNull(), F.struct(*names)))
+    runs = folded(log, key, of_run).groupBy(key).agg(F.first("id").alias("id"), F.min("began").alias("began"), F.max("given").alias("given"), steps.alias("steps"))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "boolean": pa.bool_()}
@@ -259,7 +283,7 @@ def replay(log: DataFrame, body: Callable[..., Any], key: str = "run_id") -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     ship(log.sparkSession)
-    return heads.join(steps, key, "left").select("id", "started", "given", "steps").mapInArrow(one, DECISIONS)
+    return runs.select("id", F.col("began.created_at").alias("started"), "given", "steps").mapInArrow(one, DECISIONS)
 
 
 def canonical_json(column: str):
