@@ -42,6 +42,11 @@ def stream_until() -> Column:
     return F.when(F.col("event_type") == "TIMER_SET", F.col("created_at") + minutes(F.col("value")))
 
 
+def near(j: Journal) -> writes.Near:
+    """Lines and what is made of them are dealt by their order."""
+    return "l_orderkey", j.parts
+
+
 def verdict_columns(rows: DataFrame) -> list[Column]:
     return ["run_id", "policy", "n", "ok", "settled", S.policy_error(F.col("policy"), F.col("n")).alias("error"), S.satisfied(F.col("policy"), F.col("n"), F.col("ok"), F.col("settled")).alias("satisfied")]
 
@@ -434,15 +439,17 @@ def task_claim_dedup(j: Journal) -> DataFrame:
     """Each task claimed, ended or put back, claimed again and ended again."""
     end = F.when(F.col("priority") % 3 == 0, "COMPLETED").when(F.col("priority") % 3 == 1, "PENDING").otherwise("DEAD_LETTER")
     moves = F.array(F.struct(F.lit("PENDING").alias("from"), F.lit("RUNNING").alias("to")), F.struct(F.lit("RUNNING").alias("from"), end.alias("to")), F.struct(F.lit("PENDING").alias("from"), F.lit("RUNNING").alias("to")), F.struct(F.lit("RUNNING").alias("from"), F.lit("RUNNING").alias("to")))
-    commands = j.tasks.select("task_id", F.posexplode(moves).alias("delivery", "m")).select("task_id", "delivery", "m.from", "m.to")
-    return writes.task_transition(j.tasks, commands, [F.col("delivery")]).groupBy("delivery", "to", "outcome", "attempt").agg(F.count(F.lit(1)).alias("claims"))
+    commands = j.tasks_by_run.select("l_orderkey", "task_id", F.posexplode(moves).alias("delivery", "m")).select("l_orderkey", "task_id", "delivery", "m.from", "m.to")
+    return writes.task_transition(j.tasks_by_run, commands, [F.col("delivery")], near(j)).groupBy("delivery", "to", "outcome", "attempt").agg(F.count(F.lit(1)).alias("claims"))
 
 
 @query
 def run_version_cas(j: Journal) -> DataFrame:
     """Each line of an order moves its run on from the version that it expects: in turn, late by one, or of a run that is not there."""
-    commands = j.lines.select(F.concat(F.lit("R"), F.col("l_orderkey") + F.when(F.col("l_partkey") % 50 == 0, 10**9).otherwise(0)).alias("run_id"), "task_id", "child", (F.col("l_orderkey") % 5 + F.col("child") - F.col("l_suppkey") % 2).alias("expected"), F.when(F.col("l_partkey") % 5 == 0, "COMPLETED").otherwise("RUNNING").alias("next"))
-    return writes.run_cas(j.runs, commands, [F.col("child"), F.col("task_id")]).groupBy("outcome", "next", "new_version").agg(F.count(F.lit(1)).alias("commands"))
+    number = F.col("l_orderkey") + F.when(F.col("l_partkey") % 50 == 0, 10**9).otherwise(0)
+    commands = j.lines.select(number.alias("run_key"), F.concat(F.lit("R"), number).alias("run_id"), "task_id", "child", (F.col("l_orderkey") % 5 + F.col("child") - F.col("l_suppkey") % 2).alias("expected"), F.when(F.col("l_partkey") % 5 == 0, "COMPLETED").otherwise("RUNNING").alias("next"))
+    runs = j.runs.withColumn("run_key", F.substring("run_id", 2, 20).cast("long"))
+    return writes.run_cas(runs, commands, [F.col("child"), F.col("task_id")], ("run_key", j.parts)).groupBy("outcome", "next", "new_version").agg(F.count(F.lit(1)).alias("commands"))
 
 
 @query
@@ -453,8 +460,8 @@ def fenced_writes(j: Journal) -> DataFrame:
 
 @query
 def lease_acquire(j: Journal) -> DataFrame:
-    commands = j.lines.select("task_id", F.explode(F.array(F.lit("W1"), F.lit("W2"))).alias("worker_id"))
-    return writes.acquire_lease(j.leases, commands, now(), [F.col("worker_id")]).groupBy("outcome", "token", "worker_id").agg(F.count(F.lit(1)).alias("leases"))
+    commands = j.lines.select("l_orderkey", "task_id", F.explode(F.array(F.lit("W1"), F.lit("W2"))).alias("worker_id"))
+    return writes.acquire_lease(j.leases_by_run, commands, now(), [F.col("worker_id")], near(j)).groupBy("outcome", "token", "worker_id").agg(F.count(F.lit(1)).alias("leases"))
 
 
 @query
@@ -480,8 +487,8 @@ def effect_resolve(j: Journal) -> DataFrame:
     """Two contrary verdicts on each effect."""
     verdict = lambda n: F.when((F.col("l_partkey") + n) % 2 == 0, "COMMITTED").otherwise("FAILED")
     both = F.array(*[F.struct(F.lit(n).alias("n"), verdict(n).alias("verdict"), F.when((F.col("l_partkey") + n) % 3 == 0, "ref").alias("ref")) for n in (0, 1)])
-    commands = j.lines.select(F.concat("run_id", F.lit(":"), "step_id", F.lit(":E1")).alias("effect_key"), F.explode(both).alias("c")).select("effect_key", "c.*")
-    return writes.resolve_effects(j.effects, commands, [F.col("n")]).groupBy("n", "outcome", "new_status").agg(F.count(F.lit(1)).alias("effects"))
+    commands = j.lines.select("l_orderkey", F.concat("run_id", F.lit(":"), "step_id", F.lit(":E1")).alias("effect_key"), F.explode(both).alias("c")).select("l_orderkey", "effect_key", "c.*")
+    return writes.resolve_effects(j.effects_by_run, commands, [F.col("n")], near(j)).groupBy("n", "outcome", "new_status").agg(F.count(F.lit(1)).alias("effects"))
 
 
 def decisions(j: Journal) -> DataFrame:
@@ -629,8 +636,8 @@ def run_finish(j: Journal) -> DataFrame:
 def task_complete(j: Journal) -> DataFrame:
     """Two results of each task, the first under a token that may be stale."""
     token = F.array(F.col("l_linenumber") + F.when(F.col("l_partkey") % 3 == 0, 2).otherwise(1), F.col("l_linenumber") + 1)
-    reports = j.lines.select("task_id", F.posexplode(token).alias("n", "token")).withColumn("token", F.col("token").cast("long"))
-    return writes.complete_tasks(j.tasks, j.leases, reports, [F.col("n")]).groupBy("n", "outcome").agg(F.count(F.lit(1)).alias("reports"))
+    reports = j.lines.select("l_orderkey", "task_id", F.posexplode(token).alias("n", "token")).withColumn("token", F.col("token").cast("long"))
+    return writes.complete_tasks(j.tasks_by_run, j.leases_by_run, reports, [F.col("n")], near(j)).groupBy("n", "outcome").agg(F.count(F.lit(1)).alias("reports"))
 
 
 def effect_commands(j: Journal) -> DataFrame:
@@ -638,18 +645,18 @@ def effect_commands(j: Journal) -> DataFrame:
     ends = F.when(F.col("answer") == "COMMITTED", "COMMITTED").when(F.col("answer") == "NOT_EXECUTED", "FAILED").otherwise("UNKNOWN")
     moves = [(F.lit("PENDING"), F.lit("RUNNING")), (F.lit("RUNNING"), ends), (F.lit("UNKNOWN"), F.lit("COMMITTED")), (F.lit("COMMITTED"), F.lit("RUNNING"))]
     each = F.array(*[F.struct(F.lit(n).alias("n"), a.alias("from"), b.alias("to"), F.when(F.lit(n == 1), F.lit("seen")).alias("answer")) for n, (a, b) in enumerate(moves)])
-    return j.effects.where("effect_class <> 'NONE'").select("effect_key", F.explode(each).alias("c")).select("effect_key", "c.*")
+    return j.effects_by_run.where("effect_class <> 'NONE'").select("l_orderkey", "effect_key", F.explode(each).alias("c")).select("l_orderkey", "effect_key", "c.*")
 
 
 @query
 def effect_update(j: Journal) -> DataFrame:
-    return writes.update_effects(j.effects, effect_commands(j), [F.col("n")], ["answer"]).groupBy("status", "answer").agg(F.count(F.lit(1)).alias("effects"))
+    return writes.update_effects(j.effects_by_run, effect_commands(j), [F.col("n")], ["answer"], near(j)).groupBy("status", "answer").agg(F.count(F.lit(1)).alias("effects"))
 
 
 @query
 def effect_ledger(j: Journal) -> DataFrame:
     """The outcome of each transition, as the ledger would have answered."""
-    return writes.effect_transition(j.effects, effect_commands(j), [F.col("n")]).groupBy("n", "from", "to", "outcome").agg(F.count(F.lit(1)).alias("commands"))
+    return writes.effect_transition(j.effects_by_run, effect_commands(j), [F.col("n")], near(j)).groupBy("n", "from", "to", "outcome").agg(F.count(F.lit(1)).alias("commands"))
 
 
 @query

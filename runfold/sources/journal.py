@@ -8,6 +8,7 @@ without zone, ids are text, counts are long.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,8 @@ LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 JOINS = {"1-URGENT": "ANY", "2-HIGH": "QUORUM(2)", "3-MEDIUM": "QUORUM(1)"}
 CLASSES = ("NONE", "IDEMPOTENT_BY_KEY", "QUERYABLE", "UNRECONCILABLE")
 EFFECT_STATUS = ("PENDING", "RUNNING", "COMMITTED", "FAILED", "UNKNOWN")
+#: Lines that one task has at most, about; so a task's memory does not grow with the table.
+LINES_A_TASK = 200_000
 #: How the ids of runs are made, for each table: a prefix and the stored key.
 RUN_KEYS = {"orders": ("R", "o_orderkey"), "lineitem": ("R", "l_orderkey"), "events": ("U", "user_id"), "conversations": ("C", "conv_id")}
 STREAM_TYPES = {"signup": "SIGNAL_WAIT_STARTED", "click": "SIGNAL_RECEIVED", "view": "TIMER_SET", "purchase": "TIMER_FIRED", "error": "TASK_FAILED"}
@@ -65,6 +68,11 @@ class Journal:
         fits = self.run.startswith(prefix) and number.isdecimal()
         return rows.where(F.col(column) == F.lit(int(number)) if fits else F.lit(False))
 
+    @cached_property
+    def parts(self) -> int:
+        """Partitions that lines are dealt to by their order, each of about as many rows whatever the table's size. Counting reads no columns."""
+        return 1 if self.run is not None else max(1, math.ceil(self.table("lineitem").count() / LINES_A_TASK))
+
     @cached_property
     def runs(self) -> DataFrame:
         """run_id, agent_name, agent_version, status, version, available_at, created_at, policy."""
@@ -85,17 +93,22 @@ class Journal:
     def lines(self) -> DataFrame:
         """lineitem with run_id, child position, step_id and task_id; one shuffle by order."""
         nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
-        lines = self.table("lineitem").select("l_orderkey", *LINE_ORDER, "l_returnflag", "l_linestatus", "l_shipdate").withColumn("child", nth.cast("long"))
+        lines = self.table("lineitem").select("l_orderkey", *LINE_ORDER, "l_returnflag", "l_linestatus", "l_shipdate").repartition(self.parts, "l_orderkey").withColumn("child", nth.cast("long"))
         run, child = F.concat(F.lit("R"), F.col("l_orderkey")), F.col("child")
         return lines.select("*", run.alias("run_id"), F.concat(F.lit("S1."), child).alias("step_id"), F.concat(F.lit("T"), "l_orderkey", F.lit("."), child).alias("task_id"))
 
     @cached_property
     def tasks(self) -> DataFrame:
         """task_id, run_id, step_id, task_type, status, priority, available_at, attempt, max_attempts, created_at."""
+        return self.tasks_by_run.drop("l_orderkey")
+
+    @cached_property
+    def tasks_by_run(self) -> DataFrame:
+        """`tasks` with l_orderkey, by which they are dealt over `parts` partitions."""
         flag, line = F.col("l_returnflag"), F.col("l_linestatus")
         status = F.when(flag == "A", "COMPLETED").when(flag == "R", "DEAD_LETTER").when(line == "O", "PENDING").otherwise("RUNNING")
         return self.lines.select(
-            "task_id", "run_id", "step_id",
+            "l_orderkey", "task_id", "run_id", "step_id",
             F.concat(F.lit("tool"), F.col("l_partkey") % 4).alias("task_type"),
             status.alias("status"),
             F.col("l_linenumber").cast("long").alias("priority"),
@@ -108,8 +121,13 @@ class Journal:
     @cached_property
     def effects(self) -> DataFrame:
         """effect_key, task_id, run_id, effect_type, effect_class, status, created_at, updated_at."""
+        return self.effects_by_run.drop("l_orderkey")
+
+    @cached_property
+    def effects_by_run(self) -> DataFrame:
+        """`effects` with l_orderkey, by which they are dealt."""
         return self.lines.select(
-            F.concat("run_id", F.lit(":"), "step_id", F.lit(":E1")).alias("effect_key"), "task_id", "run_id",
+            "l_orderkey", F.concat("run_id", F.lit(":"), "step_id", F.lit(":E1")).alias("effect_key"), "task_id", "run_id",
             F.concat(F.lit("tool"), F.col("l_partkey") % 4).alias("effect_type"),
             choose(F.col("l_partkey"), CLASSES).alias("effect_class"),
             choose(F.col("l_suppkey"), EFFECT_STATUS).alias("status"),
@@ -121,8 +139,13 @@ class Journal:
     @cached_property
     def leases(self) -> DataFrame:
         """task_id, run_id, worker_id, fencing_token, expires_at of the tasks that run."""
+        return self.leases_by_run.drop("l_orderkey")
+
+    @cached_property
+    def leases_by_run(self) -> DataFrame:
+        """`leases` with l_orderkey, by which they are dealt."""
         return self.lines.where("l_returnflag = 'N' and l_linestatus = 'F'").select(
-            "task_id", "run_id",
+            "l_orderkey", "task_id", "run_id",
             F.concat(F.lit("W"), F.col("l_suppkey") % 16).alias("worker_id"),
             (F.col("l_linenumber") + 1).cast("long").alias("fencing_token"),
             (F.col("l_shipdate") + minutes(F.col("l_quantity"))).alias("expires_at"),
@@ -166,7 +189,7 @@ class Journal:
         head = self.table("orders").select(F.col("o_orderkey").alias("run_key"), F.lit(0).alias("line"), *[nil(t).alias(c) for c, t in LINE_TYPES.items()], nil("string").alias("l_returnflag"), nil("string").alias("l_linestatus"), nil("timestamp_ntz").alias("l_shipdate"), "o_orderdate", "o_orderstatus", by_name(F.col("o_orderpriority"), JOINS, "ALL").alias("policy"))
         line = self.table("lineitem").select(F.col("l_orderkey").alias("run_key"), F.lit(1).alias("line"), *LINE_ORDER, "l_returnflag", "l_linestatus", "l_shipdate", nil("timestamp_ntz").alias("o_orderdate"), nil("string").alias("o_orderstatus"), nil("string").alias("policy"))
         run = Window.partitionBy("run_key")
-        rows = head.unionByName(line).withColumn("child", F.row_number().over(run.orderBy("line", *LINE_ORDER)).cast("long")).withColumn("n_calls", F.sum("line").over(run))
+        rows = head.unionByName(line).repartition(self.parts, "run_key").withColumn("child", F.row_number().over(run.orderBy("line", *LINE_ORDER)).cast("long")).withColumn("n_calls", F.sum("line").over(run))
         rows = rows.withColumn("child", F.when(F.col("line") == 1, F.col("child") - F.max(1 - F.col("line")).over(run) - 1).otherwise(0))
         became = F.when(F.col("l_returnflag") == "A", "TASK_COMPLETED").when(F.col("l_returnflag") == "R", "TASK_FAILED").when(F.col("l_linestatus") == "F", "TASK_CLAIMED")
         event = lambda k, kind: F.struct(F.lit(k).alias("k"), kind.alias("event_type"))

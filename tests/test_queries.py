@@ -69,3 +69,13 @@ def test_journal_is_written_and_read(spark, tmp_path):
     journal.write_journal(log, f"{tmp_path}/j")
     got = journal.read_journal(spark, f"{tmp_path}/j", "R42")
     assert "EqualTo(run_id,R42)" in plan_of(got) and got.count() == log.where("run_id = 'R42'").count() > 0
+
+
+@pytest.mark.parametrize("name", ["task_claim_dedup", "lease_acquire", "effect_ledger", "task_complete", "effect_update", "history_steps", "replay_parallel"])
+def test_tasks_have_as_many_rows_on_any_size(spark, monkeypatch, name):
+    """Rows are dealt by their run over partitions that grow with the table, and no join by key deals them again."""
+    monkeypatch.setattr(journal, "LINES_A_TASK", 500, raising=False)
+    sf_dir = "/root/testdata/sf0.001"
+    parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert parts > 4 and f", {parts}), REPARTITION_BY_NUM" in plan and "Join" not in plan
